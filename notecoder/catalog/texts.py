@@ -139,7 +139,7 @@ def token_offsets(view: str) -> str:
     return rf"""
     tk as (select doc_id, unnest(ts) as token, generate_subscripts(ts, 1) as n
            from (select doc_id, {TOKENS.format(t='text')} as ts from {view})),
-    pos as (select *, coalesce(sum(length(token)) over (partition by doc_id order by n rows between unbounded preceding and 1 preceding), 0) as at
+    pos as (select *, coalesce(sum(length(token)) over (partition by doc_id order by n rows between unbounded preceding and 1 preceding), 0) as beg
             from tk)"""
 
 
@@ -148,7 +148,7 @@ def token_offsets(view: str) -> str:
     e as (
       select pos.doc_id, n, token,
              case when r.abbr is not null and regexp_matches(lower(
-                    substr(text, greatest(cast(at as bigint) - 99, 1), least(cast(at as bigint), 100)) || ' ' || substr(text, cast(at as bigint) + length(token) + 1, 100)), r.trigger)
+                    substr(text, greatest(cast(beg as bigint) - 99, 1), least(cast(beg as bigint), 100)) || ' ' || substr(text, cast(beg as bigint) + length(token) + 1, 100)), r.trigger)
                   then r.other else a.expansion end as reading
       from pos join notes using (doc_id)
       left join abbrs a on upper(token) = a.abbr left join readings r on upper(token) = r.abbr)

@@ -165,24 +165,27 @@ def expand_abbreviations(text: Column) -> Column:
     tokens = F.regexp_extract_all(
         marked, F.lit(rf"(?i)(?U){multi}|{ALTERNATE}?\w+|(?:(?!{ALTERNATE})\W)+"), F.lit(0)
     )
-    table = literal_map(_expansion_entries())
+    entries = _expansion_entries()
+    table = literal_map(entries)
+    known = [k for k, _ in entries]
 
     def rewrite(token: Column) -> Column:
-        written = F.ltrim(F.translate(token, ALTERNATE, ""))
+        written = F.translate(token, ALTERNATE, "")
         reading = F.try_element_at(table, F.upper(token))
         first = F.substring(written, 1, 1)
         shown = F.when(first == F.upper(first), reading).otherwise(F.lower(reading))
+        # the hash-set test keeps the map search to the few words that have an entry
         return F.when(
-            (F.length(token) <= 8) & reading.isNotNull(), F.concat(shown, F.lit(" ("), written, F.lit(")"))
+            F.upper(token).isin(known), F.concat(shown, F.lit(" ("), written, F.lit(")"))
         ).otherwise(token)
 
     return F.array_join(F.transform(tokens, rewrite), "")
 
 
-def abbreviation_pattern() -> str:
-    """Whole-word alternation of all abbreviations, longest first."""
-    names = sorted({a.upper() for a, _ in ab.ABBREVIATIONS}, key=lambda a: (-len(a), a))
-    return any_of(names)
+def abbreviation_tokens(text: Column) -> Column:
+    """Words, multi-part abbreviations and the stretches between them, in order."""
+    multi = "|".join(rf"{re.escape(m)}\b" for m in _multi_tokens())
+    return F.regexp_extract_all(text, F.lit(rf"(?i)(?U){multi}|\w+|\W+"), F.lit(0))
 
 
 # --- search terms and codes --------------------------------------------------------

@@ -76,3 +76,49 @@ lab_results, past_surgical_history
 ASSESSMENT_FAMILY = words("""
 assessment_and_plan, assessment, active_problems, active_problem_list, problem_list
 """)
+
+# Header text = section, for validation without a model; a name of three or
+# more characters also matches inside a longer header, first entry first.
+HEADER_MAP = [(h, s) for s, hs in pairs("""
+chief_complaint = chief complaint, cc, reason for visit, reason for encounter, exam reason
+history_present_illness = history of present illness, hpi, present illness, history present illness, subjective
+past_medical_history = past medical history, pmh, medical history, active problems, problem list, active problem list
+past_surgical_history = past surgical history, psh, surgical history
+medications = medications, meds, current medications, active medications, medication list
+allergies = allergies, allergy list, drug allergies
+social_history = social history, sh
+family_history = family history, fh
+review_of_systems = review of systems, ros
+vitals = vitals, vital signs, vs
+physical_exam = physical exam, physical examination, pe, exam
+objective = objective
+immunizations = immunizations, vaccines, immunization history
+lab_results = lab results, labs, laboratory, laboratory results
+imaging = imaging, imaging results, radiology
+assessment = assessment, impression, dx, diagnoses, diagnosis
+plan = plan, treatment plan, tx
+assessment_and_plan = assessment and plan, assessment & plan, a/p, a&p
+follow_up = follow up, f/u, followup, follow-up, return visit
+""") for h in words(hs)]
+
+# Subsection names, qualifiers and labels that are not sections.
+SUBSECTION_NAMES = words("""
+heart, lungs, cardiovascular, respiratory, heent, abdomen, musculoskeletal, neurological,
+psychiatric, constitutional, skin, eyes, ent, gastrointestinal, genitourinary, extremities,
+head, neck, chest, back, rectal, breast, lymph, vascular, integumentary, endocrine,
+hematologic, immunologic, general, appearance, general adult ros
+""")
+NOISE_HEADERS = words("""
+uncomplicated, complicated, unspecified, bilateral, unilateral, benign, malignant,
+metastatic, recurrent, resolved, controlled, uncontrolled, stable, unstable, progressive,
+intermittent, persistent, transient, moderate, mild, severe, primary, secondary, essential,
+idiopathic, hereditary, congenital, acquired, chronic, subacute, initial, subsequent,
+routine, normal, abnormal, positive, negative, patient educational handouts,
+medical equipment, advance directives, functional status, unknown, none recorded,
+no information available
+""")
+REJECTED_HEADERS = COLUMN_LABELS + words("""
+procedure date, patient educational handouts, medical equipment, advance directives,
+functional status, none recorded, no information available, unknown, reminders, orders,
+dme orders, implant orders, reminders provider, mental status, question answer notes
+""")
