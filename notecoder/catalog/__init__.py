@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["texts", "sections"]
+MODULES = ["texts", "sections", "coding"]
 
 
 def load():
