@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["texts", "sections", "coding"]
+MODULES = ["texts", "sections", "coding", "mentions"]
 
 
 def load():
