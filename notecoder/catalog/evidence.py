@@ -93,7 +93,7 @@ KW = values([(e, w) for e, ws in me.WORDS.items() for w in ws], "kw(element, wor
 RATED = f"""{LINES}, u as (select doc_id, disease, unnest(ls) as line, generate_subscripts(ls, 1) as i from el),
     r as (select *, contains(lower(line), lower(disease)) as named from u),
     s as (select r.*, element, (case when named then case when element = 'assessment' then 0.75 else 0.70 end else 0.55 end)::double as conf
-          from r, (select distinct element from kw) x where {" or ".join(f"(element = '{e}' and {has_any('lower(line)', ws)})" for e, ws in me.WORDS.items())}),
+          from r, (select unnest(['monitoring', 'evaluation', 'assessment', 'treatment']) as element) x where {" or ".join(f"(element = '{e}' and {has_any('lower(line)', ws)})" for e, ws in me.WORDS.items())}),
     b as (select doc_id, element, arg_max(line, conf + (case when length(line) < 120 then 0.05 else 0 end)::double + (case when named then 0.10 else 0 end)::double - i * 1e-7) as line,
                  arg_max(conf, conf + (case when length(line) < 120 then 0.05 else 0 end)::double + (case when named then 0.10 else 0 end)::double - i * 1e-7) as conf from s group by 1, 2)"""
 
