@@ -155,16 +155,21 @@ def score(pairs: DataFrame, method: str = "token_set", synonyms=SYNONYMS) -> Dat
         words = lambda c: F.array_distinct(F.split(c, " "))
         return 100 * sim.jaccard(words(a), words(b))
 
-    d = F.lower(tx.strip_diacritics(F.col("description")))
-    keyed = pairs.withColumns({"_cleaned": tx.clean_search_term(F.col("name")), "_d": d})
-    variants = keyed.select(
-        "name", "code", "_d", F.explode(F.slice(variant_array(F.col("_cleaned"), synonyms), 2, 1000)).alias("_v")
+    # one row per pair and search variant, so each base similarity is computed in one pass
+    keyed = pairs.select(
+        *pairs.columns, F.lower(tx.strip_diacritics(F.col("description"))).alias("_d"),
+        F.posexplode(let(tx.clean_search_term(F.col("name")), lambda c: variant_array(c, synonyms))).alias("_o", "_v"),
     ).withColumn("_b", base(F.col("_v"), F.col("_d")))
     v = penalized(F.col("_b"), F.col("_v"), F.col("_d"))
     v = F.when(F.contains("_d", F.col("_v")), F.least(F.lit(100.0), v + 5)).otherwise(v)
-    best = variants.groupBy("name", "code").agg(F.max(v).alias("_vb"))
-    joined = keyed.withColumn("_b", base(F.col("_cleaned"), F.col("_d"))).join(best, ["name", "code"], "left")
-    return joined.withColumn("score", candidate_score(F.col("_b"), F.col("_cleaned"), F.col("_d"), F.col("_vb"))).drop("_cleaned", "_d", "_b", "_vb")
+    own = F.col("_o") == 0
+    rest = [c for c in pairs.columns if c not in ("name", "code")]
+    g = keyed.groupBy("name", "code").agg(
+        F.max(F.when(own, F.struct(F.col("_b").alias("b"), F.col("_v").alias("v"), F.col("_d").alias("d"), *rest))).alias("_own"),
+        F.max(F.when(~own, v)).alias("_vb"),
+    )
+    s = candidate_score(F.col("_own.b"), F.col("_own.v"), F.col("_own.d"), F.col("_vb"))
+    return g.withColumn("score", s).select("name", "code", *[F.col(f"_own.{c}").alias(c) for c in rest], "score")
 
 
 def top_codes(scored: DataFrame, k: int = 5, threshold: float = DEFAULTS.fuzzy_threshold) -> DataFrame:
