@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["texts", "sections", "coding", "mentions", "evidence", "mapping", "replies"]
+MODULES = ["texts", "sections", "coding", "mentions", "evidence", "mapping", "replies", "plans"]
 
 
 def load():

@@ -224,7 +224,7 @@ def in_document(evidence: Column, text: Column) -> Column:
 def in_document_lenient(evidence: Column, text: Column) -> Column:
     """Lenient test: first 40 characters, any phrase of four characters, or half the words."""
     low, body = F.trim(F.lower(evidence)), F.lower(text)
-    phrases = F.filter(F.transform(F.split(low, "[,;]"), F.trim), lambda p: F.length(p) >= 4)
+    phrases = F.filter(F.transform(F.split(low, "[,;]"), lambda p: F.trim(p)), lambda p: F.length(p) >= 4)
     words = F.split(low, r"\s+")
     return F.contains(body, F.substring(low, 1, 40)) | F.exists(phrases, lambda p: F.contains(body, p)) | (
         F.size(F.filter(words, lambda w: F.contains(body, w))) >= F.size(words) * 0.5)

@@ -110,25 +110,21 @@ def candidate_score(base: Column, cleaned: Column, description: Column, variant_
     ``variant_best`` is the best penalized score over the other search variants, or null.
     """
     d = description
-    s = penalized(base, cleaned, d)
     add = lambda test, v: F.when(test, F.lit(float(v))).otherwise(F.lit(0.0))
-    capped = lambda test, score, v: F.when(test, F.least(F.lit(100.0), score + v)).otherwise(score)
-    s = capped(F.contains(d, cleaned), s, 5.0)
+
+    def denial(words: Column) -> Column:
+        # the prefixes are tried in order; the whole name ends the search, a word does not
+        total, done = F.lit(0.0), F.lit(False)
+        for prefix in ("without ", "not ", "no ", "absent "):
+            whole = F.contains(d, F.concat(F.lit(prefix), cleaned))
+            total = total + F.when(done, 0.0).when(whole, 30.0).when(_negated_word(words, d, prefix), 20.0).otherwise(0.0)
+            done = done | whole
+        return total
+
     long_words = F.filter(tx.search_words(cleaned), lambda w: F.length(w) >= 5)
-    # the four prefixes are tried in order; the whole name ends the search, a word does not
-    done = F.lit(False)
-    for prefix in ("without ", "not ", "no ", "absent "):
-        whole = F.contains(d, F.concat(F.lit(prefix), cleaned))
-        word = _negated_word(long_words, d, prefix)
-        s = s - F.when(done, 0.0).when(whole, 30.0).when(word, 20.0).otherwise(0.0)
-        done = done | whole
     first = F.split(cleaned, " ")[0]
-    leads = d.startswith(first)
     trails = F.call_function("rlike", d, F.concat(F.lit(r"(?:,\s*and\s+|,\s+|;\s+|\band\s+)\Q"), first, F.lit(r"\E")))
-    s = F.when(F.length(first) >= 4, F.when(leads, F.least(F.lit(100.0), s + 15)).when(trails, s - 20).otherwise(s)).otherwise(s)
-    s = F.greatest(s, F.coalesce(variant_best, s))
     without = F.contains(cleaned, F.lit("without "))
-    s = s - add(without & d.rlike(WITH), 20) + add(without & F.contains(d, F.lit("without ")), 5)
 
     def specific(x: Column) -> Column:
         mine, theirs = complication(cleaned), complication(d)
@@ -137,7 +133,19 @@ def candidate_score(base: Column, cleaned: Column, description: Column, variant_
         bonus = F.when(mine, 0).when(F.contains(d, F.lit("without complications")), 4).when(F.contains(d, F.lit("unspecified")), 3).otherwise(0)
         return F.when(x >= 85, x - penalty + bonus).otherwise(x)
 
-    return let(s, specific)
+    # each step takes the score of the step before, computed once
+    steps = [
+        lambda s: F.when(F.contains(d, cleaned), F.least(F.lit(100.0), s + 5)).otherwise(s) - let(long_words, denial),
+        lambda s: F.when(F.length(first) >= 4, F.when(d.startswith(first), F.least(F.lit(100.0), s + 15))
+                         .when(trails, s - 20).otherwise(s)).otherwise(s),
+        lambda s: F.greatest(s, F.coalesce(variant_best, s)) - add(without & d.rlike(WITH), 20)
+        + add(without & F.contains(d, F.lit("without ")), 5),
+        specific,
+    ]
+    s = penalized(base, cleaned, d)
+    for step in steps:
+        s = let(s, step)
+    return s
 
 
 def _negated_word(words: Column, d: Column, prefix: str) -> Column:

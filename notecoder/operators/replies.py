@@ -111,7 +111,7 @@ def merge_additions(rows: DataFrame, added: DataFrame) -> DataFrame:
     Rows of the first table precede added ones; rows without a code all stay.
     """
     both = rows.withColumn("_side", F.lit(0)).unionByName(added.withColumn("_side", F.lit(1)), allowMissingColumns=True)
-    parts = F.filter(F.transform(F.split(F.coalesce("icd_code", F.lit("")), ","), F.trim), lambda c: c != "")
+    parts = F.filter(F.transform(F.split(F.coalesce("icd_code", F.lit("")), ","), lambda c: F.trim(c)), lambda c: c != "")
     split = both.withColumn("_codes", F.when(F.size(parts) == 0, F.array(F.lit(""))).otherwise(parts))
     split = split.select("*", F.posexplode("_codes").alias("_i", "_one")).withColumn("icd_code", F.col("_one"))
     fields = [c for c in rows.columns if c not in ("doc_id", "icd_code")]

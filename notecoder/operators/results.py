@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.arrays import let
 from ..functions.skew import running, with_group
 from ..knowledge import clinical as kn
 from ..knowledge import coding as kc
@@ -81,10 +82,14 @@ def grace_rows(rows: DataFrame) -> DataFrame:
 
 
 def bmi_band(value: Column) -> Column:
-    out = F.lit(None).cast("string")
-    for lo, hi, code in kc.BMI_BANDS:
-        out = F.when((value >= lo) & (value < hi), code).otherwise(out)
-    return out
+    """Z68 code of a body mass index; null outside the bands."""
+    def band(v: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for lo, hi, code in kc.BMI_BANDS:
+            out = F.when((v >= lo) & (v < hi), code).otherwise(out)
+        return out
+
+    return let(value, band)
 
 
 def correct_codes(rows: DataFrame) -> DataFrame:
@@ -273,13 +278,20 @@ def mapping_stats(rows: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.count("*").alias("total"), n("auto_assigned"), n("manual_review"), n("not_found"))
 
 
-def disease_status(context: Column, has_drugs: Column) -> Column:
+def status_of(sources: Column, context: Column, has_drugs: Column) -> Column:
     """History Only, Active Acute, Active Chronic or Chronic from sections and wording."""
-    hits = lambda names: F.arrays_overlap(F.transform("sources", F.lower), tx.literal_array(names))
-    low = F.lower(context)
-    history, active = hits(kn.HISTORY_SECTIONS), hits(kn.TEMPORAL_ACTIVE_SECTIONS)
-    chronic, acute = tx.contains_any(low, kn.CHRONIC_WORDS), tx.contains_any(low, kn.ACUTE_WORDS)
-    return (
-        F.when(history & ~active & ~has_drugs & ~chronic, "History Only")
-        .when(active & acute & ~chronic, "Active Acute").when(active, "Active Chronic").otherwise("Chronic")
-    )
+    hits = lambda names: F.arrays_overlap(F.transform(sources, F.lower), tx.literal_array(names))
+
+    def judge(low: Column) -> Column:
+        history, active = hits(kn.HISTORY_SECTIONS), hits(kn.TEMPORAL_ACTIVE_SECTIONS)
+        chronic, acute = tx.contains_any(low, kn.CHRONIC_WORDS), tx.contains_any(low, kn.ACUTE_WORDS)
+        return (
+            F.when(history & ~active & ~has_drugs & ~chronic, "History Only")
+            .when(active & acute & ~chronic, "Active Acute").when(active, "Active Chronic").otherwise("Chronic")
+        )
+
+    return let(F.lower(context), judge)
+
+
+def disease_status(context: Column, has_drugs: Column) -> Column:
+    return status_of(F.col("sources"), context, has_drugs)

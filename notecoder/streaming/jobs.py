@@ -34,22 +34,27 @@ def status_counts(events: DataFrame, width: str = "1 hour", delay: str = "2 hour
         F.col("w.start").alias("start"), "status", "n")
 
 
-def price(model: Column, prices: list[tuple[str, float, float]], default: tuple[float, float]) -> tuple[Column, Column]:
-    """Input and output price per million tokens: first model name contained, else default."""
-    p_in, p_out = F.lit(default[0]), F.lit(default[1])
+def price(model: Column, prices: list[tuple[str, str, str]], default: tuple[str, str]) -> tuple[Column, Column]:
+    """Input and output price per million tokens: first model name contained, else default.
+
+    Prices are decimals, so running costs are exact whatever the order of addition.
+    """
+    money = lambda v: F.lit(v).cast("decimal(12,4)")
+    p_in, p_out = money(default[0]), money(default[1])
     for name, cost_in, cost_out in reversed(prices):
         hit = F.contains(F.lower(model), F.lit(name))
-        p_in, p_out = F.when(hit, F.lit(cost_in)).otherwise(p_in), F.when(hit, F.lit(cost_out)).otherwise(p_out)
+        p_in, p_out = F.when(hit, money(cost_in)).otherwise(p_in), F.when(hit, money(cost_out)).otherwise(p_out)
     return p_in, p_out
 
 
-def usage_budget(usage: DataFrame, prices: list[tuple[str, float, float]], default: tuple[float, float], settings: Settings = DEFAULTS) -> DataFrame:
+def usage_budget(usage: DataFrame, prices: list[tuple[str, str, str]], default: tuple[str, str], settings: Settings = DEFAULTS) -> DataFrame:
     """Running tokens and cost of each session in time order, flagged beyond the limits.
 
     A session may hold most of the calls, so totals run over slices of it.
     """
     p_in, p_out = price(F.col("model"), prices, default)
-    cost = F.col("prompt_tokens") / 1e6 * p_in + F.col("completion_tokens") / 1e6 * p_out
+    micro = (F.col("prompt_tokens") * p_in + F.col("completion_tokens") * p_out).cast("decimal(28,4)")
     tokens = F.col("prompt_tokens") + F.col("completion_tokens")
-    out = running(usage, ["session"], [F.col("ts"), F.col("event_id")], {"total_tokens": tokens, "total_cost": cost})
+    out = running(usage, ["session"], [F.col("ts"), F.col("event_id")], {"total_tokens": tokens, "_micro": micro})
+    out = out.withColumn("total_cost", F.col("_micro").cast("double") / 1e6).drop("_micro")
     return out.withColumn("over_limit", (F.col("total_tokens") > settings.max_session_tokens) | (F.col("total_cost") > settings.max_session_cost))
