@@ -187,9 +187,9 @@ PRICES = [("click", "3.5", "10.5"), ("purchase", "10.0", "30.0"), ("view", "0.15
     with u as (select event_id, user_id as session, ts, cast(value * 1000 as bigint) as p, cast(value * 200 as bigint) as c,
         case event_type when 'click' then 3.5 when 'purchase' then 10.0 when 'view' then 0.15 else 0.075 end::decimal(12,4) as pin, case event_type when 'click' then 10.5 when 'purchase' then 30.0 when 'view' then 0.6 else 0.3 end::decimal(12,4) as pout from events),
     r as (select event_id, session, sum(p + c) over w as total_tokens, (sum(p * pin + c * pout) over w)::double / 1e6 as cost from u window w as (partition by session order by ts, event_id rows unbounded preceding))
-    select event_id, session, cast(total_tokens as bigint) as total_tokens, round_even(cost, 6) as total_cost, total_tokens > 2000000 or cost > 5 as over_limit from r""")
+    select event_id, session, cast(total_tokens as bigint) as total_tokens, cost as total_cost, total_tokens > 2000000 or cost > 5 as over_limit from r""")
 def usage_budget(spark, sf):
     u = table(spark, sf, "events").selectExpr(
         "event_id", "user_id as session", "ts", "event_type as model", "cast(bround(value * 1000, 0) as bigint) as prompt_tokens", "cast(bround(value * 200, 0) as bigint) as completion_tokens")
     out = jobs.usage_budget(u, PRICES, ("0.075", "0.30"))
-    return out.select("event_id", "session", "total_tokens", F.bround("total_cost", 6).alias("total_cost"), "over_limit")
+    return out.select("event_id", "session", "total_tokens", "total_cost", "over_limit")

@@ -14,6 +14,7 @@ from ..operators import results as rs
 from ..operators import rules as ru
 from ..operators import sections as se
 from ..operators.rules import ELEMENTS
+from ..session import reliable_checkpoint
 from ..settings import DEFAULTS, Settings
 
 ITEM = "array<struct<disease string, sources array<string>, confidence double>>"
@@ -51,10 +52,10 @@ def structured(notes: DataFrame, method: str = "levenshtein") -> DataFrame:
 
 def evidence(docs: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """One gated row per mention with its evidence; only these short texts leave the note."""
-    def gather(m: Column, i: Column) -> Column:
-        own = F.filter("sections", lambda s: F.array_contains(m["sources"], s["section"]))
+    def gather(doc: Column, m: Column, i: Column) -> Column:
+        own = F.filter(doc["sections"], lambda s: F.array_contains(m["sources"], s["section"]))
         text = F.array_join(F.transform(own, lambda s: s["text"]), "\n")
-        c = cx.build(F.col("sents"), text, m["disease"], settings.context_sentences)
+        c = cx.build(doc["sents"], text, m["disease"], settings.context_sentences)
         found = let(c, lambda x: F.struct(
             me.detect_all(me.evidence_lines(x), m["disease"]).alias("e"), (F.size(x["drugs"]) > 0).alias("drugs"),
             F.concat_ws(" ", x["primary"], F.array_join(x["around"], " "), x["section"]).alias("text")))
@@ -62,7 +63,11 @@ def evidence(docs: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
             i.alias("ord"), m["disease"].alias("disease"), m["sources"].alias("sources"), m["confidence"].alias("mention_confidence"),
             f["e"].alias("e"), rs.status_of(m["sources"], f["text"], f["drugs"]).alias("disease_status")))
 
-    rows = explode_rows(docs, F.transform("mentions", gather), "doc_id")
+    # the document's arrays are bound once; referred to as columns inside the inner function
+    # they could be inlined there and computed again for every mention
+    whole = F.struct("sections", "sents", "mentions")
+    gathered = let(whole, lambda doc: F.transform(doc["mentions"], lambda m, i: gather(doc, m, i)))
+    rows = explode_rows(docs, gathered, "doc_id")
     text = {e: F.coalesce(F.col(f"e.{e}.evidence"), F.lit("")) for e in ELEMENTS}
     rows = rows.withColumns({
         **{f"{e}_evidence": t for e, t in text.items()}, **{f"{e}_confidence": F.col(f"e.{e}.confidence") for e in ELEMENTS},
@@ -80,7 +85,8 @@ def code_notes(notes: DataFrame, codes: DataFrame, method: str = "levenshtein",
     Sections, mentions and evidence are maps over notes. Names are looked up once each and
     joined back; results are filtered, reduced to one row per code and scored.
     """
-    rows = evidence(structured(notes, method), settings)
+    # the evidence rows are short; written once, they serve the name list and the join
+    rows = reliable_checkpoint(evidence(structured(notes, method), settings))
     names = rows.select(F.col("disease").alias("name")).distinct()
     found = mp.assign_codes(mp.search_combined(names, codes), codes, settings)
     mapped = found.select(F.col("name").alias("disease"), "icd_code", F.col("confidence").alias("icd_confidence"), F.col("mapping_method").alias("icd_method"), "status")
