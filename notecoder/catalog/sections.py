@@ -117,9 +117,9 @@ def canonical_cte(source: str, header: str, threshold: str) -> str:
     fz as (select header, max(score) as best, arg_max(s, score - p * 1e-9) as s, min(p) filter (cover is not null) as cp from ps group by header),
     canon as (select st.header,
         case when st.norm = '' or st.norm in {tuple(ks.NOT_SECTION_LABELS)} or (length(st.norm) <= 3 and e1.s is null) then null
-             when e1.s is not null then e1.s when e2.s is not null then e2.s when best >= th then fz.s else c.s end as section,
+             when e1.s is not null then e1.s when e2.s is not null then e2.s when best >= st.th then fz.s else c.s end as section,
         cast(case when st.norm = '' or st.norm in {tuple(ks.NOT_SECTION_LABELS)} or (length(st.norm) <= 3 and e1.s is null) then 0
-             when e1.s is not null then 1 when e2.s is not null then 0.98 when best >= th then best else coalesce(c.cover, best) end as double) as score
+             when e1.s is not null then 1 when e2.s is not null then 0.98 when best >= st.th then best else coalesce(c.cover, best) end as double) as score
       from st left join exact e1 on e1.v = st.norm left join exact e2 on e2.v = stripped left join fz using (header)
       left join ps c on c.header = st.header and c.p = fz.cp)"""
 

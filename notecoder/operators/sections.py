@@ -4,9 +4,13 @@ Everything up to the section list of a document runs inside its row: no text is
 """
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions import similarity as sim
 from ..functions import text as tx
@@ -159,22 +163,18 @@ def _stems(norm: str) -> list[str]:
     return out
 
 
-def _edit_udf():
-    """Best Ratcliff-Obershelp scores of a header against every variant, cached per worker."""
-    from difflib import SequenceMatcher
-    from functools import lru_cache
+VARIANT_NORMS = [" ".join("".join(" " if c in "[]:*=_-–—" else c for c in v).split()) for _, v, _ in ks.VARIANT_ROWS]
 
-    norms = [" ".join("".join(" " if c in "[]:*=_-–—" else c for c in v).split()) for _, v, _ in ks.VARIANT_ROWS]
 
-    @lru_cache(maxsize=100_000)
-    def edits(header: str) -> list[float]:
-        return [SequenceMatcher(None, header, n).ratio() if header and n else 0.0 for n in norms]
+@lru_cache(maxsize=100_000)
+def _edits(header: str) -> list[float]:
+    return [SequenceMatcher(None, header, n).ratio() if header and n else 0.0 for n in VARIANT_NORMS]
 
-    @F.pandas_udf("array<array<double>>")
-    def batch(headers: pd.Series) -> pd.Series:
-        return headers.map(lambda hs: [edits(h) for h in hs] if hs is not None else None)
 
-    return batch
+@F.pandas_udf(ArrayType(ArrayType(DoubleType())))
+def variant_edits(headers: pd.Series) -> pd.Series:
+    """Ratcliff-Obershelp ratios of each header against every variant, cached per worker."""
+    return headers.map(lambda hs: [_edits(h) for h in hs] if hs is not None else None)
 
 
 def match_canonical(norm: Column, threshold: Column, edits: Column | None = None) -> Column:
@@ -265,7 +265,7 @@ def with_headers(docs: DataFrame, method: str = "levenshtein", text: str = "text
     """Add ``headers``: the candidates validated as main sections, in text order."""
     docs = with_candidates(docs, text)
     if method == "ratio":
-        docs = docs.withColumn("_e", _edit_udf()(F.transform("candidates", lambda c: tx.normalize_header(c["header"]))))
+        docs = docs.withColumn("_e", variant_edits(F.transform("candidates", lambda c: tx.normalize_header(c["header"]))))
         judged = F.transform("candidates", lambda c, i: c.withField("v", validate_header(c["header"], F.get(F.col("_e"), i))))
     elif method == "levenshtein":
         judged = F.transform("candidates", lambda c: c.withField("v", validate_header(c["header"])))

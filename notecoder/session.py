@@ -2,7 +2,9 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,3 +43,13 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="notecoder-checkpoint-", dir=os.environ.get("TMPDIR", "/tmp"))
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers of the session, once."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_notecoder_shipped", False):
+        root = Path(__file__).resolve().parent
+        base = Path(tempfile.mkdtemp(prefix="notecoder-package-")) / "notecoder"
+        sc.addPyFile(shutil.make_archive(str(base), "zip", root.parent, root.name))
+        sc._notecoder_shipped = True
