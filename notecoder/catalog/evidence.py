@@ -52,18 +52,18 @@ CTX = f"""{S},
 def ctx_query(name, spark_cols, sql_cols):
     @query(name, f"with {CTX} select doc_id, {sql_cols} from ctx")
     def run(spark, sf):
-        return contexts(spark, sf).select("doc_id", *spark_cols)
+        return contexts(spark, sf).select("doc_id", *spark_cols())
 
 
 J = lambda f: F.array_join(F.col(f"c.{f}"), "|")
-ctx_query("context_window", [F.col("c.primary").alias("prim"), J("around").alias("around")], "prim, array_to_string(around, '|') as around")
-ctx_query("section_context", [F.col("c.section")], "section")
-ctx_query("related_mentions", [J("related").alias("related")], "array_to_string(related, '|') as related")
-ctx_query("medication_mentions", [J("drugs").alias("drugs")], "array_to_string(drugs, '|') as drugs")
-ctx_query("lab_mentions", [J("labs").alias("labs")], "array_to_string(labs, '|') as labs")
-ctx_query("context_size", [cx.size(F.col("c")).cast("bigint").alias("chars")],
+ctx_query("context_window", lambda: [F.col("c.primary").alias("prim"), J("around").alias("around")], "prim, array_to_string(around, '|') as around")
+ctx_query("section_context", lambda: [F.col("c.section")], "section")
+ctx_query("related_mentions", lambda: [J("related").alias("related")], "array_to_string(related, '|') as related")
+ctx_query("medication_mentions", lambda: [J("drugs").alias("drugs")], "array_to_string(drugs, '|') as drugs")
+ctx_query("lab_mentions", lambda: [J("labs").alias("labs")], "array_to_string(labs, '|') as labs")
+ctx_query("context_size", lambda: [cx.size(F.col("c")).cast("bigint").alias("chars")],
           "length(prim) + length(array_to_string(around, ' ')) + length(section) + length(array_to_string(related, ' ')) as chars")
-ctx_query("context_summary", [cx.summary(F.col("c")).alias("summary")], """concat_ws(chr(10) || chr(10),
+ctx_query("context_summary", lambda: [cx.summary(F.col("c")).alias("summary")], """concat_ws(chr(10) || chr(10),
     case when prim <> '' then 'Primary mention: ' || prim end, case when len(around) > 0 then 'Surrounding context:' || chr(10) || array_to_string(around, chr(10)) end,
     case when section <> '' then 'Section context:' || chr(10) || left(section, 1500) end,
     case when len(drugs) > 0 then 'Medications:' || chr(10) || array_to_string(drugs[1:5], chr(10)) end,
@@ -175,14 +175,12 @@ GATE = f"""{G},
         from g6)"""
 
 
-def gate_query(name, sql_cols, *cols):
-    @query(name, f"with {GATE} select doc_id, ord, {sql_cols} from gt")
-    def run(spark, sf):
-        return gated(spark, sf).select("doc_id", "ord", *cols)
-
-
-gate_query("meat_gate", "m as monitoring, e as evaluation, a as assessment, t as treatment, rule, meat_valid, tier, review, cast(n_issues as bigint) as n_issues",
-           *E4, "rule", "meat_valid", "tier", "review", F.size("issues").cast("bigint").alias("n_issues"))
+@query("meat_gate", f"""
+    with {GATE} select doc_id, ord, m as monitoring, e as evaluation, a as assessment, t as treatment, rule, meat_valid, tier, review,
+        cast(n_issues as bigint) as n_issues from gt""")
+def meat_gate(spark, sf):
+    return gated(spark, sf).select(
+        "doc_id", "ord", *E4, "rule", "meat_valid", "tier", "review", F.size("issues").cast("bigint").alias("n_issues"))
 
 
 @query("gate_core_rule", f"with {GATE} select doc_id, ord, rule0 as rule, rule0 <> {q(me.FAIL)} as core_valid from gt")
