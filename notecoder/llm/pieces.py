@@ -177,19 +177,21 @@ def _processor(path: str):
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
-def _rows(path: str, text: str, full: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _digests(path: str, full: bool):
+    kinds = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if full else "")
+
+    @F.pandas_udf(kinds)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encoder, decode = _encoder(path), _processor(path).decode
-        for batch in batches:
+        for texts in batches:
             rows = []
-            for t in batch.pop(text):
+            for t in texts:
                 raw = encoder.encode(t)
                 ids = np.frombuffer(raw, "<u4")
                 decoded = decode(ids.tolist())
-                rows.append((len(ids), ids.astype("int32") if full else None, hashlib.sha256(raw).hexdigest(),
-                             decoded if full else None, hashlib.sha256(decoded.encode()).hexdigest()))
-            made = pd.DataFrame(rows, columns=["n_tokens", "ids", "ids_sha256", "decoded", "decoded_sha256"], index=batch.index)
-            yield pd.concat([batch, made if full else made.drop(columns=["ids", "decoded"])], axis=1)
+                more = (ids.astype("int32"), decoded) if full else ()
+                rows.append((len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), *more))
+            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if full else [])])
 
     return run
 
@@ -201,8 +203,6 @@ def encoded(docs: DataFrame, text: str = "text", path: str | None = None, full:
     decodes to nothing. Repeated rows are encoded each. Columns of the same names are replaced.
     """
     ship_package(docs.sparkSession)
-    new = "n_tokens bigint" + (", ids array<int>" if full else "") + ", ids_sha256 string" + (", decoded string" if full else "") + ", decoded_sha256 string"
-    made = {part.split()[0] for part in new.split(", ")}
-    keep = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in made and c != text], text)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema.fields[:-1]] + [new])
-    return keep.mapInPandas(_rows(path or model_path(), text, full), schema)
+    made = {"n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if full else [])}
+    keep = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in made | {text}]
+    return docs.select(*keep, _digests(path or model_path(), full)(F.col(text)).alias("__e")).select(*keep, "__e.*")

@@ -35,12 +35,12 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_quality_rules", r"""
     with t as (select doc_id, coalesce(text, '') as text from documents),
-    w as (select doc_id, text, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), x -> x <> '') as w,
-        list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from t),
+    w as (select doc_id, text, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') as w,
+        list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from t),
     m as (select doc_id, text, w, len(w) as n_words, cast(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) as bigint) as word_chars,
         cast(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
         cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, len(lines) as n_lines,
-        len(list_filter(w, x -> list_contains(string_split('STOP', ' '), lower(x)))) as stops,
+        len(list_filter(w, lambda x: list_contains(string_split('STOP', ' '), lower(x)))) as stops,
         length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) as uppers, length(regexp_replace(text, '[^\p{L}]', '', 'g')) as letters from w),
     g as (select doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g, i from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from m)),
     r as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, g) as c from g) where c > 1),
@@ -62,3 +62,17 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import encoded
 
     return encoded(read(spark, sf_dir).select("doc_id", "text"))
+
+
+@query("op2_suffix_array")
+def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_array import deduplicated
+
+    return deduplicated(read(spark, sf_dir)).withColumnRenamed("n_tokens", "n_bytes")
+
+
+@query("op8_suffix_tree")
+def op8_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_tree import deduplicated
+
+    return deduplicated(read(spark, sf_dir)).withColumnRenamed("n_tokens", "n_words")
