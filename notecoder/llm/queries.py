@@ -76,3 +76,10 @@ def op8_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_tree import deduplicated
 
     return deduplicated(read(spark, sf_dir)).withColumnRenamed("n_tokens", "n_words")
+
+
+@query("op1_minhash")
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir), words=2, percent=80).drop("text_hash")
