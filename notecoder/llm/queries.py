@@ -83,3 +83,42 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
     return near_duplicates(read(spark, sf_dir), words=2, percent=80).drop("text_hash")
+
+
+@query("op3_line_dedup", r"""
+    with l as (select doc_id, unnest(string_split(text, chr(10))) as s, unnest(range(len(string_split(text, chr(10))))) as line from documents),
+    m as (select *, case when regexp_matches(s, '[0-9]') and trim(translate(regexp_replace(regexp_replace(s, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '<\*>', '', 'g'), chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     ')) <> ''
+        then regexp_replace(s, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g') else s end as t from l),
+    w as (select doc_id, line, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from m),
+    f as (select doc_id, line, '-1 ' || array_to_string(w, ' ') as form from w where len(w) > 0
+        union all select doc_id, line, b || ' ' || len(w) || ' ' || array_to_string(list_filter(w, lambda x, i: i <= 2 + (len(w) - 2) * b // 4 or i > 2 + (len(w) - 2) * (b + 1) // 4), ' ')
+        from w, range(4) r(b) where len(w) >= 8),
+    o as (select form, min(struct_pack(d := doc_id, l := line)) as first from f group by form having count(distinct doc_id) >= 10),
+    g as (select distinct f.doc_id, line from f join o using (form) where struct_pack(d := doc_id, l := line) <> first),
+    k as (select l.doc_id, count(*) as n_lines, count(g.line) as n_dropped, coalesce(string_agg(l.s, chr(10) order by l.line) filter (g.line is null), '') as kept
+        from l left join g on g.doc_id = l.doc_id and g.line = l.line group by l.doc_id)
+    select doc_id, n_lines, n_dropped, sha256(kept) as kept_sha256 from k""")
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import without_recurring_lines
+
+    out = without_recurring_lines(read(spark, sf_dir))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query("op4_decontamination", r"""
+    with w as (select doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w from documents),
+    b as (select item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w from benchmark),
+    dg as (select doc_id, i, array_to_string(w[i:i + 4], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 3)) as i from w)),
+    bg as (select item_id, array_to_string(w[i:i + 4], ' ') as g, len(w) - 4 as n from (select item_id, w, unnest(range(1, len(w) - 3)) as i from b)),
+    bc as (select item_id, g, n, count(*) as c from bg group by all),
+    h as (select doc_id, item_id, n, g, c, i from dg join bc using (g)),
+    s as (select doc_id, item_id, n, g, c, unnest(range(greatest(1, i - n + 1), i + 1)) as start from h),
+    a as (select doc_id, item_id, n, start, g, least(count(*), any_value(c)) as k from s group by doc_id, item_id, n, start, g),
+    m as (select doc_id, item_id from a join w using (doc_id) where start + n - 1 <= len(w) - 4
+        group by doc_id, item_id, n, start having 5 * sum(k) >= 4 * (2 * n - sum(k))),
+    r as (select doc_id, count(distinct item_id) as n_items, min(item_id) as first_item from m group by 1)
+    select d.doc_id, coalesce(n_items, 0) as n_items, first_item, n_items is not null as contaminated from documents d left join r using (doc_id)""")
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .contamination import checked
+
+    return checked(read(spark, sf_dir), read(spark, sf_dir, "benchmark")).select("doc_id", "n_items", "first_item", "contaminated")
