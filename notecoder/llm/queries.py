@@ -122,3 +122,11 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .contamination import checked
 
     return checked(read(spark, sf_dir), read(spark, sf_dir, "benchmark")).select("doc_id", "n_items", "first_item", "contaminated")
+
+
+@query("op9_pseudonyms")
+def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key is a secret of the user's; a fixed one serves the check."""
+    from .pseudonyms import pseudonymised
+
+    return pseudonymised(read(spark, sf_dir).select("doc_id", "text"), key="check")
