@@ -130,3 +130,11 @@ def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pseudonyms import pseudonymised
 
     return pseudonymised(read(spark, sf_dir).select("doc_id", "text"), key="check")
+
+
+@query("op6_toxicity")
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fitted, scored
+
+    docs = read(spark, sf_dir)
+    return scored(docs.select("doc_id", "text"), fitted(docs, read(spark, sf_dir, "labels")))
