@@ -135,8 +135,15 @@ def claimed(spark, sf):
     })
 
 
-def gated(spark, sf):
-    return me.gate(claimed(spark, sf))
+def gated(spark, sf, near=None):
+    """Without window scores, which SQL can't express; ``meat_gate_windows`` has them."""
+    return me.gate(claimed(spark, sf), near=near)
+
+
+@query("meat_gate_windows")
+def meat_gate_windows(spark, sf):
+    out = gated(spark, sf, near=me.NEAR)
+    return out.select("doc_id", "ord", *E4, "rule", "meat_valid", "tier", "review", F.size("issues").cast("bigint").alias("n_issues"))
 
 
 SRC_ANY = lambda names: f"len(list_intersect(src, {lst(names)})) > 0"

@@ -60,7 +60,7 @@ def exact_code_match(spark, sf):
 STOPS = "['the','and','for','with','without','not','from','due','type','stage','grade','unspecified','other','bilateral','left','right','acute','chronic','primary','secondary']"
 WORDS = lambda x: f"list_filter(string_split({CLEAN.format(x=x)}, ' '), lambda w: length(w) >= 3 and not list_contains({STOPS}, w))"
 PAIRS = f"""{CODES_SQL}, {NAMES_SQL}, {variants_sql('names')},
-    tm as (select name, ord * 2 as tier, [variant] as ns from v union all select name, ord * 2 + 1, {WORDS('variant')} from v where len({WORDS('variant')}) >= 2
+    tm as (select name, ord * 2 as tier, [variant] as ns from v where variant <> '' union all select name, ord * 2 + 1, {WORDS('variant')} from v where len({WORDS('variant')}) >= 2
            union all select name, 100000 + i - 1, [w] from (select name, unnest(({WORDS('name')})[1:3]) as w, generate_subscripts(({WORDS('name')})[1:3], 1) as i from names) where length(w) >= 4),
     pr as (select name, code, min(tier) as tier, any_value(description) as description, min(seq) as seq
            from tm, codes where len(list_filter(ns, lambda s: not contains(lower(description), s))) = 0 group by name, code)"""
@@ -68,7 +68,7 @@ PAIRS = f"""{CODES_SQL}, {NAMES_SQL}, {variants_sql('names')},
 
 @query("code_candidates", f"with {PAIRS} select name, code, cast(tier as bigint) as tier, description, seq from pr")
 def code_candidates(spark, sf):
-    return mp.candidates(names(spark, sf), codes(spark, sf)).select("name", "code", F.col("tier").cast("bigint"), "description", "seq")
+    return mp.candidates(names(spark, sf), codes(spark, sf)).select("name", "code", (F.col("tier.kind") * 100000 + F.col("tier.at")).cast("bigint").alias("tier"), "description", "seq")
 
 
 NUM = " or ".join(f"(regexp_extract({{a}}, '{p}(\\w+)', 1) <> '' and regexp_extract({{b}}, '{p}(\\w+)', 1) <> '' and regexp_extract({{a}}, '{p}(\\w+)', 1) <> regexp_extract({{b}}, '{p}(\\w+)', 1))" for p in ("type ", "stage ", "grade ", "class "))

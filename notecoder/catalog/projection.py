@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.tables import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,7 +104,7 @@ NOTES_SQL = f"select {K} as doc_id, {NOTE_TEXT} as text from orders"
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One clinical note per order: ``doc_id, text``."""
     rows = table(spark, sf_dir, "orders").select(K, C, "o_totalprice")
-    return spread(rows).selectExpr(f"{K} as doc_id", f"{NOTE_TEXT} as text")
+    return rows.selectExpr(f"{K} as doc_id", f"{NOTE_TEXT} as text")
 
 
 def duck(sql: str) -> str:
@@ -160,4 +159,4 @@ RESULTS_SQL = "select " + ", ".join(f"{e} as {n}" for n, e in RESULT_COLUMNS) +
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Result rows, one per line item, with ``sources`` and evidence texts."""
     rows = table(spark, sf_dir, "lineitem").select(L, LP, LS, "l_linenumber", "l_quantity")
-    return spread(rows).selectExpr(*[f"{e} as {n}" for n, e in RESULT_COLUMNS])
+    return rows.selectExpr(*[f"{e} as {n}" for n, e in RESULT_COLUMNS])

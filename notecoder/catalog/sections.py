@@ -140,7 +140,7 @@ def match_canonical(spark, sf):
 def pair_terms(spark, sf):
     """Pairs of a note's candidate headers with its following candidate."""
     docs = se.with_candidates(notes(spark, sf))
-    pairs = F.transform(F.slice("candidates", 2, 10000), lambda c, i: F.struct(
+    pairs = F.transform(F.slice("candidates", F.lit(2), F.greatest(F.size("candidates"), F.lit(0))), lambda c, i: F.struct(
         F.get(F.col("candidates"), i)["header"].alias("a"), c["header"].alias("b")))
     from ..functions.arrays import explode_rows
 

@@ -14,7 +14,7 @@ from .sqltext import edges, has_any, lst, q, squeeze, strip, values
 
 
 def documents(spark, sf):
-    return src.spread(table(spark, sf, "documents").select("doc_id", "text"))
+    return table(spark, sf, "documents").select("doc_id", "text")
 
 
 # --- clean-up ----------------------------------------------------------------------

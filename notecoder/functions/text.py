@@ -238,7 +238,7 @@ def format_code(code: Column) -> Column:
     """Dot after the third character of a longer, undotted code."""
     return F.when(
         (F.length(code) > 3) & ~F.contains(code, F.lit(".")),
-        F.concat(F.substring(code, 1, 3), F.lit("."), F.substring(code, 4, 100)),
+        F.concat(F.substring(code, 1, 3), F.lit("."), F.substr(code, F.lit(4))),
     ).otherwise(code)
 
 

@@ -125,6 +125,6 @@ past_medical_history, pmh, medical_history, medications, current_medications, hp
 """)
 FAMILY_SECTIONS = words("family_history, fh, screening")
 
-# BMI bands, first code per whole unit from 25 to below 40, then one band.
-BMI_UNIT_BANDS = [(lo, lo + 1, f"Z68.{lo}") for lo in range(25, 40)]
-BMI_BANDS = BMI_UNIT_BANDS + [(40, 45, "Z68.41")]
+# BMI bands; one below 20, one per whole unit from 20 to below 40, then five.
+BMI_BANDS = [(0, 20, "Z68.1")] + [(lo, lo + 1, f"Z68.{lo}") for lo in range(20, 40)] + [
+    (40, 45, "Z68.41"), (45, 50, "Z68.42"), (50, 60, "Z68.43"), (60, 70, "Z68.44"), (70, 1000, "Z68.45")]

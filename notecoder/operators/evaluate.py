@@ -35,14 +35,17 @@ def detection(predicted: DataFrame, expected: DataFrame) -> DataFrame:
 def detection_fuzzy(predicted: DataFrame, expected: DataFrame, threshold: int = 80) -> DataFrame:
     """Detection scores with greedy one-to-one matching at a token-set score.
 
-    Distinct names of a document are paired and scored; the greedy pass folds over its
-    predictions in order, taking the first free expected name.
+    Every occurrence counts. Distinct names of a document are paired and scored; the greedy
+    pass then folds over its predictions in order, each taking the first expected occurrence
+    that is free.
     """
-    names = lambda df: df.groupBy("doc_id", F.trim(F.lower("disease")).alias("name")).agg(F.min("ord").alias("ord"))
-    p, e = names(predicted), names(expected.where(~F.col("negated")))
+    each = lambda df: df.select("doc_id", F.trim(F.lower("disease")).alias("name"), "ord")
+    p, e = each(predicted), each(expected.where(~F.col("negated")))
+    alike = lambda a, b: a.select("doc_id", F.col("name").alias("pn")).distinct().join(b.select("doc_id", F.col("name").alias("en")).distinct(), "doc_id").where(
+        sim.token_set_ratio(F.col("pn"), F.col("en")) >= threshold)
     pairs = p.select("doc_id", F.col("name").alias("pn"), F.col("ord").alias("po")).join(
-        e.select("doc_id", F.col("name").alias("en"), F.col("ord").alias("eo")), "doc_id")
-    hits = pairs.where(sim.token_set_ratio(F.col("pn"), F.col("en")) >= threshold)
+        alike(p, e), ["doc_id", "pn"]).join(e.select("doc_id", F.col("name").alias("en"), F.col("ord").alias("eo")), ["doc_id", "en"])
+    hits = pairs
     options = hits.groupBy("doc_id", "po").agg(F.array_sort(F.collect_list("eo")).alias("eos"))
     taken = options.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("po", "eos"))).alias("o"))
 

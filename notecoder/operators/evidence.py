@@ -90,25 +90,26 @@ def squash(c: Column) -> Column:
     return tx.squeeze(F.lower(c))
 
 
-def grounded(evidence: Column, context: Column, partial: Column | None = None) -> Column:
-    """Whether an evidence text occurs in the (squashed) context.
-
-    Verbatim first, then 70 percent of its words; ``partial`` is an optional window score.
-    """
+def grounded(evidence: Column, context: Column) -> Column:
+    """Whether an evidence text, or 70 percent of its words, occurs in the (squashed) context."""
     words = F.split(squash(evidence), " ")
-    near = F.lit(False) if partial is None else F.coalesce(partial >= 75, F.lit(False))
-    return F.contains(context, squash(evidence)) | near | (sim.word_overlap(words, F.split(context, " ")) >= 0.70)
+    return F.contains(context, squash(evidence)) | (sim.word_overlap(words, F.split(context, " ")) >= 0.70)
+
+
+#: Fixed value: window score from which an evidence text counts as found.
+NEAR = 75
 
 
-def gate(rows: DataFrame, partial: dict[str, Column] | None = None, settings: Settings = DEFAULTS) -> DataFrame:
+def gate(rows: DataFrame, settings: Settings = DEFAULTS, near: int | None = NEAR) -> DataFrame:
     """Deterministic validation of claimed evidence elements, in one row.
 
     ``rows`` has the four flags, ``*_evidence``, ``*_confidence``, ``overall_confidence``,
     ``context`` and ``sources``. Flags and confidences are replaced by the checked ones;
     ``rule, meat_valid, tier, review, issues`` are added. Each step is one projection over the
-    columns of the step before.
+    columns of the step before. A text that is neither found verbatim nor by its words is
+    scored against the context's windows; the scorer gets nulls for all others. ``near`` is the
+    score from which it counts as found; None leaves the windows out.
     """
-    partial = partial or {}
     ev = lambda e: F.trim(F.coalesce(F.col(f"{e}_evidence"), F.lit("")))
     low_sources = F.transform("sources", lambda s: F.lower(F.coalesce(s, F.lit(""))))
     hits = lambda names: F.arrays_overlap(F.col("_s"), tx.literal_array(names))
@@ -116,10 +117,15 @@ def gate(rows: DataFrame, partial: dict[str, Column] | None = None, settings: Se
     count = lambda: sum((F.col(x).cast("int") for x in ELEMENTS), F.lit(0))
     # claimed elements against the core rule, and each text against the context
     rows = rows.withColumns({"_ctx": squash(F.col("context")), "_s": low_sources})
+    stated = {x: F.col(x) & (F.length(ev(x)) >= 5) for x in ELEMENTS}
+    rows = rows.withColumns({f"_g_{x}": F.coalesce(~s | grounded(ev(x), F.col("_ctx")), F.lit(False)) for x, s in stated.items()})
+    open_ = lambda x, c: F.when(~F.col(f"_g_{x}"), c)
+    score = lambda x: F.lit(0) if near is None else sim.partial_ratio(open_(x, squash(ev(x))), open_(x, F.col("_ctx")))
+    rows = rows.withColumns({f"_n_{x}": score(x) for x in ELEMENTS})
     rule = F.when(a & (m | e | t), PASS_A).when(t & (m | e), PASS_T).when(count() >= 2, PASS_N).otherwise(FAIL)
     states = {
         f"_{x}": F.when(~F.col(x), "absent").when(F.length(ev(x)) < 5, "short")
-        .when(grounded(ev(x), F.col("_ctx"), partial.get(x)), "found").otherwise("missing")
+        .when(F.col(f"_g_{x}") | (F.col(f"_n_{x}") >= (101 if near is None else near)), "found").otherwise("missing")
         for x in ELEMENTS
     }
     rows = rows.withColumns({"rule": rule, **states})
@@ -182,7 +188,7 @@ def gate(rows: DataFrame, partial: dict[str, Column] | None = None, settings: Se
             *[issue(valid & s, f"{x}: text too short for audit") for x, s in short.items()], issue(valid & ~solid, "no verifiable evidence"))),
         "meat_valid": valid & solid,
     })
-    return rows.withColumn("issues", F.array_compact("_issues")).drop("_issues", "_ctx", "_s", "_past", "_history", *[f"_{x}" for x in ELEMENTS])
+    return rows.withColumn("issues", F.array_compact("_issues")).drop("_issues", "_ctx", "_s", "_past", "_history", *[f"{p}{x}" for x in ELEMENTS for p in ("_", "_g_", "_n_")])
 
 
 def evidence_tier(rows: DataFrame) -> DataFrame:

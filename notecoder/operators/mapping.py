@@ -43,20 +43,37 @@ def exact_match(names: DataFrame, codes: DataFrame, synonyms=SYNONYMS) -> DataFr
                        F.col("b.variant").alias("via"), F.lit(1.0).alias("confidence"))
 
 
+#: Fixed value: words of a name that are searched alone.
+SINGLE_WORDS = 3
+
+
+def short_grams(c: Column) -> Column:
+    """All texts of one and two characters in ``c``."""
+    of = lambda n: F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substring(c, i, F.lit(n)))
+    return F.when(F.length(c) > 1, F.array_distinct(F.concat(of(1), of(2)))).when(F.length(c) == 1, F.array(c)).otherwise(F.array().cast("array<string>"))
+
+
 def trigrams(c: Column) -> Column:
     n = F.length(c) - 2
     return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(c, i, F.lit(3))))).otherwise(
         F.array().cast("array<string>"))
 
 
-def search_terms(names: DataFrame, synonyms=SYNONYMS) -> DataFrame:
-    """``name, tier, needles``: texts that a description must hold, per search strategy."""
+def search_terms(names: DataFrame, synonyms=SYNONYMS, single_words: int | None = SINGLE_WORDS) -> DataFrame:
+    """``name, tier, needles``: texts that a description must hold, per search strategy.
+
+    ``single_words`` is how many of a name's words are also searched alone; None: all.
+    """
     v = with_variants(names, synonyms)
     words = tx.search_words(F.col("variant"))
-    phrase = v.select("name", (F.col("ord") * 2).alias("tier"), F.array("variant").alias("needles"))
-    every = v.select("name", (F.col("ord") * 2 + 1).alias("tier"), words.alias("needles")).where(F.size("needles") >= 2)
-    single = names.select("name", F.posexplode(F.slice(tx.search_words(F.col("name")), 1, 3)).alias("i", "w")).where(
-        F.length("w") >= 4).select("name", (F.col("i") + 100000).alias("tier"), F.array("w").alias("needles"))
+    # strategies in order: phrase and all words of each variant in turn, then single words
+    tier = lambda kind, at: F.struct(F.lit(kind).alias("kind"), at.cast("int").alias("at")).alias("tier")
+    phrase = v.select("name", tier(0, F.col("ord") * 2), F.array("variant").alias("needles")).where("variant <> ''")
+    every = v.select("name", tier(0, F.col("ord") * 2 + 1), words.alias("needles")).where(F.size("needles") >= 2)
+    all_words = tx.search_words(F.col("name"))
+    some = all_words if single_words is None else F.slice(all_words, 1, single_words)
+    single = names.select("name", F.posexplode(some).alias("i", "w")).where(
+        F.length("w") >= 4).select("name", tier(1, F.col("i")), F.array("w").alias("needles"))
     return phrase.union(every).union(single)
 
 
@@ -64,13 +81,19 @@ def candidates(names: DataFrame, codes: DataFrame, synonyms=SYNONYMS) -> DataFra
     """``name, code, description, seq, tier``: descriptions that hold a search term.
 
     An inverted index of description trigrams replaces the all-pairs comparison: each term
-    is looked up under its rarest trigram, then verified. Every hit is kept.
+    is looked up under its rarest trigram, then verified; a term without a text of three
+    characters is looked up under the whole of its rarest short text. Every hit is kept.
     """
     dictionary = prepared(codes).select("code", "description", "desc_key", "seq")
-    index = dictionary.select("seq", F.explode(trigrams(F.col("desc_key"))).alias("gram"))
-    frequency = index.groupBy("gram").agg(F.count("*").alias("n"))
     terms = search_terms(names, synonyms)
-    grams = terms.select("name", "tier", "needles", F.explode(F.array_distinct(F.flatten(F.transform("needles", trigrams)))).alias("gram"))
+    # a short text is its own gram; those of longer ones are left out, a longer one is rarer
+    long_ = F.exists("needles", lambda s: F.length(s) >= 3)
+    keys = F.when(long_, F.flatten(F.transform("needles", trigrams))).otherwise(F.filter("needles", lambda s: s != ""))
+    grams = terms.select("name", "tier", "needles", F.explode(F.array_distinct(keys)).alias("gram"))
+    asked = grams.where(F.length("gram") < 3).select("gram").distinct()
+    short = dictionary.select("seq", F.explode(short_grams(F.col("desc_key"))).alias("gram")).join(asked, "gram", "left_semi")
+    index = dictionary.select("seq", F.explode(trigrams(F.col("desc_key"))).alias("gram")).unionByName(short)
+    frequency = index.groupBy("gram").agg(F.count("*").alias("n"))
     # a trigram that no description has rules the term out: its count is 0
     rated = grams.join(frequency, "gram", "left").select("name", "tier", "needles", "gram", F.coalesce("n", F.lit(0)).alias("n"))
     probe = rated.groupBy("name", "tier").agg(F.min(F.struct("n", "gram", "needles")).alias("p")).where("p.n > 0").select(
@@ -191,13 +214,20 @@ def top_codes(scored: DataFrame, k: int = 5, threshold: float = DEFAULTS.fuzzy_t
                        F.least(F.lit(1.0), F.bround(F.col("score") / 100, 3)).alias("confidence"))
 
 
-def search_combined(names: DataFrame, codes: DataFrame, method: str = "token_set", synonyms=SYNONYMS) -> DataFrame:
-    """Exact match, else the best fuzzy one; fuzzy work is done only for names without an exact match."""
+def search_combined(names: DataFrame, codes: DataFrame, method: str = "token_set", synonyms=SYNONYMS, k: int = 5) -> DataFrame:
+    """Exact match, else the best fuzzy one, with the ``k`` best as ``candidates``.
+
+    Fuzzy work is done only for names without an exact match. ``candidates`` is an array of
+    (rank, icd_code, description, confidence); an exact match is its only one.
+    """
     exact = exact_match(names, codes, synonyms)
     rest = names.join(exact.select("name"), "name", "left_anti")
-    best = top_codes(score(candidates(rest, codes, synonyms), method, synonyms), k=1)
-    hits = exact.select("name", "icd_code", "description", "confidence", F.lit("exact").alias("search_method")).unionByName(
-        best.select("name", "icd_code", "description", "confidence", F.lit("fuzzy").alias("search_method")))
+    entry = F.struct("rank", "icd_code", "description", "confidence")
+    ranked = top_codes(score(candidates(rest, codes, synonyms), method, synonyms), k=k)
+    best = ranked.groupBy("name").agg(F.array_sort(F.collect_list(entry)).alias("candidates")).withColumn("b", F.col("candidates")[0])
+    one = F.struct(F.lit(1).cast("bigint").alias("rank"), "icd_code", "description", "confidence")
+    hits = exact.select("name", "icd_code", "description", "confidence", F.lit("exact").alias("search_method"), F.array(one).alias("candidates")).unionByName(
+        best.select("name", "b.icd_code", "b.description", "b.confidence", F.lit("fuzzy").alias("search_method"), "candidates"))
     return names.join(hits, "name", "left").withColumn("search_method", F.coalesce("search_method", F.lit("none")))
 
 
@@ -253,6 +283,7 @@ def assign_codes(found: DataFrame, codes: DataFrame, settings: Settings = DEFAUL
     out = x.select(
         "name", F.when(ok, F.col("icd_code")).alias("icd_code"), F.when(ok, F.col("description")).alias("description"),
         F.when(ok, conf).otherwise(F.lit(0.0)).alias("confidence"),
+        *(["candidates"] if "candidates" in found.columns else []),
         F.when(F.col("icd_code").isNull(), "none").when(~ok, "rejected_invalid").when(exact, "exact_match").otherwise("fuzzy_match").alias("mapping_method"),
     )
     return out.withColumn("status", F.when(F.col("icd_code").isNull(), "not_found").when(F.col("confidence") >= settings.auto_assign, "auto_assigned").otherwise("manual_review"))

@@ -248,28 +248,31 @@ def route_coalesce(routes: list[tuple[str, DataFrame]]) -> DataFrame:
     return tagged.join(first, "doc_id").where("_priority = _first").drop("_priority", "_first")
 
 
-def replace_document_results(rows: DataFrame, path: str, buckets: int = 256) -> None:
-    """Overwrite the results of the given documents' buckets; reruns give the same files.
+def replace_document_results(rows: DataFrame, path: str, buckets: int = 256, processed: DataFrame | None = None) -> None:
+    """Replace the results of the processed documents; reruns give the same files.
 
+    ``processed`` has the ``doc_id`` of every document that was run, also of those that now
+    have no rows: their old rows go. Without it these are the documents of ``rows``.
     Documents fall into a fixed number of buckets; a dynamic overwrite replaces only the
-    buckets present. Rows of other documents of a touched bucket are carried over.
+    buckets present, other documents' rows of a touched bucket are carried over, and a bucket
+    left without rows is emptied. One writer at a time may use a path.
     """
     spark = rows.sparkSession
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
     new = rows.withColumn("doc_bucket", bucket)
-    try:
-        old = spark.read.parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        old = None
-    if old is not None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(target):
         from ..session import reliable_checkpoint
 
-        docs = new.select("doc_id", "doc_bucket").distinct()
+        old = spark.read.parquet(path)
+        docs = (rows if processed is None else processed).select("doc_id", bucket.alias("doc_bucket")).distinct()
         touched = docs.select("doc_bucket").distinct()
         carried = old.join(touched, "doc_bucket", "left_semi").join(docs, ["doc_id"], "left_anti")
         new = reliable_checkpoint(carried.select(*new.columns).unionByName(new))
+        # a dynamic overwrite leaves buckets alone that no row falls into
+        for r in touched.join(new.select("doc_bucket").distinct(), "doc_bucket", "left_anti").collect():  # at most ``buckets``
+            files.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/doc_bucket={r['doc_bucket']}"), True)
     new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_bucket").parquet(path)
 
 

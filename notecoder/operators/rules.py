@@ -72,7 +72,8 @@ def mark_negated(rows: DataFrame) -> DataFrame:
 def mark_documented(rows: DataFrame, notes: DataFrame) -> DataFrame:
     """Mark rows whose disease is not found in the document text.
 
-    Assessment rows with evidence are trusted. Texts are joined by ``doc_id`` once.
+    Assessment rows with evidence are trusted. A row with ``icd_description`` of six or more
+    characters is also found by half of its words of four or more letters.
     """
     low = F.trim(F.lower("disease"))
     named = F.transform("sources", lambda s: F.replace(F.lower(s), F.lit(" "), F.lit("_")))
@@ -86,6 +87,10 @@ def mark_documented(rows: DataFrame, notes: DataFrame) -> DataFrame:
         | F.coalesce(F.contains(F.col("_text"), abbr), F.lit(False))
         | ((F.size(F.split(low, r"\s+")) > 1) & (share(long_words) >= 0.6))
     )
+    if "icd_description" in rows.columns:
+        described = F.lower(F.coalesce("icd_description", F.lit("")))
+        own = F.filter(F.split(described, r"\s+"), lambda w: F.length(w) >= 4)
+        found = found | ((F.length(described) >= 6) & (F.size(own) > 0) & (share(own) >= 0.5))
     texts = notes.select("doc_id", F.lower("text").alias("_text"))
     return rows.join(texts, "doc_id", "left").withColumn(
         "removed", ~(trusted | F.coalesce(found, F.lit(False)))

@@ -11,14 +11,25 @@ from ..functions.skew import running
 from ..settings import DEFAULTS, Settings
 
 
-def code_stream(notes: DataFrame, code: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame], None], checkpoint: str, delay: str = "1 day") -> StreamingQuery:
-    """Run the batch coding of every arriving note once; reruns of a batch give the same rows.
+def latest_notes(notes: DataFrame) -> DataFrame:
+    """One row per document: the text that arrived last, repeats and older versions left out."""
+    last = F.max_by(F.struct("text", "arrived"), F.struct("arrived", F.xxhash64("text")))
+    return notes.groupBy("doc_id").agg(last.alias("n")).select("doc_id", "n.*")
 
-    ``notes`` is a stream of ``doc_id, text, arrived``.
+
+def code_stream(notes: DataFrame, code: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame, DataFrame], None], checkpoint: str) -> StreamingQuery:
+    """Run the batch coding on every batch of arriving notes; reruns of a batch give the same rows.
+
+    ``notes`` is a stream of ``doc_id, text, arrived``. No note is too late: of a document's
+    versions in a batch the last one is coded, and a later batch replaces what an earlier one
+    wrote. ``write(rows, notes)`` gets the results and the notes they come from, so it can
+    also replace the rows of documents that have none now.
     """
-    fresh = notes.withWatermark("arrived", delay).dropDuplicatesWithinWatermark(["doc_id"])
-    return fresh.writeStream.foreachBatch(lambda df, _: write(code(df))).option("checkpointLocation", checkpoint).trigger(
-        availableNow=True).start()
+    def run(batch: DataFrame, _: int) -> None:
+        latest = latest_notes(batch)
+        write(code(latest), latest)
+
+    return notes.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest_status(events: DataFrame) -> DataFrame:

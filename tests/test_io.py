@@ -39,6 +39,6 @@ def test_stream_equals_batch_and_drops_repeats(spark, tmp_path):
     notes.write.parquet(source)
     code = lambda df: df.select("doc_id", F.upper("text").alias("disease"), F.lit(0).alias("ord"))
     stream = spark.readStream.schema(notes.schema).parquet(source)
-    query = jobs.code_stream(stream, code, lambda df: rs.replace_document_results(df, out, buckets=2), str(tmp_path / "cp"))
+    query = jobs.code_stream(stream, code, lambda df, ran: rs.replace_document_results(df, out, buckets=2, processed=ran), str(tmp_path / "cp"))
     query.awaitTermination(90)
     assert sorted((r.doc_id, r.disease) for r in spark.read.parquet(out).collect()) == [(1, "HTN"), (2, "ASTHMA")]
