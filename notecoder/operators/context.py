@@ -102,6 +102,57 @@ def build(sentences: Column, section_text: Column, name: Column, n: int = 5) ->
     return let(primary_index(sentences, name), parts)
 
 
+def sentence_profiles(sentences: Column, lines) -> Column:
+    """Sentences with their lower-case form, general drug and laboratory bits and ``lines(text)``; made once per note."""
+    one = lambda s: let(F.lower(s), lambda low: F.struct(
+        s.alias("s"), low.alias("low"), low.rlike(tx.any_of(kn.GENERAL_DRUG_WORDS)).alias("drug"),
+        low.rlike(tx.any_of(kn.GENERAL_LAB_WORDS)).alias("lab"), lines(s).alias("lines")))
+    return F.transform(sentences, one)
+
+
+def section_profiles(sections: Column, lines) -> Column:
+    """Sections with their non-blank lines, each with its lower-case form and ``lines(text)``."""
+    one = lambda t: F.struct(t.alias("s"), F.lower(t).alias("low"), lines(t).alias("lines"))
+    return F.transform(sections, lambda s: F.struct(s["section"].alias("section"), F.transform(
+        F.filter(F.split(s["text"], "\n"), lambda t: F.trim(t) != ""), one).alias("lines")))
+
+
+def build_profiled(sents: Column, section: Column, name: Column, n: int = 5) -> Column:
+    """Context of a mention from profiled sentences and section lines: ``text``, ``drugs`` and ``lines``."""
+    low = F.lower(name)
+    keys = F.filter(F.split(low, r"\s+"), lambda w: F.length(w) >= 4)
+    fixed = F.struct(low.alias("name"), keys.alias("keys"), F.least(F.lit(2), F.size(keys)).alias("need"),
+                     _specific(name, kn.CONTEXT_DRUGS).alias("drug"), _specific(name, kn.CONTEXT_LABS).alias("lab"))
+
+    def parts(c: Column) -> Column:
+        named = F.transform(sents, lambda s: F.contains(s["low"], c["name"]))
+        keyed = lambda line: F.contains(line["low"], c["name"]) | ((F.size(c["keys"]) > 0) & (
+            F.size(F.filter(c["keys"], lambda w: F.contains(line["low"], w))) >= c["need"]))
+        special = lambda s, k: s[k] | F.coalesce(F.call_function("rlike", s["low"], c[k]), F.lit(False))
+
+        def picked(hits: Column) -> Column:
+            near = lambda i: F.array_contains(F.slice(hits, F.greatest(i - 1, F.lit(1)), F.least(i + 2, F.lit(4))), True)
+            return F.when(F.array_contains(hits, True), F.filter(section, lambda _, i: near(i))).otherwise(F.slice(section, 1, 8))
+
+        def gather(x: Column) -> Column:
+            at = x["at"]
+            first = F.greatest(at - n, F.lit(1))
+            around = F.when(at == 0, F.slice(sents, 1, 0)).otherwise(F.slice(sents, first, at + n - first + 1))
+            primary = F.when(at > 0, F.slice(sents, at, 1)).otherwise(F.slice(sents, 1, 0))
+            main = F.coalesce(F.get(primary, F.lit(0))["s"], F.lit(""))
+            related_ = F.filter(sents, lambda s, i: F.get(x["named"], i) & (s["s"] != main))
+            drugs, labs = F.filter(sents, lambda s: special(s, "drug")), F.filter(sents, lambda s: special(s, "lab"))
+            found = F.struct(primary.alias("p"), around.alias("a"), let(F.transform(section, keyed), picked).alias("section"), related_.alias("r"), drugs.alias("d"), labs.alias("l"), main.alias("main"))
+            texts = lambda a: F.transform(a, lambda s: s["s"])
+            return let(found, lambda f: F.struct(
+                F.concat_ws(" ", f["main"], F.array_join(texts(f["a"]), " "), F.array_join(texts(f["section"]), "\n")).alias("text"), (F.size(f["d"]) > 0).alias("drugs"),
+                F.flatten(F.concat(*[F.transform(f[k], lambda s: s["lines"]) for k in ("p", "a", "section", "r", "d", "l")])).alias("lines")))
+
+        return let(named, lambda b: let(F.struct(b.alias("named"), F.array_position(b, True).cast("int").alias("at")), gather))
+
+    return let(fixed, parts)
+
+
 def size(c: Column) -> Column:
     """Characters of the primary, surrounding, section and related texts."""
     return (

@@ -70,6 +70,45 @@ def detect_all(lines: Column, name: Column) -> Column:
     return F.struct(*fields)
 
 
+def line_profiles(text: Column) -> Column:
+    """Lines of eight or more characters with their lower-case form and a bit per element.
+
+    Made once per text, however many mentions look at it.
+    """
+    bits = lambda low: [low.rlike(tx.any_of(WORDS[e])).alias(e) for e in ELEMENTS]
+    one = lambda s: let(F.lower(s), lambda low: F.struct(s.alias("s"), low.alias("low"), *bits(low)))
+    return F.transform(F.filter(F.transform(F.split(text, "\n"), strip), lambda s: F.length(s) >= 8), one)
+
+
+def detect_profiled(lines: Column, low_name: Column) -> Column:
+    """``detect_all`` over profiled lines: only the name is looked for, repeats change nothing."""
+    rated = F.transform(lines, lambda x: F.struct(
+        x["s"].alias("s"), F.length(x["s"]).alias("n"), F.contains(x["low"], low_name).alias("named"), *[x[e].alias(e) for e in ELEMENTS]))
+
+    def best(all_: Column, e: str) -> Column:
+        # Fixed values as in ``detect``.
+        named_confidence = 0.75 if e == "assessment" else 0.70
+
+        def rate(x: Column, i: Column) -> Column:
+            conf = F.when(x["named"], F.lit(named_confidence)).otherwise(F.lit(0.55))
+            score = conf + F.when(x["n"] < 120, F.lit(0.05)).otherwise(F.lit(0.0)) + F.when(x["named"], F.lit(0.10)).otherwise(F.lit(0.0))
+            return F.when(x[e], F.struct(score.alias("score"), (-i).alias("o"), conf.alias("confidence"), x["s"].alias("line")))
+
+        return let(F.array_max(F.transform(all_, rate)), lambda b: F.struct(
+            F.trim(F.substring(b["line"], 1, 150)).alias("evidence"), F.coalesce(b["confidence"], F.lit(0.0)).alias("confidence")))
+
+    def assessment(all_: Column) -> Column:
+        named = F.transform(all_, lambda x, i: F.when(x["named"], F.struct(F.least(x["n"], F.lit(150)).alias("n"), i.alias("i"), x["s"].alias("s"))))
+        pair = F.struct(F.array_min(named).alias("short"), best(all_, "assessment").alias("kw"))
+        return let(pair, lambda p: F.when(
+            p["kw"]["confidence"] > F.when(p["short"].isNotNull(), F.lit(0.65)).otherwise(F.lit(0.0)), p["kw"]
+        ).otherwise(F.struct(
+            F.trim(F.substring(p["short"]["s"], 1, 150)).alias("evidence"),
+            F.when(p["short"].isNotNull(), F.lit(0.65)).otherwise(F.lit(0.0)).alias("confidence"))))
+
+    return let(rated, lambda a: F.struct(*[(assessment(a) if e == "assessment" else best(a, e)).alias(e) for e in ELEMENTS]))
+
+
 def overall_confidence(confidences: list[Column]) -> Column:
     """Mean of the confidences above zero, two decimals."""
     n = sum(((c > 0).cast("int") for c in confidences), F.lit(0))

@@ -53,19 +53,18 @@ def structured(notes: DataFrame, method: str = "levenshtein") -> DataFrame:
 def evidence(docs: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """One gated row per mention with its evidence; only these short texts leave the note."""
     def gather(doc: Column, m: Column, i: Column) -> Column:
-        own = F.filter(doc["sections"], lambda s: F.array_contains(m["sources"], s["section"]))
-        text = F.array_join(F.transform(own, lambda s: s["text"]), "\n")
-        c = cx.build(doc["sents"], text, m["disease"], settings.context_sentences)
-        found = let(c, lambda x: F.struct(
-            me.detect_all(me.evidence_lines(x), m["disease"]).alias("e"), (F.size(x["drugs"]) > 0).alias("drugs"),
-            F.concat_ws(" ", x["primary"], F.array_join(x["around"], " "), x["section"]).alias("text")))
+        own = F.flatten(F.transform(F.filter(doc["sections"], lambda s: F.array_contains(m["sources"], s["section"])), lambda s: s["lines"]))
+        c = let(own, lambda o: cx.build_profiled(doc["sents"], o, m["disease"], settings.context_sentences))
+        found = let(c, lambda x: F.struct(me.detect_profiled(x["lines"], F.lower(m["disease"])).alias("e"), x["drugs"], x["text"]))
         return let(found, lambda f: F.struct(
             i.alias("ord"), m["disease"].alias("disease"), m["sources"].alias("sources"), m["confidence"].alias("mention_confidence"),
             f["e"].alias("e"), rs.status_of(m["sources"], f["text"], f["drugs"]).alias("disease_status")))
 
     # the document's arrays are bound once; referred to as columns inside the inner function
     # they could be inlined there and computed again for every mention
-    whole = F.struct("sections", "sents", "mentions")
+    # lower-case forms, keyword bits and lines are found once per text, not once per mention
+    whole = F.struct(cx.section_profiles(F.col("sections"), me.line_profiles).alias("sections"),
+                     cx.sentence_profiles(F.col("sents"), me.line_profiles).alias("sents"), "mentions")
     gathered = let(whole, lambda doc: F.transform(doc["mentions"], lambda m, i: gather(doc, m, i)))
     rows = explode_rows(docs, gathered, "doc_id")
     text = {e: F.coalesce(F.col(f"e.{e}.evidence"), F.lit("")) for e in ELEMENTS}
