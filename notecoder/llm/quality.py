@@ -114,7 +114,8 @@ def judged(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES,
     base = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
     broken = [F.when((value[r.measure] < r.low if r.low is not None else F.lit(False))
                      | (value[r.measure] > r.high if r.high is not None else F.lit(False)), F.lit(r.name)) for r in rules]
-    out = docs.withColumn("__m", measures(F.col(text)))
+    # a generator keeps a filter on the verdict from being pushed below, which would count all again for each rule
+    out = docs.select("*", F.explode_outer(F.array(measures(F.col(text)))).alias("__m"))
     out = out.withColumns({prefix + k: v for k, v in value.items()} | {
         prefix + "base_failed": base, prefix + "failed": F.array_compact(F.array(*broken)) if broken else F.array().cast("array<string>")})
     return out.withColumn(prefix + "kept", ~F.col(prefix + "base_failed") & (F.size(prefix + "failed") == 0)).drop("__m")
