@@ -163,7 +163,7 @@ def rule_rank(spark, sf):
 
 @query("rule_abbrev_dedup")
 def rule_abbrev_dedup(spark, sf):
-    return ru.merge_abbreviations(graded(spark, sf))
+    return ru.merge_abbreviations(graded(spark, sf)).drop("chosen")
 
 
 @query("rule_stats", f"""
@@ -267,7 +267,7 @@ def dedup_by_code(spark, sf):
 
 @query("dedup_abbreviation")
 def dedup_abbreviation(spark, sf):
-    return rs.dedup_abbreviations(graded(spark, sf))
+    return rs.dedup_abbreviations(graded(spark, sf)).drop("chosen")
 
 
 @query("dedup_substring", f"""
@@ -278,6 +278,22 @@ def dedup_substring(spark, sf):
     return rs.dedup_substring(graded(spark, sf)).select("doc_id", "ord", "disease")
 
 
+ROOTS = """list_filter(list_transform(list_filter(string_split({x}, ' '), lambda w: length(w) >= 5),
+    lambda w: case """ + " ".join(f"when suffix(w, '{e}') and length(w) - {len(e)} >= 4 then left(w, length(w) - {len(e)})" for e in ("ies", "ous", "es", "ia", "ic", "al", "y", "s")) + " else w end), lambda r: length(r) >= 5)"
+
+
+@query("dedup_stem", f"""
+    with recursive {G}, k as (select doc_id, lower(trim(disease)) as nm, coalesce(icd_code, '') as c, min(ord) as o from g group by 1, 2, 3),
+    i as (select doc_id, list({{'o': o, 'nm': nm, 'c': c, 'rt': {ROOTS.format(x='nm')}}} order by o) as it from k group by 1),
+    r as (select doc_id, it, 1 as i, []::bigint[] as gone from i
+        union all select doc_id, it, i + 1, case when len(list_filter(it, lambda y: length(it[i].nm) < length(y.nm) and (it[i].c = '' or y.c = '' or it[i].c = y.c)
+            and not list_contains(gone, y.o) and len(list_filter(it[i].rt, lambda t: contains(replace(y.nm, ' ', ''), t))) > 0)) > 0 then list_append(gone, it[i].o) else gone end from r where i <= len(it)),
+    d as (select doc_id, unnest(it) as x, gone from r where i = len(it) + 1)
+    select g.doc_id, ord, disease from g left join d on d.doc_id = g.doc_id and d.x.nm = lower(trim(disease)) and d.x.c = coalesce(icd_code, '') where not list_contains(gone, d.x.o)""")
+def dedup_stem(spark, sf):
+    return rs.dedup_stem(graded(spark, sf)).select("doc_id", "ord", "disease")
+
+
 @query("final_order", f"with {G} select doc_id, ord, disease, row_number() over (partition by doc_id order by lower(disease), ord) as number from g")
 def final_order(spark, sf):
     return rs.final_order(graded(spark, sf)).select("doc_id", "ord", "disease", "number")

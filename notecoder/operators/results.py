@@ -154,6 +154,45 @@ def dedup_substring(rows: DataFrame) -> DataFrame:
     return rows.join(names, "doc_id").where(~inside).drop("_names")
 
 
+# Endings cut from words of five or more letters, longest first; letters left at least, letters of a root.
+STEM_ENDINGS, STEM_LEFT, ROOT = ("ies", "ous", "es", "ia", "ic", "al", "y", "s"), 4, 5
+
+
+def name_roots(name: Column) -> Column:
+    """Roots of the long words of a lower-case name."""
+    def root(w: Column) -> Column:
+        out = w
+        for end in reversed(STEM_ENDINGS):
+            out = F.when(w.endswith(end) & (F.length(w) - len(end) >= STEM_LEFT), F.substr(w, F.lit(1), F.length(w) - len(end))).otherwise(out)
+        return out
+
+    long_words = F.filter(F.split(name, r"\s+"), lambda w: F.length(w) >= ROOT)
+    return F.filter(F.transform(long_words, root), lambda r: F.length(r) >= ROOT)
+
+
+def dedup_stem(rows: DataFrame) -> DataFrame:
+    """Drop a shorter name one of whose roots is in a longer name (same or missing code).
+
+    Names are judged in row order and a name already dropped saves no other, so this is a
+    fold over a document's distinct names and codes; repeats are combined before the shuffle.
+    """
+    name, code = F.trim(F.lower("disease")), F.coalesce("icd_code", F.lit(""))
+    keyed = rows.withColumns({"_name": name, "_code": code})
+    first = keyed.groupBy("doc_id", "_name", "_code").agg(F.min("ord").alias("o"))
+    item = F.struct("o", F.col("_name").alias("name"), F.col("_code").alias("code"), F.replace("_name", F.lit(" "), F.lit("")).alias("squashed"), name_roots(F.col("_name")).alias("roots"))
+    docs = first.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+
+    def step(gone: Column, x: Column) -> Column:
+        covers = lambda y: (F.length(x["name"]) < F.length(y["name"])) & ((x["code"] == "") | (y["code"] == "") | (x["code"] == y["code"])) & (
+            ~F.array_contains(gone, y["o"])) & F.exists(x["roots"], lambda r: F.contains(y["squashed"], r))
+        return F.when((F.size(x["roots"]) > 0) & F.exists("items", covers), F.array_append(gone, x["o"])).otherwise(gone)
+
+    gone = docs.select("doc_id", "items", F.aggregate("items", F.array().cast("array<bigint>"), step).alias("gone"))
+    out = gone.select("doc_id", "gone", F.explode("items").alias("x")).where(F.array_contains("gone", F.col("x.o")))
+    out = out.select("doc_id", F.col("x.name").alias("_name"), F.col("x.code").alias("_code"))
+    return keyed.join(out, ["doc_id", "_name", "_code"], "left_anti").select(*rows.columns)
+
+
 def final_order(rows: DataFrame) -> DataFrame:
     """``number``: position by lower-case name within the document."""
     keyed = rows.withColumn("_name", F.lower("disease"))

@@ -257,9 +257,9 @@ def fold_names(rows: DataFrame, variants: Callable[[Column], Column], respect_co
     The merge walks names in first-seen order and each group takes on the variants of its
     members, so it is a fold over the document's distinct names.
     """
-    item = F.struct("ord", "disease", "icd_code", "n", "confidence", "meat_tier", variants(F.col("disease")).alias("keys"))
+    item = F.struct("ord", "disease", "icd_code", "n", "confidence", "meat_tier", F.col("ord").alias("chosen"), variants(F.col("disease")).alias("keys"))
     docs = first_seen_names(rows).groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    fields = "ord bigint, disease string, icd_code string, n bigint, confidence double, meat_tier string, keys array<string>"
+    fields = "ord bigint, disease string, icd_code string, n bigint, confidence double, meat_tier string, chosen bigint, keys array<string>"
     start = F.array().cast(f"array<struct<{fields}>>")
     blank = lambda c: F.coalesce(c, F.lit("")) == ""
 
@@ -277,7 +277,7 @@ def fold_names(rows: DataFrame, variants: Callable[[Column], Column], respect_co
         code = F.when(blank(pick("icd_code")), F.when(blank(x["icd_code"]), g["icd_code"]).otherwise(x["icd_code"])).otherwise(pick("icd_code")) if respect_codes else pick("icd_code")
         return F.struct(
             g["ord"].alias("ord"), pick("disease").alias("disease"), code.alias("icd_code"), (g["n"] + x["n"]).alias("n"),
-            pick("confidence").alias("confidence"), pick("meat_tier").alias("meat_tier"),
+            pick("confidence").alias("confidence"), pick("meat_tier").alias("meat_tier"), pick("chosen").alias("chosen"),
             F.array_union(g["keys"], x["keys"]).alias("keys"),
         )
 
@@ -289,10 +289,23 @@ def fold_names(rows: DataFrame, variants: Callable[[Column], Column], respect_co
         )
 
     return docs.select("doc_id", F.explode_outer(F.aggregate("items", start, step)).alias("g")).where("g is not null").select(
-        "doc_id", "g.ord", "g.disease", "g.icd_code", F.col("g.n").alias("merged"), "g.confidence", "g.meat_tier"
+        "doc_id", "g.ord", "g.disease", "g.icd_code", F.col("g.n").alias("merged"), "g.confidence", "g.meat_tier", "g.chosen"
     )
 
 
+def merge_rows(rows: DataFrame, folded: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Whole rows that stand for their merged groups, and one audit row per row merged away.
+
+    ``folded`` comes from ``fold_names``; the row of the chosen name keeps all its columns
+    and takes the group's code.
+    """
+    chosen = folded.select("doc_id", F.col("chosen").alias("ord"), F.col("icd_code").alias("_code"))
+    kept = rows.join(chosen, ["doc_id", "ord"]).withColumn("icd_code", F.col("_code")).drop("_code")
+    gone = rows.join(chosen.select("doc_id", "ord"), ["doc_id", "ord"], "left_anti")
+    audit = gone.select("doc_id", F.lit("abbreviation_dedup").alias("rule"), F.lit("merged").alias("action"), "disease", F.lit("abbreviation duplicate, longer name kept").alias("reason"))
+    return kept.select(*rows.columns), audit
+
+
 def merge_abbreviations(rows: DataFrame) -> DataFrame:
     """Abbreviation duplicates merged whatever their codes."""
     return fold_names(rows, tx.simple_variants, respect_codes=False)

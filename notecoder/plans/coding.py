@@ -1,6 +1,8 @@
 """The multi-step coding route as one Spark plan: notes to audited, coded results."""
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,18 +80,47 @@ def evidence(docs: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     return me.evidence_tier(me.gate(rows, settings=settings)).drop("context")
 
 
-def code_notes(notes: DataFrame, codes: DataFrame, method: str = "levenshtein", settings: Settings = DEFAULTS) -> DataFrame:
-    """Coded results of a corpus of notes.
+@dataclass(frozen=True)
+class Coded:
+    """Results of a run, one audit row per rule action, and rows left out with their reason."""
+
+    results: DataFrame
+    audit: DataFrame
+    rejections: DataFrame
+
+
+def code_notes_audited(notes: DataFrame, codes: DataFrame, method: str = "levenshtein", settings: Settings = DEFAULTS) -> Coded:
+    """The whole route with its audit trail.
 
     Sections, mentions and evidence are maps over notes. Names are looked up once each and
-    joined back; results are filtered, reduced to one row per code and scored.
+    joined back. Results are filtered, merged by code, abbreviation, containment and root;
+    then the live rules run: abbreviations, specificity, combination codes, etiology pairs,
+    laterality, ranking. ``codes`` has ``code, description, hcc_status, seq``.
     """
     # the evidence rows are short; written once, they serve the name list and the join
     rows = reliable_checkpoint(evidence(structured(notes, method), settings))
     names = rows.select(F.col("disease").alias("name")).distinct()
     found = mp.assign_codes(mp.search_combined(names, codes), codes, settings)
-    mapped = found.select(F.col("name").alias("disease"), "icd_code", F.col("confidence").alias("icd_confidence"), F.col("mapping_method").alias("icd_method"), "status")
-    joined = rows.join(mapped, "disease", "left")
-    kept = rs.dedup_by_code(rs.output_filter(joined))
-    kept, _ = ru.apply_rules(kept.withColumn("confidence", rs.confidence_score(settings)))
-    return kept.withColumns({"segment": tx.section_label(F.col("sources"))})
+    mapped = found.select(F.col("name").alias("disease"), "icd_code", F.col("description").alias("icd_description"), F.col("confidence").alias("icd_confidence"),
+                          F.col("mapping_method").alias("icd_method"), "status", "candidates")
+    hcc = codes.groupBy(tx.format_code(F.col("code")).alias("icd_code")).agg(F.min_by("hcc_status", "seq").alias("hcc_status"))
+    joined = rows.join(mapped, "disease", "left").join(hcc, "icd_code", "left")
+    joined = reliable_checkpoint(joined.withColumns({"confidence": rs.confidence_score(settings), "negated": F.lit(False)}))
+    kept = rs.dedup_by_code(rs.output_filter(joined)).select(*joined.columns)
+    kept, _ = ru.merge_rows(kept, rs.dedup_abbreviations(kept))
+    kept = reliable_checkpoint(rs.dedup_stem(rs.dedup_substring(kept)))
+    merged, merges = ru.merge_rows(kept, ru.merge_abbreviations(kept))
+    specific, dropped = ru.apply_rules(merged)
+    specific = reliable_checkpoint(specific.select(*merged.columns))
+    said = lambda df, rule, action, name, reason: df.select("doc_id", F.lit(rule).alias("rule"), F.lit(action).alias("action"), name.alias("disease"), reason.alias("reason"))
+    combined = said(ru.combination_suggestions(specific), "combination_codes", "suggested", F.col("description"), F.col("icd_code"))
+    paired = said(ru.etiology_pairs(specific), "etiology_pair", "paired", F.col("manifestation"), F.col("etiology"))
+    ranked = ru.rank(ru.flag_chronic(ru.laterality(specific)))
+    results = ranked.withColumns({"segment": tx.section_label(F.col("sources")), "number": F.col("coding_rank")})
+    audit = merges.unionByName(dropped).unionByName(combined).unionByName(paired)
+    return Coded(results, audit, rs.rejections(joined))
+
+
+def code_notes(notes: DataFrame, codes: DataFrame, method: str = "levenshtein", settings: Settings = DEFAULTS) -> DataFrame:
+    """Coded results of a corpus of notes; see ``code_notes_audited``."""
+    return code_notes_audited(notes, codes, method, settings).results
