@@ -12,7 +12,7 @@ HEADLINE = [
     "remove_noise", "normalize_whitespace", "expand_abbreviations", "segment_sentences",
     "header_candidates", "mentions_numbered", "mention_filter", "section_context",
     "meat_gate", "meat_summary", "rule_specificity", "rule_dx_over_symptoms", "output_filter",
-    "dedup_by_code", "document_summary", "validate_code", "eval_detection", "coded_summary",
+    "dedup_by_code", "document_summary", "validate_code", "eval_detection", "coded_summary", "coded_results",
 ]
 
 
