@@ -25,10 +25,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates by five-word shingles, the one with the least id."""
     judged = minhash.near_duplicates(docs, words=5, percent=80)
-    stay = judged.where("kept").select(F.struct("doc_id", "text_hash").alias("__k")).distinct()
-    rows = docs.withColumn("__k", F.struct("doc_id", F.xxhash64("text")))
+    stay = written(judged.where("kept").select(F.col("row_key").alias("__k")).distinct(), "stay")
+    rows = docs.withColumn("__k", F.xxhash64("doc_id", "text"))
     # repeated rows have one key and become one row
-    return rows.join(written(stay, "stay"), rows["__k"].eqNullSafe(stay["__k"]), "left_semi").dropDuplicates(["__k"]).select(*docs.columns)
+    return rows.join(stay.hint("merge"), "__k", "left_semi").dropDuplicates(["__k"]).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship_package
@@ -16,8 +16,6 @@ from .shared import written
 
 #: Bands and minima in a band: at a similarity of 0.8 a pair shares no band once in 10^6.
 BANDS, ROWS = 60, 7
-#: Open pairs per member of an open bucket below which they are all compared at once.
-OPEN_PAIRS = 4
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -54,17 +52,19 @@ def shingles(text: str | None, words: int) -> np.ndarray:
 @functools.lru_cache(4)
 def _family(n: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(97)
-    return rng.integers(0, 2**63, (n, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, (n, 1), dtype=np.uint64)
+    return rng.integers(0, 2**31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 2**32, n, dtype=np.uint32)
 
 
 def minima(values: np.ndarray, n: int) -> np.ndarray:
-    """Least values of ``n`` universal hashes (a * x + b mod 2^64, its upper half) of a set."""
+    """Least values of ``n`` universal hashes a * x + b mod 2^32 of a set; x is the upper half of a shingle's value."""
     a, b = _family(n)
+    x = (values >> np.uint64(32)).astype(np.uint32)[:, None]
     out = np.full(n, np.uint32(0xFFFFFFFF), np.uint32)
-    step = max(1, 400_000 // n)
-    for i in range(0, len(values), step):
-        hashed = ((a * values[i:i + step] + b) >> np.uint64(32)).astype(np.uint32)
-        np.minimum(out, hashed.min(axis=1), out=out)
+    step = max(1, 120_000 // n)  # a block stays in the cache
+    for i in range(0, len(x), step):
+        hashed = x[i:i + step] * a
+        hashed += b
+        np.minimum(out, hashed.min(axis=0), out=out)
     return out
 
 
@@ -144,45 +144,73 @@ def _verified(pairs: DataFrame, sides: DataFrame, percent: int, hashes: int) ->
     return full.where(_alike(percent)("set_u", "set_v")).select("u", "v")
 
 
-def _links(buckets: DataFrame, sides: DataFrame, percent: int, hashes: int, few: int, leaders: tuple[int, ...]) -> DataFrame:
+def _values():
+    @F.pandas_udf("array<bigint>")
+    def run(sets: pd.Series) -> pd.Series:
+        return pd.Series([np.frombuffer(x, np.int64) for x in sets], dtype=object)
+
+    return run
+
+
+def _open_pairs(open_: DataFrame, sides: DataFrame, percent: int) -> DataFrame:
+    """Pairs of an open class and another class of ``open_`` that may be alike, by an exact prefix join.
+
+    ``open_`` has ``class`` and ``asks``, true for classes whose links are sought. Of the
+    shingles of such a class, rarest first, the one at place j is only looked up among sets so
+    small that the n - j shingles from there on could be enough; a pair that no such shingle
+    finds has too few in common. Copies with many edits of their own so find no partners, while
+    comparing them with their whole group would take the square of its size.
+    """
+    total = 100 + percent
+    sets = open_.join(sides.select("class", "n", "set"), "class").select("class", "asks", "n", F.explode(_values()("set")).alias("x"))
+    sets = written(sets, "shingles")
+    step = float(np.log(1.03))
+    kind = lambda n: F.floor(F.log(n.cast("double")) / step).cast("int")
+    common = sets.groupBy("x").agg(F.count("*").alias("c")).where("c > 1")
+    # a shingle that only one class has leads to no other, but takes a place of the prefix
+    seen = sets.where("asks").join(common, "x", "left").select("class", "n", "x", F.coalesce("c", F.lit(1)).alias("c"))
+    place = F.row_number().over(Window.partitionBy("class").orderBy("c", "x")) - 1
+    most = F.floor((F.lit(total) * (F.col("n") - F.col("j")) - F.lit(percent) * F.col("n")) / F.lit(percent))
+    least = F.ceil(F.lit(percent) * F.col("n") / 100)
+    asked = seen.withColumn("j", place).withColumns({"most": most, "least": least}).where("c > 1 and most >= least")
+    asked = asked.select("class", "x", "least", "most", F.explode(F.sequence(kind(F.col("least")), kind(F.col("most")))).alias("kind"))
+    other = sets.select("x", kind(F.col("n")).alias("kind"), F.col("class").alias("class2"), F.col("n").alias("n2"))
+    met = asked.join(other, ["x", "kind"]).where("class <> class2 and n2 between least and most")
+    return met.select(F.greatest("class", "class2").alias("u"), F.least("class", "class2").alias("v")).distinct()
+
+
+def _links(buckets: DataFrame, sides: DataFrame, percent: int, hashes: int) -> DataFrame:
     """Classes with the component they belong to, from links inside buckets.
 
-    A bucket's classes are first compared with its least class, so a large group of copies
-    costs one pair per copy and bucket. Open are then pairs of a bucket in different
-    components. While there are many, they are compared with some more classes of the bucket,
-    drawn by hash; what stays open at the end is compared pair by pair, so no link is lost.
+    A bucket's classes are first compared with its leader only, the class that shares most
+    buckets and so is likely central to its group: a group of copies costs a pair per copy.
+    Open are then pairs of a bucket in different components; the classes outside a bucket's
+    largest component look for their links by an exact prefix join.
     """
-    spark = buckets.sparkSession
-    ordered = lambda u, v: (F.greatest(u, v).alias("u"), F.least(u, v).alias("v"))
-    sizes = written(buckets.groupBy("bkey").agg(F.count("*").alias("k"), F.min("class").alias("lead")), "sizes")
-    tested = written(buckets.join(sizes, "bkey").where("class <> lead").select(*ordered("class", "lead")).distinct(), "pairs")
+    sizes = buckets.groupBy("bkey").agg(F.count("*").alias("k"))
+    weights = written(buckets.join(sizes, "bkey").groupBy("class").agg(F.sum("k").alias("weight")), "weights")
+    leads = written(buckets.join(weights, "class").groupBy("bkey").agg(F.max(F.struct("weight", "class")).alias("m")).select("bkey", F.col("m.class").alias("lead")), "leads")
+    tested = buckets.join(leads, "bkey").where("class <> lead").select(F.greatest("class", "lead").alias("u"), F.least("class", "lead").alias("v")).distinct()
+    tested = written(tested, "pairs")
     edges = written(_verified(tested, sides, percent, hashes), "links")
     named = components(edges)
-    for wanted in (*leaders, None):
-        of = buckets.join(named.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("component", "class")).drop("component")
-        of = written(of, "members")
-        parts = of.groupBy("bkey", "comp").count().groupBy("bkey").agg(F.sum("count").alias("k"), F.sum(F.col("count") * F.col("count")).alias("own"))
-        open_buckets = written(parts.where("k * k > own"), "open")
-        pairs_left, members = open_buckets.agg(F.coalesce(F.sum((F.col("k") * F.col("k") - F.col("own")) / 2), F.lit(0)), F.coalesce(F.sum("k"), F.lit(0))).first()
-        if not pairs_left:
-            break
-        last = wanted is None or pairs_left <= few * members
-        mine = of.join(open_buckets.select("bkey", "k"), "bkey")
-        drawn = mine if last else mine.where(F.pmod(F.xxhash64("class", "bkey"), F.lit(1 << 30)) * F.col("k") <= wanted * (1 << 30))
-        other = drawn.select("bkey", F.col("class").alias("class2"), F.col("comp").alias("comp2"))
-        cross = mine.join(other, "bkey").where("comp <> comp2" + (" and class > class2" if last else "")).select(*ordered("class", "class2")).distinct()
-        fresh = written(cross.join(tested, ["u", "v"], "left_anti"), "pairs")
-        more = written(_verified(fresh, sides, percent, hashes), "links")
-        tested, edges = tested.unionByName(fresh), edges.unionByName(more)
-        named = components(edges)
-        if last:
-            break
-    return named
-
-
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS,
-                    few: int = OPEN_PAIRS, leaders: tuple[int, ...] = (8, 64)) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept, text_hash`` for every row.
+    of = buckets.join(named.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("component", "class")).drop("component")
+    of = written(of, "members")
+    parts = of.groupBy("bkey", "comp").count()
+    largest = parts.groupBy("bkey").agg(F.count("*").alias("parts"), F.max(F.struct("count", "comp")).alias("m")).where("parts > 1")
+    largest = written(largest.select("bkey", F.col("m.comp").alias("main")), "open")
+    open_ = of.join(largest, "bkey").groupBy("class").agg(F.max(F.col("comp") != F.col("main")).alias("asks"))
+    pairs = _open_pairs(written(open_, "asking"), sides, percent)
+    # what one component holds already, or was compared, is no question any more
+    comp = lambda end: named.select(F.col("node").alias(end), F.col("component").alias(f"c_{end}"))
+    pairs = pairs.join(tested, ["u", "v"], "left_anti").join(comp("u"), "u", "left").join(comp("v"), "v", "left")
+    pairs = written(pairs.where(F.coalesce("c_u", "u") != F.coalesce("c_v", "v")).select("u", "v"), "pairs")
+    more = written(_verified(pairs, sides, percent, hashes), "links")
+    return components(edges.unionByName(more))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept, row_key`` for every row; the key is a hash of id and text.
 
     Documents whose shingle sets have an intersection of at least ``percent`` of their union
     are linked, links are confirmed on the full sets, and a component is named by its least
@@ -194,8 +222,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     Classes of equal sets are formed before banding, so exact copies cost one row.
     """
     ship_package(docs.sparkSession)
-    body = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    rows_of = body.select("doc_id", "text_hash", _signatures(words, bands, rows)("text").alias("s")).select("doc_id", "text_hash", "s.*")
+    body = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text")
+    rows_of = body.select("doc_id", "row_key", _signatures(words, bands, rows)("text").alias("s")).select("doc_id", "row_key", "s.*")
     rows_of = written(rows_of, "signatures")
     reps = rows_of.where("bands is not null")
     each = reps.select(F.posexplode("bands").alias("band", "key"), "class").select(F.xxhash64("band", "key").alias("bkey"), "class")
@@ -203,17 +231,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     shared = mark.groupBy("bkey").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("bkey")
     buckets = written(each.join(shared, "bkey", "left_semi").distinct(), "buckets")
     wanted = written(buckets.select("class").distinct(), "wanted")
-    one = reps.join(wanted, "class").groupBy("class").agg(F.max("n").alias("n"), F.min(F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_doc"), "text_hash")).alias("at"))
+    one = reps.join(wanted, "class").groupBy("class").agg(F.max("n").alias("n"), F.min("row_key").alias("row_key"))
     sigs = reps.join(wanted, "class").select("class", "sig").dropDuplicates(["class"])
-    places = one.select("class", "n", "at._doc", "at.text_hash")
-    texts = body.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_doc"), "text_hash", "text")
-    sets = texts.join(places, ["_doc", "text_hash"]).select("class", "n", _shingle_set(words)("text").alias("set")).dropDuplicates(["class"])
+    # the classes grow with the corpus, so they are never broadcast
+    sets = body.select("row_key", "text").join(one.hint("merge"), "row_key").select("class", "n", _shingle_set(words)("text").alias("set")).dropDuplicates(["class"])
     sides = written(sets.join(sigs, "class"), "sets")
-    named = _links(buckets, sides, percent, bands * rows, few, leaders)
+    named = _links(buckets, sides, percent, bands * rows)
     first = rows_of.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"))
     first = written(first.join(named.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class")), "first")
     least = first.groupBy("component").agg(F.min("first").alias("component_id"))
     out = rows_of.join(first.join(least, "component").select("class", "component_id"), "class", "left")
     own = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"),
-                      (F.col("doc_id").eqNullSafe(own) | own.isNull()).alias("kept"), "text_hash")
+                      (F.col("doc_id").eqNullSafe(own) | own.isNull()).alias("kept"), "row_key")

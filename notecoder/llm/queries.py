@@ -82,7 +82,7 @@ def op8_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
-    return near_duplicates(read(spark, sf_dir), words=2, percent=80).drop("text_hash")
+    return near_duplicates(read(spark, sf_dir), words=2, percent=80).drop("row_key")
 
 
 @query("op3_line_dedup", r"""
