@@ -54,11 +54,14 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, **tree) -> DataFr
     lines = docs.select("_doc", "_rk", numbered.alias("line", "forms")).where(F.size("forms") > 0)
     lines = written(lines, "lines")
     forms = lines.select("_doc", "_rk", "line", F.explode("forms").alias("form"))
-    per_doc = forms.groupBy("form", "_rk").agg(F.min(F.struct("_doc", "line")).alias("at"))
+    # templates on too few lines are on too few documents; only the others need be looked at by document
+    many = written(forms.groupBy("form").agg(F.count("*").alias("c")).where(F.col("c") >= min_docs).select("form"), "frequent")
+    some = written(forms.join(many, "form", "left_semi"), "recurring")
+    per_doc = some.groupBy("form", "_rk").agg(F.min(F.struct("_doc", "line")).alias("at"))
     often = per_doc.groupBy("form").agg(F.count("*").alias("docs"), F.min("at").alias("first")).where(F.col("docs") >= min_docs)
     often = written(often.select("form", "first"), "templates")
     # a document's list is no longer than the document
-    gone = forms.join(often, "form").where(~F.struct("_doc", "line").eqNullSafe(F.col("first")))
+    gone = some.join(often, "form").where(~F.struct("_doc", "line").eqNullSafe(F.col("first")))
     return gone.groupBy("_rk").agg(F.sort_array(F.collect_set("line")).alias("gone"))
 
 
@@ -76,7 +79,8 @@ def without_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, **tree) -
     rows = docs.select(F.struct(*keep).alias("_row"), F.col("text").alias("text"), F.xxhash64("doc_id", "text").alias("_rk"),
                        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_doc"))
     found = recurring_lines(rows.select("_doc", "_rk", "text"), min_docs, **tree)
-    out = rows.select("_row", "_rk", "text").join(written(found, "gone"), "_rk", "left")
+    # the lists grow with the corpus, so they are never broadcast
+    out = rows.select("_row", "_rk", "text").join(written(found, "gone").hint("merge"), "_rk", "left")
     # between two dropped lines lies a slice of kept ones
     def slices(parts: Column) -> Column:
         stops = F.concat("gone", F.array(F.size(parts)))
