@@ -111,6 +111,6 @@ def checked(docs: DataFrame, benchmark: DataFrame, literals: int = LITERALS) ->
     key = F.xxhash64("doc_id", "text")
     hit = matches(docs.select(key.alias("_rk"), "text"), benchmark, literals)
     hit = written(hit.groupBy("_rk").agg(F.countDistinct("item").alias("n_items"), F.min("item").alias("first_item")), "matched")
-    rows = docs.select(F.struct(*keep).alias("_row"), key.alias("_rk")).join(hit, "_rk", "left")
+    rows = docs.select(F.struct(*keep).alias("_row"), key.alias("_rk")).join(hit.hint("merge"), "_rk", "left")
     return rows.select(*[F.col("_row").getField(c).alias(c) for c in keep], F.coalesce("n_items", F.lit(0)).alias("n_items"),
                        "first_item", F.col("n_items").isNotNull().alias("contaminated"))

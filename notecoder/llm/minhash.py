@@ -194,7 +194,9 @@ def _links(buckets: DataFrame, sides: DataFrame, percent: int, hashes: int) -> D
     tested = written(tested, "pairs")
     edges = written(_verified(tested, sides, percent, hashes), "links")
     named = components(edges)
-    of = buckets.join(named.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("component", "class")).drop("component")
+    # the leader's pairs are decided, so only the others of a bucket can have open ones
+    others = buckets.join(leads, "bkey").where("class <> lead").select("bkey", "class")
+    of = others.join(named.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("component", "class")).drop("component")
     of = written(of, "members")
     parts = of.groupBy("bkey", "comp").count()
     largest = parts.groupBy("bkey").agg(F.count("*").alias("parts"), F.max(F.struct("count", "comp")).alias("m")).where("parts > 1")
