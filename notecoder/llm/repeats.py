@@ -30,7 +30,7 @@ from ..session import ship_package
 from .shared import written
 
 #: Tokens compared in one bundle, tokens hashed in one block, segments of a group that are compared in one task.
-BUNDLE, BLOCK, GROUP = 2_000_000, 1_000_000, 20_000
+BUNDLE, BLOCK, GROUP = 400_000, 250_000, 20_000
 PLACE_BITS = np.uint64(28)
 PLACE = np.uint64((1 << 28) - 1)
 
@@ -302,7 +302,7 @@ def spans(docs: DataFrame, search: Search, group: int = GROUP) -> DataFrame:
     # one document's requests are at most as many as its anchors
     lists = asked.groupBy("_rk").agg(F.collect_list("x").alias("asked"))
     schema = "_doc bigint, _rk bigint, g bigint, p bigint, n int, m bigint, body binary"
-    bodies = written(docs.join(lists, "_rk").select("_doc", "_rk", "text", "asked").mapInPandas(_cut_out(search), schema), "bodies")
+    bodies = written(docs.join(lists.hint("merge"), "_rk").select("_doc", "_rk", "text", "asked").mapInPandas(_cut_out(search), schema), "bodies")
     small = bodies.where(F.col("m") <= group).repartition("g").sortWithinPartitions("g")
     compared = small.mapInPandas(_compare(search), "_rk bigint, a bigint, b bigint")
     windows = bodies.where(F.col("m") > group).mapInPandas(_windows(search), "_doc bigint, _rk bigint, a bigint, w1 bigint, w2 bigint")
@@ -356,4 +356,5 @@ def without_repeats(docs: DataFrame, search: Search, full: bool = False, group:
     ship_package(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_doc"), "text", F.xxhash64("doc_id", "text").alias("_rk"))
     found = written(spans(rows.drop("doc_id"), search, group), "spans")
-    return rows.join(found, "_rk", "left").select("doc_id", _finish(search, full)("text", "spans").alias("x")).select("doc_id", "x.*")
+    # span lists grow with the corpus, so they are never broadcast
+    return rows.join(found.hint("merge"), "_rk", "left").select("doc_id", _finish(search, full)("text", "spans").alias("x")).select("doc_id", "x.*")
