@@ -16,6 +16,8 @@ from .shared import written
 
 #: Bands and minima in a band: at a similarity of 0.8 a pair shares no band once in 10^6.
 BANDS, ROWS = 60, 7
+#: Times that classes outside a bucket's largest component are compared with one more of it.
+PROBES = 2
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -184,24 +186,33 @@ def _links(buckets: DataFrame, sides: DataFrame, percent: int, hashes: int) -> D
 
     A bucket's classes are first compared with its leader only, the class that shares most
     buckets and so is likely central to its group: a group of copies costs a pair per copy.
-    Open are then pairs of a bucket in different components; the classes outside a bucket's
-    largest component look for their links by an exact prefix join.
+    Open are then pairs of a bucket in different components. Classes outside a bucket's
+    largest component are compared with one more class of it, drawn anew in each bucket,
+    which links nearly all that can be linked; the rest look for their links by an exact
+    prefix join.
     """
     sizes = buckets.groupBy("bkey").agg(F.count("*").alias("k"))
     weights = written(buckets.join(sizes, "bkey").groupBy("class").agg(F.sum("k").alias("weight")), "weights")
     leads = written(buckets.join(weights, "class").groupBy("bkey").agg(F.max(F.struct("weight", "class")).alias("m")).select("bkey", F.col("m.class").alias("lead")), "leads")
-    tested = buckets.join(leads, "bkey").where("class <> lead").select(F.greatest("class", "lead").alias("u"), F.least("class", "lead").alias("v")).distinct()
-    tested = written(tested, "pairs")
+    pair = lambda a, b: (F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+    tested = written(buckets.join(leads, "bkey").where("class <> lead").select(*pair("class", "lead")).distinct(), "pairs")
     edges = written(_verified(tested, sides, percent, hashes), "links")
-    named = components(edges)
     # the leader's pairs are decided, so only the others of a bucket can have open ones
-    others = buckets.join(leads, "bkey").where("class <> lead").select("bkey", "class")
-    of = others.join(named.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("component", "class")).drop("component")
-    of = written(of, "members")
-    parts = of.groupBy("bkey", "comp").count()
-    largest = parts.groupBy("bkey").agg(F.count("*").alias("parts"), F.max(F.struct("count", "comp")).alias("m")).where("parts > 1")
-    largest = written(largest.select("bkey", F.col("m.comp").alias("main")), "open")
-    open_ = of.join(largest, "bkey").groupBy("class").agg(F.max(F.col("comp") != F.col("main")).alias("asks"))
+    others = written(buckets.join(leads, "bkey").where("class <> lead").select("bkey", "class"), "others")
+    for probe in range(PROBES + 1):
+        named = components(edges)
+        of = others.join(named.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("component", "class")).drop("component")
+        of = written(of, "members")
+        parts = of.groupBy("bkey", "comp").agg(F.count("*").alias("count"), F.max(F.struct(F.xxhash64("class", "bkey", F.lit(probe)).alias("h"), "class")).alias("some"))
+        largest = parts.groupBy("bkey").agg(F.count("*").alias("parts"), F.max(F.struct("count", "comp", "some")).alias("m")).where("parts > 1")
+        largest = written(largest.select("bkey", F.col("m.comp").alias("main"), F.col("m.some.class").alias("other")), "open")
+        asking = of.join(largest, "bkey")
+        if probe == PROBES:
+            break
+        drawn = asking.where("comp <> main").select(*pair("class", "other")).distinct().join(tested, ["u", "v"], "left_anti")
+        drawn = written(drawn, "pairs")
+        tested, edges = tested.unionByName(drawn), edges.unionByName(written(_verified(drawn, sides, percent, hashes), "links"))
+    open_ = asking.groupBy("class").agg(F.max(F.col("comp") != F.col("main")).alias("asks"))
     pairs = _open_pairs(written(open_, "asking"), sides, percent)
     # what one component holds already, or was compared, is no question any more
     comp = lambda end: named.select(F.col("node").alias(end), F.col("component").alias(f"c_{end}"))
