@@ -26,8 +26,12 @@ _DATE = "\\d{4}-\\d{2}-\\d{2}|\\d{1,2}([./-])\\d{1,2}\\1\\d{4}"
 _CARD = "\\d(?:[ -]?\\d){12,18}"
 _EMAIL = "(?<![\\p{L}\\p{N}._%+-])[\\p{L}\\p{N}._%+-]++@[\\p{L}\\p{N}-]++(?:\\.[\\p{L}\\p{N}-]++)+"
 _SECRET = "(?i:(?<![\\p{L}\\p{N}])(?:token|secret|password|passwd|api[_-]?key)[\"']?\\s{0,3}[:=]\\s{0,3}[\"']?)[A-Za-z0-9+/_-]{12,}+"
+#: A run of digit groups in which cards are looked for; it ends where a value of another kind begins.
+_OTHER = f"(?:{_IP})(?!\\.?\\d){_TO}|\\d{{3}}-\\d{{3}}-\\d{{4}}{_TO}|(?:{_SSN}|\\d{{4}}-\\d{{2}}-\\d{{2}}|\\d{{1,2}}(?:\\.\\d{{1,2}}\\.|/\\d{{1,2}}/|-\\d{{1,2}}-)\\d{{4}})(?!-?\\d){_TO}|[\\p{{L}}\\p{{N}}._%+-]++@"
+_NEXT = f"[ -](?!{_OTHER})"
+_RUN = f"(?=\\d(?:(?:{_NEXT})?\\d){{12}})\\d++{_TO}(?:{_NEXT}\\d++{_TO})*+"
 #: A quick test that spares most texts and places the alternatives.
-PATTERN = f"(?:{_EMAIL})|(?<!\\d\\.){_FROM}(?:{_IP})(?!\\.?\\d){_TO}|(?<![\\p{{L}}\\p{{N}}_+])(?:{_PHONE}){_TO}|{_FROM}(?:{_SSN}|{_DATE})(?!-?\\d){_TO}|{_FROM}(?:{_CARD}){_TO}|{_SECRET}"
+PATTERN = f"(?:{_EMAIL})|(?<!\\d\\.){_FROM}(?:{_IP})(?!\\.?\\d){_TO}|(?<![\\p{{L}}\\p{{N}}_+])(?:{_PHONE}){_TO}|{_FROM}(?:{_SSN}|{_DATE})(?!-?\\d){_TO}|{_FROM}(?:{_RUN}|{_CARD}){_TO}|{_SECRET}"
 
 
 def _residue(text: Column) -> Column:
@@ -85,13 +89,36 @@ def _digits(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9]", "")
 
 
+def _cards(groups: Column) -> Column:
+    """Valid cards in a run of digit groups: ``a`` and ``b``, the first and last group, and the digits ``d``.
+
+    Every stretch of whole groups with 13 to 19 digits is tested. Of those that overlap, a single
+    group comes before several, then the longest, then the first.
+    """
+    digits = lambda i, j: F.array_join(F.slice(groups, i + 1, j - i + 1), "")
+    stretch = lambda i, j: let(digits(i, j), lambda d: F.struct((i != j).alias("several"), (-F.length(d)).alias("short"), i.alias("a"), j.alias("b"), d.alias("d")))
+    stretches = lambda g, i: F.transform(F.sequence(i, F.least(i + 18, F.size(groups) - 1)), lambda j: stretch(i, j))
+    valid = F.filter(F.flatten(F.transform(groups, stretches)), lambda x: x["short"].between(-19, -13) & F.when(x["short"].between(-19, -13), _luhn(x["d"]) == 0))
+    none = F.array().cast("array<struct<several:boolean,short:int,a:int,b:int,d:string>>")
+    free = lambda taken, x: ~F.exists(taken, lambda y: (y["a"] <= x["b"]) & (x["a"] <= y["b"]))
+    return F.aggregate(F.array_sort(valid), none, lambda taken, x: F.when(free(taken, x), F.concat(taken, F.array(x))).otherwise(taken))
+
+
 def _card(hit: Column, key: str) -> Column:
+    """How many cards a run of digit groups holds and the run with them replaced; what is beside them stays."""
     def new(d: Column) -> Column:
         body = permuted_digits(F.substr(d, F.lit(1), F.length(d) - 1), key, "card")
         with_check = lambda x: F.concat(x, F.pmod(10 - _luhn(F.concat(x, F.lit("0"))), F.lit(10)).cast("string"))
-        return F.when(_luhn(d) == 0, _filled(hit, let(body, with_check)))
+        return let(body, with_check)
 
-    return let(_digits(hit), new)
+    def rewrite(groups: Column) -> Column:
+        def filled(cards: Column) -> Column:
+            own = lambda g, i: let(F.get(F.filter(cards, lambda x: (x["a"] <= i) & (i <= x["b"])), F.lit(0)), lambda x: F.when(x.isNull(), g).when(x["a"] == i, new(x["d"])).otherwise(F.lit("")))
+            return F.when(F.size(cards) > 0, F.struct(F.size(cards).alias("n"), _filled(hit, F.array_join(F.transform(groups, own), "")).alias("text")))
+
+        return let(_cards(groups), filled)
+
+    return let(F.split(hit, "[ -]"), rewrite)
 
 
 def _phone(hit: Column, key: str) -> Column:
@@ -161,15 +188,16 @@ def _secret(hit: Column, key: str) -> Column:
 
 
 def _replaced(hit: Column, key: str) -> Column:
-    """Kind and pseudonym of a match; a null kind where it isn't valid."""
+    """Kind and pseudonym of a match and how many values it holds; a null kind where it isn't valid."""
     whole = lambda p: hit.rlike(f"^(?:{p})$")
-    option = lambda kind, new: let(new, lambda x: F.when(x.isNotNull(), F.struct(F.lit(kind).alias("kind"), x.alias("text"))))
-    none = F.lit(None).cast("struct<kind:string,text:string>")
+    option = lambda kind, new: let(new, lambda x: F.when(x.isNotNull(), F.struct(F.lit(kind).alias("kind"), x.alias("text"), F.lit(1).alias("n"))))
+    cards = let(_card(hit, key), lambda x: F.when(x.isNotNull(), F.struct(F.lit("card").alias("kind"), x["text"].alias("text"), x["n"].alias("n"))))
+    none = F.lit(None).cast("struct<kind:string,text:string,n:int>")
     found = (F.when(hit.rlike("(?i)^(?:token|secret|pass|api)[^@]*[:=]"), option("secret", _secret(hit, key)))
              .when(hit.contains("@"), option("email", _email(hit, key))).when(whole(_IP), option("ip", _ip(hit, key)))
              .when(whole(_DATE), option("date", _date(hit, key))).when(whole(_SSN), option("ssn", _ssn(hit, key)))
-             .when(whole(_PHONE), option("phone", _phone(hit, key))).otherwise(option("card", _card(hit, key))))
-    return F.coalesce(found, F.struct(none["kind"].alias("kind"), hit.alias("text")))
+             .when(whole(_PHONE), option("phone", _phone(hit, key))).otherwise(cards))
+    return F.coalesce(found, F.struct(none["kind"].alias("kind"), hit.alias("text"), F.lit(0).alias("n")))
 
 
 def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
@@ -186,7 +214,7 @@ def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     def rewrite(c: Column) -> Column:
         def join(r: Column) -> Column:
             text = F.concat(F.array_join(F.transform(r, lambda x, i: F.concat(F.get(c["gaps"], i), x["text"])), ""), F.element_at(c["gaps"], -1))
-            return F.struct(text.alias("text"), F.transform(F.filter(r, lambda x: x["kind"].isNotNull()), lambda x: x["kind"]).alias("kinds"))
+            return F.struct(text.alias("text"), F.flatten(F.transform(r, lambda x: F.array_repeat(x["kind"], x["n"]))).alias("kinds"))
 
         return let(F.transform(c["hits"], lambda h: _replaced(h, key)), join)
 

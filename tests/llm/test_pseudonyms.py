@@ -49,3 +49,20 @@ def test_permutations_are_one_to_one(spark):
 
 def test_empty_table(spark):
     assert pseudonymised(spark.createDataFrame([], "doc_id int, text string"), "k").count() == 0
+
+
+def test_cards_beside_other_numbers(spark):
+    one, two = "4111111111111111", "5500000000000004"
+    forms = ["{a}", "{a} 12/27", "{a} 123", "{s} 123", "123 {a}", "7 {s}", "{a} 12 27 123", "12 34 56 78 90 {s}", "{a} {b}", "{s}-{b} 99",
+             "{a} 10.20.30.40", "{a} 1990-02-28", "{a} 28.02.1990", "{a} 123-45-6789", "{s} 984-555-2485", "{a} 12@x.example.com", "{a} 12ab", "1 " * 3000 + "{a}x"]
+    shown = lambda f, a, b: f.format(a=a, b=b, s=" ".join(a[i:i + 4] for i in range(0, 16, 4)))
+    out = run(spark, [shown(f, one, two) for f in forms] + [two])
+    new, other = out[0]["text"], out[-1]["text"]
+    assert luhn(new) and luhn(other) and new != one and other != two
+    for f, r in list(zip(forms, out))[:10]:
+        assert r["text"] == shown(f, new, other) and r["n_card"] == r["n_replaced"] == f.count("{")
+    for f, r, kind in zip(forms[10:16], out[10:16], ("ip", "date", "date", "ssn", "phone", "email")):
+        head = shown(f, new, other).split()
+        n = 4 if "{s}" in f else 1
+        assert r["text"].split()[:n] == head[:n] and r["text"].split()[n] != head[n] and (r["n_card"], r[f"n_{kind}"], r["n_replaced"]) == (1, 1, 2)
+    assert out[16]["text"] == shown(forms[16], new, other) and one in out[17]["text"]
