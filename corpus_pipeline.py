@@ -19,7 +19,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without recurring lines; documents that consisted of such lines only go."""
-    return lines.without_recurring_lines(docs).where("not emptied").select(*docs.columns)
+    return lines.without_recurring_lines(docs, learned=True).where("not emptied").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,9 @@
 DataFrame functions only. A line goes down the tree by its number of tokens and its first
 tokens to a leaf. Fields that vary are generalised in two ways: a token with a digit is a
 wildcard, and of the tokens behind the leaf's path one of ``BLOCKS`` equal stretches may
-vary, so lines that differ only there have a template in common.
+vary, so lines that differ only there have a template in common. With ``learned``, wildcards
+are also learned in each leaf from how often its lines have a token at a place, with no limit
+on the number or place of varying fields.
 """
 from __future__ import annotations
 
@@ -20,10 +22,16 @@ MIN_TOKENS = 8
 WILD = "<*>"
 
 
-def line_templates(line: Column, depth: int = DEPTH, blocks: int = BLOCKS, min_tokens: int = MIN_TOKENS) -> Column:
-    """Hashes of the templates a line has, its own first; none for a line without words."""
+def _tokens(line: Column) -> Column:
+    """Words of a line, those with a digit as wildcards."""
     masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[^\\x20\\x09-\\x0D]*[0-9][^\\x20\\x09-\\x0D]*", WILD)).otherwise(line)
+    # a line of wildcards alone says nothing about its form; it is taken as it stands
+    constant = F.length(F.translate(F.regexp_replace(masked, "<\\*>", ""), SEPARATOR_CHARS, "")) > 0
+    return words(F.when(constant, masked).otherwise(line))
 
+
+def line_templates(line: Column, depth: int = DEPTH, blocks: int = BLOCKS, min_tokens: int = MIN_TOKENS) -> Column:
+    """Hashes of the templates a line has, its own first; none for a line without words."""
     def of(w: Column) -> Column:
         n = F.size(w)
         rest = n - depth
@@ -39,21 +47,57 @@ def line_templates(line: Column, depth: int = DEPTH, blocks: int = BLOCKS, min_t
         split = let(F.struct(path.alias("path"), *[x.alias(f"b{i}") for i, x in enumerate(part)]), with_parts)
         return F.when(n == 0, F.array().cast("array<bigint>")).when(n < min_tokens, whole).otherwise(split)
 
-    # a line of wildcards alone says nothing about its form; it is taken as it stands
-    constant = F.length(F.translate(F.regexp_replace(masked, "<\\*>", ""), SEPARATOR_CHARS, "")) > 0
-    return let(words(F.when(constant, masked).otherwise(line)), of)
+    return let(_tokens(line), of)
+
 
+def _placed(tokens: Column, depth: int = DEPTH) -> Column:
+    """Leaf and own hash of a line."""
+    n = F.size(tokens)
+    return F.struct(F.xxhash64(n, F.slice(tokens, 1, depth)).alias("leaf"), F.xxhash64(n, tokens).alias("variant"))
 
-def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, **tree) -> DataFrame:
+
+def learned_templates(texts: DataFrame, leaves: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, min_tokens: int = MIN_TOKENS) -> DataFrame:
+    """``variant, form``: templates learned from the lines of ``texts`` in ``leaves``.
+
+    A token's count is that of the leaf's lines with it at its place. A line has a template
+    for each count in it: tokens with that count or more are constant, all others wildcards,
+    however many and wherever. A field's values are each rarer than the words around it, so
+    lines that differ in fields only meet in one. At least half of a line's tokens must be
+    constant, and tokens with digits never are.
+    """
+    split = texts.select(F.explode(F.split("text", "\n", -1)).alias("line"))
+    placed = split.select(F.get(F.transform(F.array(_tokens(F.col("line"))), lambda w: F.struct(_placed(w, depth).alias("at"), F.size(w).alias("n"))), F.lit(0)).alias("x"), "line")
+    placed = placed.where(F.col("x.n") >= min_tokens).select("x.at.leaf", "x.at.variant", "x.n", "line").join(leaves, "leaf", "left_semi")
+    # equal lines are counted once with their number; after this a leaf's common line is one row
+    variants = placed.groupBy("leaf", "variant", "n").agg(F.count("*").alias("c"), F.first("line").alias("line"))
+    fixed = lambda w: ~w.rlike("[0-9]") & (w != WILD)
+    places = F.posexplode(F.transform(_tokens(F.col("line")), lambda w: F.when(fixed(w), F.xxhash64(w))))
+    tokens = written(variants.select("leaf", "variant", "n", "c", places.alias("place", "h")).where("h is not null"), "tokens")
+    counts = tokens.groupBy("leaf", "place", "h").agg(F.sum("c").alias("count")).where(F.col("count") >= min_docs)
+    known = tokens.join(written(counts, "counts"), ["leaf", "place", "h"])
+    lists = known.groupBy("leaf", "variant", "n").agg(F.sort_array(F.collect_list(F.struct("place", "h", "count"))).alias("t")).where(2 * F.size("t") >= F.col("n"))
+    above = lambda least: F.transform(F.filter("t", lambda x: x["count"] >= least), lambda x: F.struct(x["place"], x["h"]))
+    levels = F.transform(F.array_distinct(F.transform("t", lambda x: x["count"])), above)
+    forms = F.transform(F.filter(levels, lambda x: 2 * F.size(x) >= F.col("n")), lambda x: F.xxhash64(F.lit(-3), "leaf", x))
+    return lists.select("variant", F.explode(forms).alias("form"))
+
+
+def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, learned: bool = False, **tree) -> DataFrame:
     """``_rk`` and ``gone``, the ascending numbers (from 0) of lines to drop; other documents are absent.
 
     ``docs`` has ``_doc, _rk, text``. A line goes if one of its templates is in ``min_docs``
     documents or more and the line is not the first with it, by document id and line number.
     """
-    numbered = F.posexplode(F.transform(F.split("text", "\n", -1), lambda s: line_templates(s, **tree)))
-    lines = docs.select("_doc", "_rk", numbered.alias("line", "forms")).where(F.size("forms") > 0)
+    of = lambda s: F.struct(line_templates(s, **tree).alias("forms"), *([_placed(_tokens(s)).alias("at")] if learned else []))
+    numbered = F.posexplode(F.transform(F.split("text", "\n", -1), of))
+    lines = docs.select("_doc", "_rk", numbered.alias("line", "x")).select("_doc", "_rk", "line", "x.*").where(F.size("forms") > 0)
     lines = written(lines, "lines")
     forms = lines.select("_doc", "_rk", "line", F.explode("forms").alias("form"))
+    if learned:
+        leaves = written(lines.groupBy("at.leaf").agg(F.count("*").alias("c")).where(F.col("c") >= min_docs).select("leaf"), "leaves")
+        more = written(learned_templates(docs.select("text"), leaves, min_docs), "learned")
+        more = lines.select("_doc", "_rk", "line", F.col("at.variant").alias("variant")).join(more, "variant").drop("variant")
+        forms = forms.unionByName(written(more, "varied"))
     # templates on too few lines are on too few documents; only the others need be looked at by document
     many = written(forms.groupBy("form").agg(F.count("*").alias("c")).where(F.col("c") >= min_docs).select("form"), "frequent")
     some = written(forms.join(many, "form", "left_semi"), "recurring")
@@ -65,20 +109,20 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, **tree) -> DataFr
     return gone.groupBy("_rk").agg(F.sort_array(F.collect_set("line")).alias("gone"))
 
 
-def without_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, **tree) -> DataFrame:
+def without_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, learned: bool = False, **tree) -> DataFrame:
     """``docs`` with the lines dropped from ``text``, and with ``n_lines``, ``n_dropped``, ``emptied``.
 
     A null text has no lines and stays null. Lines without words are neither counted as
     recurring nor dropped. ``emptied`` is true where a text had words and has none left.
     Rows that share id and text are one document. The first holder of a template keeps it,
     so no content is lost altogether; a row without id comes before all others. Columns
-    named like the new ones are replaced.
+    named like the new ones are replaced. ``learned`` adds the templates learned in each leaf.
     """
     new = ("n_lines", "n_dropped", "emptied")
     keep = [c for c in docs.columns if c.lower() not in new]
     rows = docs.select(F.struct(*keep).alias("_row"), F.col("text").alias("text"), F.xxhash64("doc_id", "text").alias("_rk"),
                        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_doc"))
-    found = recurring_lines(rows.select("_doc", "_rk", "text"), min_docs, **tree)
+    found = recurring_lines(rows.select("_doc", "_rk", "text"), min_docs, learned, **tree)
     # the lists grow with the corpus, so they are never broadcast
     out = rows.select("_row", "_rk", "text").join(written(found, "gone").hint("merge"), "_rk", "left")
     # between two dropped lines lies a slice of kept ones

@@ -41,3 +41,18 @@ def test_stages(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(r.doc_id for r in out.select("doc_id").collect()) == clean
     assert corpus_pipeline.ORACLE_SQL is None and len(QUERIES) == 10
+
+
+def line_stage(spark, *lines):
+    rows = [(i, f"own text {chr(97 + i)} here\n{line}") for i, line in enumerate(lines)]
+    out = corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, "doc_id int, text string"), "")
+    return [r.text.count("\n") for r in out.orderBy("doc_id").collect()]
+
+
+def test_varying_fields_anywhere(spark):
+    a, b = "abcdefghijkl", "mnopqrstuvwx"
+    assert line_stage(spark, *[f"read more about {x} and {y} in our weekly letter" for x, y in zip(a, b)]) == [1] + [0] * 11
+    # one value of a field is in most lines, and other lines share the leaf
+    varied = [f"read more about {'sports' if i < 11 else x} and {y} {y}{y} in our letter today" for i, (x, y) in enumerate(zip(a, b))]
+    prose = [f"read more {x}1 {x}{y} {y} {y}{y} {x}{x} {y}{x} it {x}{y}{x} {y}" for x, y in zip(a[:8], b)]
+    assert line_stage(spark, *varied, *prose) == [1] + [0] * 11 + [1] * 8
