@@ -56,18 +56,18 @@ def _placed(tokens: Column, depth: int = DEPTH) -> Column:
     return F.struct(F.xxhash64(n, F.slice(tokens, 1, depth)).alias("leaf"), F.xxhash64(n, tokens).alias("variant"))
 
 
-def learned_templates(texts: DataFrame, leaves: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, min_tokens: int = MIN_TOKENS) -> DataFrame:
+def learned_templates(texts: DataFrame, leaves: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH) -> DataFrame:
     """``variant, form``: templates learned from the lines of ``texts`` in ``leaves``.
 
     A token's count is that of the leaf's lines with it at its place. A line has a template
     for each count in it: tokens with that count or more are constant, all others wildcards,
     however many and wherever. A field's values are each rarer than the words around it, so
     lines that differ in fields only meet in one. At least half of a line's tokens must be
-    constant, and tokens with digits never are.
+    constant, and tokens with digits never are; that holds for short lines too.
     """
     split = texts.select(F.explode(F.split("text", "\n", -1)).alias("line"))
     placed = split.select(F.get(F.transform(F.array(_tokens(F.col("line"))), lambda w: F.struct(_placed(w, depth).alias("at"), F.size(w).alias("n"))), F.lit(0)).alias("x"), "line")
-    placed = placed.where(F.col("x.n") >= min_tokens).select("x.at.leaf", "x.at.variant", "x.n", "line").join(leaves, "leaf", "left_semi")
+    placed = placed.where(F.col("x.n") > 0).select("x.at.leaf", "x.at.variant", "x.n", "line").join(leaves, "leaf", "left_semi")
     # equal lines are counted once with their number; after this a leaf's common line is one row
     variants = placed.groupBy("leaf", "variant", "n").agg(F.count("*").alias("c"), F.first("line").alias("line"))
     fixed = lambda w: ~w.rlike("[0-9]") & (w != WILD)

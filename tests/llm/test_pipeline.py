@@ -44,7 +44,7 @@ def test_stages(spark, tmp_path):
 
 
 def line_stage(spark, *lines):
-    rows = [(i, f"own text {chr(97 + i)} here\n{line}") for i, line in enumerate(lines)]
+    rows = [(i, "{0}{0} {0}q {0}z\n".format(chr(97 + i)) + line) for i, line in enumerate(lines)]
     out = corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, "doc_id int, text string"), "")
     return [r.text.count("\n") for r in out.orderBy("doc_id").collect()]
 
@@ -56,3 +56,10 @@ def test_varying_fields_anywhere(spark):
     varied = [f"read more about {'sports' if i < 11 else x} and {y} {y}{y} in our letter today" for i, (x, y) in enumerate(zip(a, b))]
     prose = [f"read more {x}1 {x}{y} {y} {y}{y} {x}{x} {y}{x} it {x}{y}{x} {y}" for x, y in zip(a[:8], b)]
     assert line_stage(spark, *varied, *prose) == [1] + [0] * 11 + [1] * 8
+
+
+def test_varying_fields_of_short_lines(spark):
+    a, b = "abcdefghijkl", "mnopqrstuvwx"
+    assert line_stage(spark, *[f"Posted by {x}" for x in a]) == [1] + [0] * 11
+    assert line_stage(spark, *[f"Filed under {x} by {y}" for x, y in zip(a, b)]) == [1] + [0] * 11
+    assert line_stage(spark, *[f"{x} {y}" for x, y in zip(a, b)], *["Posted by me"] * 3) == [1] * 15
