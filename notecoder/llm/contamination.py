@@ -2,7 +2,8 @@
 
 DataFrame functions only. Words are runs of letters and digits, lower-cased; shingles have
 five words; an item of n words is compared with windows of n words. A window and an item are
-alike if the shared part of their shingle multisets is 0.8 of the joint part or more.
+alike if the shared part of their shingle multisets is 0.8 of the joint part or more. A document
+shorter than an item is one window as a whole.
 """
 from __future__ import annotations
 
@@ -79,25 +80,28 @@ def matches(docs: DataFrame, benchmark: DataFrame, literals: int = LITERALS) ->
         holders = cut.select("_rk", F.explode(F.array_distinct("hs")).alias("h")).join(own.select("h").distinct(), "h", "left_semi").select("_rk").distinct()
         some = cut.join(holders, "_rk", "left_semi")
     some = written(some.dropDuplicates(["_rk"]), "candidates")
-    hits = some.select("_rk", F.posexplode("hs").alias("at", "h")).join(own, "h").join(sizes, "item")
-    # alike windows share 8/9 of the item's shingles at least: a / (2 n - a) >= 0.8
-    need = F.ceil(F.col("size") * 8 / 9)
-    enough = hits.groupBy("_rk", "item", "size").agg(F.count("*").alias("n")).where(F.col("n") >= need).select("_rk", "item")
+    hits = some.select("_rk", F.size("hs").cast("long").alias("held"), F.posexplode("hs").alias("at", "h")).join(own, "h").join(sizes, "item")
+    # alike windows share 8/9 of the item's shingles at least: a / (2 n - a) >= 0.8; of a shorter document with d
+    # shingles, a / (d + n - a) >= 0.8 and a <= d leave 4/5
+    short = F.col("held") < F.col("size")
+    need = F.when(short, F.ceil(F.col("size") * 4 / 5)).otherwise(F.ceil(F.col("size") * 8 / 9))
+    enough = hits.groupBy("_rk", "item", "size", "held").agg(F.count("*").alias("n")).where(F.col("n") >= need).select("_rk", "item")
     near = hits.join(enough, ["_rk", "item"], "left_semi")
-    starts = near.select("_rk", "item", "size", F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), F.col("at") - F.col("size") + 1), F.col("at").cast("long"))).alias("start"))
-    starts = starts.groupBy("_rk", "item", "size", "start").agg(F.count("*").alias("n")).where(F.col("n") >= need)
-    windows = written(starts.select("_rk", "size", "start").distinct(), "windows")
+    until = F.when(short, F.lit(0)).otherwise(F.col("at")).cast("long")
+    starts = near.select("_rk", "item", "size", "held", F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), F.col("at") - F.col("size") + 1), until)).alias("start"))
+    starts = starts.groupBy("_rk", "item", "size", "held", "start").agg(F.count("*").alias("n")).where(F.col("n") >= need)
+    windows = written(starts.select("_rk", "size", "held", "start").distinct(), "windows")
     body = F.slice("hs", F.col("start").cast("int") + 1, F.col("size").cast("int"))
-    filled = written(windows.join(some, "_rk").where(F.col("start") + F.col("size") <= F.size("hs")).select("_rk", "start", F.explode(body).alias("h"), F.col("size").alias("wide")), "filled")
-    prints = _fingerprints(filled, "_rk", "start", "wide").drop("wide")
+    filled = written(windows.join(some, "_rk").where(short | (F.col("start") + F.col("size") <= F.col("held"))).select("_rk", "start", F.explode(body).alias("h"), F.col("size").alias("wide"), F.least("size", "held").alias("held")), "filled")
+    prints = _fingerprints(filled, "_rk", "start", "wide").select("_rk", "start", F.col("wide").alias("size"), "print")
     blocks = F.array(*[F.struct(F.lit(b).alias("block"), _block(F.col("print"), b).alias("value")) for b in range(BLOCKS)])
     asked = prints.select("_rk", "start", "size", "print", F.explode(blocks).alias("x")).select("_rk", "start", "size", "print", "x.*")
     found = asked.join(_index(_fingerprints(grams, "item")), ["size", "block", "value"])
     found = found.where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS).select("_rk", "start", "size", "item").distinct()
-    counts = filled.groupBy("_rk", "start", F.col("wide").alias("size"), "h").agg(F.count("*").alias("c"))
+    counts = filled.groupBy("_rk", "start", F.col("wide").alias("size"), "held", "h").agg(F.count("*").alias("c"))
     shared = counts.join(found, ["_rk", "start", "size"]).join(own, ["item", "h"])
-    shared = shared.groupBy("_rk", "item", "start", "size").agg(F.sum(F.least("c", "c_item")).alias("inter"))
-    return shared.where("5 * inter >= 4 * (2 * size - inter)").select("_rk", F.col("item.item").alias("item"), "start", "inter", "size")
+    shared = shared.groupBy("_rk", "item", "start", "size", "held").agg(F.sum(F.least("c", "c_item")).alias("inter"))
+    return shared.where("5 * inter >= 4 * (held + size - inter)").select("_rk", F.col("item.item").alias("item"), "start", "inter", "size")
 
 
 def checked(docs: DataFrame, benchmark: DataFrame, literals: int = LITERALS) -> DataFrame:
