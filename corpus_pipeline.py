@@ -37,8 +37,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and decoded text."""
-    return pieces.encoded(docs.select("doc_id", "text"))
+    """Token counts, ids and decoded text, and digests of both."""
+    return pieces.encoded(docs.select("doc_id", "text"), full=True)
 
 
 STAGES = [

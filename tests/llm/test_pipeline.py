@@ -63,3 +63,9 @@ def test_varying_fields_of_short_lines(spark):
     assert line_stage(spark, *[f"Posted by {x}" for x in a]) == [1] + [0] * 11
     assert line_stage(spark, *[f"Filed under {x} by {y}" for x, y in zip(a, b)]) == [1] + [0] * 11
     assert line_stage(spark, *[f"{x} {y}" for x, y in zip(a, b)], *["Posted by me"] * 3) == [1] * 15
+
+
+def test_last_stage_delivers_ids_and_text(spark):
+    rows = [(1, "some plain words"), (2, None)]
+    out = {r.doc_id: r for r in corpus_pipeline.sentencepiece(spark, spark.createDataFrame(rows, "doc_id int, text string"), "").collect()}
+    assert out[1].decoded == "some plain words" and len(out[1].ids) == out[1].n_tokens > 2 and out[2].decoded == "" and len(out[2].ids) == 2
