@@ -138,3 +138,20 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = read(spark, sf_dir)
     return scored(docs.select("doc_id", "text"), fitted(docs, read(spark, sf_dir, "labels")))
+
+
+@query("op12_search", r"""
+    with t as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+    b as (select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w from benchmark),
+    q as (select item_id, term, count(*) as q from (select item_id, unnest(w) as term from b) group by all),
+    c as (select count(*) as docs, sum(len(w))::bigint as length from t where len(w) > 0),
+    p as (select doc_id, n, term, count(*) as tf from (select doc_id, len(w) as n, unnest(w) as term from t) where term in (select term from q) group by all),
+    d as (select term, cast(floor(1000 * ln((2 * any_value(docs) + 2)::double / (2 * count(*) + 1)::double)) as bigint) as w from p, c group by term),
+    s as (select item_id, doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // length))))::bigint as score
+        from q join p using (term) join d using (term), c group by item_id, doc_id),
+    r as (select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as int) as rank, doc_id, score from s where score > 0)
+    select * from r where rank <= 10""")
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .search import ranked
+
+    return ranked(read(spark, sf_dir), read(spark, sf_dir, "benchmark"), k=10)
