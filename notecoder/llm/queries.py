@@ -155,3 +155,38 @@ def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .search import ranked
 
     return ranked(read(spark, sf_dir), read(spark, sf_dir, "benchmark"), k=10)
+
+
+def _license_sql() -> str:
+    """Phrases by place and templates by window, without order, prefix or index."""
+    from .licenses import ENOUGH, LEAST_CLASS, PHRASES, TEMPLATES
+
+    quoted = [", ".join("('" + label + "', '" + text.replace("'", "''") + "')" for label, text in rows) for rows in ([(y, x) for x, y in PHRASES], TEMPLATES)]
+    cut = ("regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+           "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')")
+    return f"""
+    with d as (select doc_id, coalesce({cut.format('text')}, []) as w from documents),
+    p as (select label, {cut.format('t')} as p from (values {quoted[0]}) v(label, t)),
+    b as (select doc_id, label, x - 1 as spot from (select doc_id, w, label, p, unnest(range(1, len(w) - len(p) + 2)) as x from d, p) where w[x:x + len(p) - 1] = p),
+    bs as (select doc_id, count(*) as n_base, min(spot) as first_word, max(spot) as last_word, list_sort(list(distinct label)) as base from b group by 1),
+    t as (select row_number() over () as t, label, list_distinct({cut.format('t')}) as p, greatest({LEAST_CLASS},
+        cast(pow(2, ceil(log2(len({cut.format('t')})))) as bigint)) as size from (values {quoted[1]}) v(label, t)),
+    tw as (select t, size, unnest(p) as word from t),
+    i as (select doc_id, unnest(w) as word, unnest(range(len(w))) as x from d),
+    h as (select distinct doc_id, t, x // size - k as block, word from i join tw using (word), range(2) r(k) where x // size >= k),
+    m as (select doc_id, t, block, count(*) as held from h group by all),
+    e as (select doc_id, m.t, label, size, block, p, held / len(p) as containment from m join t using (t) where {ENOUGH[1]} * held >= {ENOUGH[0]} * len(p)),
+    s as (select e.* from e where not exists (select 1 from e f where f.doc_id = e.doc_id and f.size = e.size and f.block = e.block
+        and len(f.p) > len(e.p) and list_has_all(f.p, e.p))),
+    ms as (select doc_id, list(distinct label) as labels, max(containment) as best from s group by 1)
+    select doc_id, len(w) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(array_to_string(base, ','), '') as base_labels,
+        array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(labels, [])))), ',') as labels,
+        case when n_base > 0 then 1.0::double else coalesce(best, 0)::double end as score
+    from d left join bs using (doc_id) left join ms using (doc_id)"""
+
+
+@query("op11_licenses", _license_sql())
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scanned
+
+    return scanned(read(spark, sf_dir).select("doc_id", "text")).drop("spans")
