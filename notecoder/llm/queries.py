@@ -190,3 +190,29 @@ def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import scanned
 
     return scanned(read(spark, sf_dir).select("doc_id", "text")).drop("spans")
+
+
+@query("op13_spelling", r"""
+    with recursive d as (select coalesce(cast(doc_id as varchar), '') as id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[a-z\x{C0}-\x{FF}]+') as w from documents),
+    r as (select id, run, count(*) as n from (select id, unnest(w) as run from d) group by all),
+    c as (select list(list_reduce([x, 1, 1, 1, 1, 1, 1, 1, 1], lambda v, k: case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end) order by x) as t
+        from (select unnest(range(256)) as x)),
+    b as (select id, run, n, list_transform(range(cast(length(hex(encode(id || ':' || run))) / 2 as bigint)),
+        lambda k: cast('0x' || substr(hex(encode(id || ':' || run)), cast(2 * k + 1 as bigint), 2) as bigint)) as bytes from r),
+    h as (select run, n, xor(list_reduce(list_concat([4294967295], bytes), lambda v, k: xor(v >> 8, t[xor(v & 255, k) + 1])), 4294967295) as h from b, c),
+    m as (select case when h % 97 = 0 then substr(run, 1, cast(h % length(run) as bigint)) || substr(run, cast(h % length(run) + 2 as bigint)) else run end as word, n from h),
+    w as (select word, cast(sum(n) as bigint) as n from m where length(word) >= 5 group by 1 having sum(n) >= 3),
+    x as (select word, n, length(word) as l, k, substr(word, 1, k - 1) || substr(word, k + 1) as cut from (select word, n, unnest(range(1, length(word) + 1)) as k from w)),
+    p as (select a.word as a, a.n as an, b.word as b, b.n as bn from x a join x b on a.cut = b.cut and a.k = b.k and a.word <> b.word and a.l = b.l
+        union select a.word, a.n, x.word, x.n from w a join x on x.cut = a.word union select x.word, x.n, a.word, a.n from w a join x on x.cut = a.word),
+    f as (select a as word, count(*) as n_near, max(bn) as bn, min(struct_pack(n := -bn, w := b)).w as best from p group by 1),
+    g as (select w.word, w.n, coalesce(n_near, 0) as n_near, case when bn >= 2 * w.n then best end as form, case when bn >= 2 * w.n then bn end as form_n
+        from w left join f using (word)),
+    walk(word, root, step) as (select word, word, 0 from g union all select walk.word, g.form, step + 1 from walk join g on g.word = walk.root where g.form is not null),
+    last as (select word, arg_max(root, step) as root from walk group by 1)
+    select word, form, root, n, n_near, form_n from g join last using (word)""")
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import grouped
+
+    return grouped(read(spark, sf_dir))
