@@ -28,7 +28,9 @@ from .terms import texts
 #: Letters with a group of their own, the most frequent ones, and groups of the other letters.
 ALONE, SHARED = 16, 8
 #: Stored words and askers of one piece of a shard, and the mean of stored words that sets the depth of shards.
-STORED, ASKERS, MEAN = 20_000, 100_000, 2_500
+STORED, ASKERS, MEAN = 10_000, 20_000, 2_500
+#: Parts of a path's rows where they meet the figures of their shard.
+SALTS = 32
 #: The greatest depth of shards; an asker reaches 1 + depth * (depth + 1) shards at most.
 DEPTH = 6
 #: Words that a task counts before it hands them on, and states or pairs that are looked at together.
@@ -283,7 +285,9 @@ def near_words(words: DataFrame, stored: int = STORED, askers: int = ASKERS, mea
     rows = written(rows, "paths")
     held = rows.groupBy("path").agg(F.count_if(~F.col("asks")).alias("s"), F.count_if("asks").alias("a")).where("s > 0 and a > 0")
     held = held.select("path", F.ceil(F.col("s") / stored).cast("int").alias("s"), F.ceil(F.col("a") / askers).cast("int").alias("a"))
-    rows = rows.join(held, "path")
+    # a path may hold a large share of the rows: salted, and the pieces are dealt by their own keys afterwards
+    held = held.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("word"), F.lit(SALTS)).cast("int")).join(held, ["path", "salt"])
     own, other = F.when(F.col("asks"), F.col("a")).otherwise(F.col("s")), F.when(F.col("asks"), F.col("s")).otherwise(F.col("a"))
     rows = rows.select("*", F.pmod(F.xxhash64("word"), own).cast("int").alias("mine"), F.explode(F.sequence(F.lit(0), other - 1)).alias("theirs"))
     rows = rows.select("path", "asks", "surplus", "deficit", "word", "n", F.when(F.col("asks"), F.col("theirs")).otherwise(F.col("mine")).alias("x"),
