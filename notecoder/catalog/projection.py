@@ -14,6 +14,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Short source columns dealt over all cores before long texts are made of them.
+
+    A file of one row group is read by one task, which would then do all the work on the texts.
+    The number is given, so that the adaptive planner does not join the small partitions again.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def pick(options: list[str], index: str) -> str:
     """SQL for the option at ``index`` modulo the number of options."""
     return f"split_part('{'|'.join(options)}', '|', cast(({index}) % {len(options)} + 1 as int))"
@@ -103,7 +112,7 @@ NOTES_SQL = f"select {K} as doc_id, {NOTE_TEXT} as text from orders"
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One clinical note per order: ``doc_id, text``."""
-    rows = table(spark, sf_dir, "orders").select(K, C, "o_totalprice")
+    rows = spread(table(spark, sf_dir, "orders").select(K, C, "o_totalprice"), K)
     return rows.selectExpr(f"{K} as doc_id", f"{NOTE_TEXT} as text")
 
 
