@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["texts", "sections", "coding", "mentions", "evidence", "mapping", "replies", "status", "plans"]
+MODULES = ["texts", "sections", "lines", "coding", "mentions", "evidence", "mapping", "replies", "status", "plans"]
 
 
 def load():

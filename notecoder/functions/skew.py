@@ -41,3 +41,42 @@ def with_group(df: DataFrame, keys: list[str], **aggs: Column) -> DataFrame:
     split by the adaptive skew join.
     """
     return df.join(df.groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()]), keys, "left")
+
+
+def islands(df: DataFrame, keys: list[str], order: list[Column], label: str, number: str = "island") -> DataFrame:
+    """Number the runs of equal ``label`` (null equals null) of each group in the given order, from 0.
+
+    Runs are numbered inside each slice of a group; a run that goes on from the slice before
+    keeps its number. Only one row per group and slice is looked at in the group's order.
+    """
+    sliced = in_slices(df, keys, order)
+    inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = sliced.withColumn("_r", F.row_number().over(inside))
+    local = local.withColumn("_new", (F.col("_r") > 1) & ~F.col(label).eqNullSafe(F.lag(label).over(inside)))
+    local = local.withColumn("_k", F.sum(F.col("_new").cast("bigint")).over(upto))
+    per = local.groupBy(*keys, "_slice").agg(
+        F.min_by(F.struct(label), "_r").alias("_head"), F.max_by(F.struct(label), "_r").alias("_tail"), (F.max("_k") + 1).alias("_n"))
+    by_slice = Window.partitionBy(*keys).orderBy("_slice")
+    per = per.withColumn("_on", F.coalesce(F.col("_head").eqNullSafe(F.lag("_tail").over(by_slice)), F.lit(False)).cast("bigint"))
+    before = by_slice.rowsBetween(Window.unboundedPreceding, -1)
+    through = by_slice.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    start = F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.sum("_on").over(through)
+    out = local.join(per.select(*keys, "_slice", start.alias("_start")), [*keys, "_slice"])
+    return out.select(*df.columns, (F.col("_k") + F.col("_start")).alias(number))
+
+
+def absorbed(runs: DataFrame, keys: list[str], label: str, other: str, number: str = "island") -> DataFrame:
+    """Runs of ``other`` between two runs of one label take that label, and runs are numbered anew.
+
+    A null label takes nothing. ``runs`` has one row per group and ``number``. The result adds ``_absorbed`` (whether a row was
+    such a run) and ``_run`` (its number among the merged runs); combining by it is left to the
+    caller. As runs alternate, one pass reaches the fixed point: what stays ``other`` has
+    different neighbours.
+    """
+    at = lambda step, name: runs.select(*keys, (F.col(number) + step).alias(number), F.col(label).alias(name))
+    near = runs.join(at(1, "_before"), [*keys, number], "left").join(at(-1, "_after"), [*keys, number], "left")
+    takes = (F.col(label) == other) & (F.col("_before") == F.col("_after"))
+    out = near.withColumn("_absorbed", F.coalesce(takes, F.lit(False)))
+    out = out.withColumn(label, F.when(F.col("_absorbed"), F.col("_before")).otherwise(F.col(label))).drop("_before", "_after")
+    return islands(out, keys, [F.col(number)], label, "_run")
