@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 
 from ..functions.skew import absorbed, islands
 from ..knowledge.lines import LINE_PATTERNS, OTHER
+from ..functions import text as tx
+from ..knowledge.blocks import BLOCK_FAMILIES
+from ..operators import blocks as bk
 from ..operators import lines as ln
 from .projection import notes, table
 from .registry import query
@@ -124,3 +127,60 @@ def event_runs_absorbed(spark, sf):
     return rows.groupBy("user_id", F.col("_run").alias("run")).agg(
         F.first("event_type").alias("event_type"), F.sum("n").alias("n"), F.sum(F.when(F.col("_absorbed"), F.col("n")).otherwise(0)).alias("n_absorbed"),
         F.min("first_event").alias("first_event"), F.max("last_event").alias("last_event"))
+
+
+# --- blocks of a family, headers found again ---------------------------------------------
+def _family(name: str, gap: int, least: int, pattern: str) -> str:
+    return f"select doc_id, '{name}' as section, {gap} as gap, {least} as least, line from al where regexp_matches(l, {q(pattern)})"
+
+
+BLOCKS = f"""
+    al as (select doc_id, unnest(string_split(text, chr(10))) as l, unnest(range(len(string_split(text, chr(10))))) as line from notes),
+    fh as ({' union all '.join(_family(*f) for f in BLOCK_FAMILIES)}),
+    fc as (select *, case when line - lag(line) over (partition by doc_id, section order by line) <= gap then 0 else 1 end as c from fh),
+    fk as (select *, sum(c) over (partition by doc_id, section order by line) as k from fc),
+    bl as (select doc_id, section, k, count(*) as line_count, min(line) as start_line, max(line) as end_line from fk group by doc_id, section, k having count(*) >= any_value(least)),
+    br as (select *, row_number() over (partition by doc_id, section order by line_count desc, start_line) as rn from bl),
+    off as (select doc_id, line, sum(length(l) + 1) over (partition by doc_id order by line) - length(l) - 1 as position from al)"""
+
+
+@query("content_blocks", f"""
+    with {BLOCKS}
+    select br.doc_id, cast(position as bigint) as position, section, line_count, start_line, end_line,
+        round_even(least(0.50::double + line_count / (end_line - start_line + 1) * 0.30::double + line_count * 0.03::double, 0.88::double), 3) as confidence
+    from br join off on off.doc_id = br.doc_id and off.line = start_line where rn = 1""")
+def content_blocks(spark, sf):
+    long = lambda c: F.col(c).cast("bigint")
+    return bk.content_blocks(notes(spark, sf)).select(
+        "doc_id", long("position"), "section", long("line_count"), long("start_line"), long("end_line"), "confidence")
+
+
+# seconds that may pass inside one burst, by type of event, and least events of a burst
+BURST_GAPS, BURST_LEAST = {"view": 86400, "click": 129600, "error": 259200}, 2
+_GAP = "case event_type " + " ".join(f"when '{k}' then {v}" for k, v in BURST_GAPS.items()) + " else 172800 end"
+
+
+@query("event_bursts", f"""
+    with ec as (select *, case when epoch_us(ts) - lag(epoch_us(ts)) over w <= cast({_GAP} as bigint) * 1000000 then 0 else 1 end as c from events window w as (partition by user_id, event_type order by ts, event_id)),
+    ek as (select *, sum(c) over (partition by user_id, event_type order by ts, event_id) as k from ec),
+    er as (select user_id, event_type, count(*) as n, min(event_id) as first_event, max(event_id) as last_event, min(epoch_us(ts)) as t from ek group by user_id, event_type, k having count(*) >= {BURST_LEAST}),
+    rn as (select *, row_number() over (partition by user_id, event_type order by n desc, t, first_event) as r from er)
+    select user_id, event_type, n, first_event, last_event from rn where r = 1""")
+def event_bursts(spark, sf):
+    """The longest burst of each type of event per user; each type has its own longest pause."""
+    events = table(spark, sf, "events").select("user_id", "event_type", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    events = events.withColumn("mark", F.struct("t", F.expr(f"cast({_GAP} as bigint) * 1000000").alias("gap")))
+    numbered = islands(events, ["user_id", "event_type"], [F.col("t"), F.col("event_id")], "mark", "k", lambda a, b: b["t"] - a["t"] <= b["gap"])
+    bursts = numbered.groupBy("user_id", "event_type", "k").agg(
+        F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_event"), F.max("event_id").alias("last_event"), F.min("t").alias("t")).where(F.col("n") >= BURST_LEAST)
+    best = F.min(F.struct((-F.col("n")).alias("n"), "t", "first_event", "last_event")).alias("b")
+    return bursts.groupBy("user_id", "event_type").agg(best).select("user_id", "event_type", (-F.col("b.n")).alias("n"), "b.first_event", "b.last_event")
+
+
+TITLES = ["Chief Complaint", "History of  Present Illness", "Past Medical History", "Current Medications", "Social History", "[Assessment and Plan]", "Follow up"]
+
+
+@query("locate_headers")
+def locate_headers(spark, sf):
+    """Usual titles found in the notes, in order; fuzzy scores are checked in ``tests/test_blocks.py``."""
+    return bk.locate_headers(notes(spark, sf).withColumn("headers", tx.literal_array(TITLES)))

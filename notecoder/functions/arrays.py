@@ -54,12 +54,17 @@ def matches(t: Column, pattern: str, group: int = 1) -> Column:
     return let(cut, locate)
 
 
-def runs(labels: Column) -> Column:
-    """Runs of equal neighbours as structs (first, last) of 0-based indexes; nulls are equal."""
+def cuts(items: Column, starts) -> Column:
+    """Runs of an array as structs (first, last) of 0-based indexes; ``starts(before, item)`` begins a new one."""
     def cut(v: Column) -> Column:
         every = F.when(F.size(v) > 0, F.sequence(F.lit(0), F.size(v) - 1)).otherwise(F.array().cast("array<int>"))
-        firsts = F.filter(every, lambda i: (i == 0) | ~F.get(v, i).eqNullSafe(F.get(v, i - 1)))
+        firsts = F.filter(every, lambda i: (i == 0) | starts(F.get(v, i - 1), F.get(v, i)))
         return let(firsts, lambda f: F.transform(f, lambda s, k: F.struct(
             s.alias("first"), (F.coalesce(F.get(f, k + 1), F.size(v)) - 1).alias("last"))))
 
-    return let(labels, cut)
+    return let(items, cut)
+
+
+def runs(labels: Column) -> Column:
+    """Runs of equal neighbours; nulls are equal."""
+    return cuts(labels, lambda before, label: ~before.eqNullSafe(label))

@@ -43,22 +43,27 @@ def with_group(df: DataFrame, keys: list[str], **aggs: Column) -> DataFrame:
     return df.join(df.groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()]), keys, "left")
 
 
-def islands(df: DataFrame, keys: list[str], order: list[Column], label: str, number: str = "island") -> DataFrame:
-    """Number the runs of equal ``label`` (null equals null) of each group in the given order, from 0.
+def islands(df: DataFrame, keys: list[str], order: list[Column], label: str, number: str = "island", same=None) -> DataFrame:
+    """Number the runs of each group in the given order, from 0.
 
-    Runs are numbered inside each slice of a group; a run that goes on from the slice before
-    keeps its number. Only one row per group and slice is looked at in the group's order.
+    A run ends where ``same(before, after)`` of two neighbours' ``label`` is false; by default
+    where they differ (null equals null). Runs are numbered inside each slice of a group; a run
+    that goes on from the slice before keeps its number. Only one row per group and slice is
+    looked at in the group's order.
     """
+    same = same or (lambda before, after: before.eqNullSafe(after))
     sliced = in_slices(df, keys, order)
     inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = sliced.withColumn("_r", F.row_number().over(inside))
-    local = local.withColumn("_new", (F.col("_r") > 1) & ~F.col(label).eqNullSafe(F.lag(label).over(inside)))
+    local = sliced.withColumn("_r", F.row_number().over(inside)).withColumn("_before", F.lag(label).over(inside))
+    local = local.withColumn("_new", (F.col("_r") > 1) & ~same(F.col("_before"), F.col(label))).drop("_before")
     local = local.withColumn("_k", F.sum(F.col("_new").cast("bigint")).over(upto))
     per = local.groupBy(*keys, "_slice").agg(
         F.min_by(F.struct(label), "_r").alias("_head"), F.max_by(F.struct(label), "_r").alias("_tail"), (F.max("_k") + 1).alias("_n"))
     by_slice = Window.partitionBy(*keys).orderBy("_slice")
-    per = per.withColumn("_on", F.coalesce(F.col("_head").eqNullSafe(F.lag("_tail").over(by_slice)), F.lit(False)).cast("bigint"))
+    per = per.withColumn("_last", F.lag("_tail").over(by_slice))
+    on = F.col("_last").isNotNull() & same(F.col("_last")[label], F.col("_head")[label])
+    per = per.withColumn("_on", F.coalesce(on, F.lit(False)).cast("bigint"))
     before = by_slice.rowsBetween(Window.unboundedPreceding, -1)
     through = by_slice.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     start = F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.sum("_on").over(through)
