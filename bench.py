@@ -1,8 +1,14 @@
-"""Headline queries, timed once each after a warm-up; prints one JSON line."""
+"""Headline queries, timed once each after a warm-up; prints one JSON line.
+
+Each query's time is told on the error stream as it ends; a run that is asked to stop prints the
+line for the queries so far.
+"""
 from __future__ import annotations
 
 import json
 import os
+import signal
+import sys
 import time
 
 from notecoder import catalog
@@ -22,15 +28,25 @@ def main() -> None:
     spark = local_session(cpus, partitions=int(cpus) if cpus.isdigit() else 8)
     queries = catalog.load().QUERIES
     queries["document_summary"](spark, sf_dir).limit(1).collect()
-    times = {}
+    times: dict[str, float] = {}
+
+    def tell() -> None:
+        print(json.dumps({
+            "metric": "total seconds of headline queries", "value": round(sum(times.values()), 3), "unit": "sec",
+            "queries": times, "sf": sf_dir.rstrip("/").rsplit("sf", 1)[-1],
+        }), flush=True)
+
+    def stopped(*_) -> None:
+        tell()
+        os._exit(124)
+
+    signal.signal(signal.SIGTERM, stopped)
     for name in HEADLINE:
         start = time.time()
         queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - start, 3)
-    print(json.dumps({
-        "metric": "total seconds of headline queries", "value": round(sum(times.values()), 3), "unit": "sec",
-        "queries": times, "sf": sf_dir.rstrip("/").rsplit("sf", 1)[-1],
-    }))
+        print(name, times[name], file=sys.stderr, flush=True)
+    tell()
 
 
 if __name__ == "__main__":
