@@ -6,10 +6,14 @@ from pyspark.sql import functions as F
 from ..functions import similarity as sim
 from ..functions import text as tx
 from ..knowledge import coverage as kc
+from ..knowledge.sections import ASSESSMENT_KEYS
+from ..operators import assessment as asm
 from ..operators import coverage as cv
+from ..operators import sections as se
 from .mapping import result_codes
 from .projection import notes, results
 from .registry import query
+from .sections import MERGED
 from .sqltext import lst, q, strip
 from .texts import variants_cte
 
@@ -100,3 +104,28 @@ def mention_verify(spark, sf):
     quoted = F.array("evaluation_evidence", F.concat("treatment_evidence", F.lit(" as was told at "), (F.col("ord") % 7).cast("string")))
     rows = results(spark, sf).select("doc_id", "ord", "disease", quoted.alias("snippets"))
     return cv.mention_verify(rows, notes(spark, sf)).select("doc_id", "ord", "found_by", "reason")
+
+
+_TITLE = lambda x: f"array_to_string(list_transform(regexp_extract_all({x}, '\\p{{L}}+|[^\\p{{L}}]+'), lambda r: upper(left(r, 1)) || lower(substr(r, 2))), '')"
+
+
+@query("assessment_patch", f"""
+    with recursive {MERGED},
+    asx as (select doc_id, first_ord, text from merged where section in {tuple(ASSESSMENT_KEYS)} and trim(text) <> ''),
+    bd as (select doc_id, ' ' || lower(string_agg(text, ' ' order by first_ord)) as body from asx group by doc_id),
+    ni as (select doc_id, first_ord, unnest(regexp_extract_all(text, {q(asm.ITEM)}, 1)) as item, unnest(range(len(regexp_extract_all(text, {q(asm.ITEM)}, 1)))) as x from asx),
+    pt as (select doc_id, first_ord, x, unnest(string_split(lower(trim(item)), ',')) as part, unnest(range(len(string_split(lower(trim(item)), ',')))) as y from ni),
+    sp as (select doc_id, row_number() over (partition by doc_id order by first_ord, x, y) as o, list_transform(string_split(trim(part), '/'), lambda s: trim(s)) as s from pt),
+    fr as (select distinct doc_id, unnest(s) as f from sp),
+    up as (select doc_id, s[1] as short, arg_max({_TITLE("array_to_string(s, ' ')")}, o) as full_name, min(o) as o from sp where len(s) > 1 and length(s[1]) >= 3 group by doc_id, s[1]),
+    rr as (select r.doc_id, r.ord, disease, sources, lower(trim(disease)) as low, body, body is not null and (contains(body, lower(trim(disease))) or exists (select 1 from fr where fr.doc_id = r.doc_id
+        and length(f) >= 4 and (contains(f, lower(trim(disease))) or contains(lower(trim(disease)), f)))) as patched from results r left join bd using (doc_id)),
+    nm as (select rr.doc_id, rr.ord, arg_min(full_name, o) as full_name from rr join up on up.doc_id = rr.doc_id and (contains(short, low) or contains(low, short)) and length(full_name) > length(trim(disease))
+        where patched group by rr.doc_id, rr.ord)
+    select doc_id, ord, coalesce(full_name, disease) as disease, patched, array_to_string(case when patched and not list_contains(list_transform(string_split(sources, ','), lambda s: lower(s)), 'assessment')
+        then list_prepend('assessment', list_filter(string_split(sources, ','), lambda s: not list_contains({lst(ASSESSMENT_KEYS)}, lower(s)))) else string_split(sources, ',') end, ',') as sources
+    from rr left join nm using (doc_id, ord)""")
+def assessment_patch(spark, sf):
+    rows = results(spark, sf).select("doc_id", "ord", "disease", F.split("sources", ",").alias("sources"))
+    out = asm.assessment_patch(rows, se.with_sections(notes(spark, sf)))
+    return out.select("doc_id", "ord", "disease", "patched", F.array_join("sources", ",").alias("sources"))

@@ -9,6 +9,7 @@ from ..operators import evaluate as ev
 from ..operators import replies as rp
 from ..streaming import jobs
 from .coding import G, graded
+from .mapping import RCODES, result_codes
 from .projection import CODES, duck, notes, pick, results, table
 from .registry import query
 from .sqltext import q, values
@@ -193,3 +194,28 @@ def usage_budget(spark, sf):
         "event_id", "user_id as session", "ts", "event_type as model", "cast(bround(value * 1000, 0) as bigint) as prompt_tokens", "cast(bround(value * 200, 0) as bigint) as completion_tokens")
     out = jobs.usage_budget(u, PRICES, ("0.075", "0.30"))
     return out.select("event_id", "session", "total_tokens", "total_cost", "over_limit")
+
+
+# --- replies to results: one reply per document, a second look by name, codes of the dictionary ---
+@query("reply_to_results", f"""
+    with {RCODES}, dd as (select lower(description) as name, min_by(code, seq) as code from rc group by 1),
+    kb as (select replace(upper(trim(code)), '.', '') as bare, min_by(struct_pack(code := code, description := description), seq) as hit from rc group by 1),
+    a as (select * from results where not negated and trim(disease) <> ''),
+    c as (select a.*, case when trim(icd_code) <> '' then trim(icd_code) when split_part(sources, ',', 1) in ('assessment', 'assessment_and_plan') then coalesce(dd.code, '') else '' end as code
+        from a left join dd on dd.name = lower(disease)),
+    k as (select c.*, hit, {' + '.join(f"cast({x} <> '' as int)" for x in rp.TEXTS)} as n, case when hit is null then 0.70::double else 0.95::double end as sure
+        from c left join kb on kb.bare = replace(upper(code), '.', '') where code <> '')
+    select doc_id, row_number() over (partition by doc_id order by ord) as number, disease, coalesce(hit.code, code) as icd_code, coalesce(hit.description, '') as icd_description, sure as icd_confidence,
+        cast(n as bigint) as meat_score, case when n >= 3 then 'strong_evidence' when n = 2 then 'moderate_evidence' when n = 1 then 'weak_evidence' else 'no_meat' end as meat_tier,
+        round_even(case when n = 0 then least(0.42::double, sure * 0.4::double) else n / 4 * 0.6::double + sure * 0.4::double end, 2) as confidence from k""")
+def reply_to_results(spark, sf):
+    g = graded(spark, sf)
+    m = F.struct(*[F.col(f"{e}_evidence").alias(n) for e, n in zip(("monitoring", "evaluation", "assessment", "treatment"), ("M_monitor", "E_evaluate", "A_assess", "T_treat"))])
+    d = F.struct("ord", F.col("disease").alias("disease_name"), F.when(F.col("negated"), "resolved").otherwise("active").alias("active_status"),
+                 F.col("sources")[0].alias("source_section"), F.col("icd_code").alias("icd10_code"), m.alias("meat_validation"))
+    replies = g.groupBy("doc_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list(d)).alias("diseases"))).alias("raw"))
+    codes = result_codes(spark, sf)
+    by_name = codes.groupBy(F.lower("description").alias("_n")).agg(F.min_by("code", "seq").alias("icd_code"))
+    lookup = lambda names: names.join(by_name, F.lower("name") == F.col("_n")).select("name", "icd_code")
+    out = rp.reply_to_results(rp.reply_diseases(rp.repair(replies, rp.REPLY)), codes, lookup)
+    return out.select("doc_id", F.col("number").cast("bigint"), "disease", "icd_code", "icd_description", "icd_confidence", F.col("meat_score").cast("bigint"), "meat_tier", "confidence")

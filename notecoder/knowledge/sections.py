@@ -122,3 +122,6 @@ procedure date, patient educational handouts, medical equipment, advance directi
 functional status, none recorded, no information available, unknown, reminders, orders,
 dme orders, implant orders, reminders provider, mental status, question answer notes
 """)
+
+# Sections that state the assessment.
+ASSESSMENT_KEYS = ["assessment_and_plan", "assessment", "active_problems", "active_problem_list", "problem_list"]

@@ -2,14 +2,15 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import text as tx
 from ..functions.arrays import explode_rows
-from .results import bmi_band
 from ..knowledge import coding as kc
+from . import mapping as mp
+from .results import bmi_band
 
 MEAT = "M_monitor string, E_evaluate string, A_assess string, T_treat string"
 REPLY = (
@@ -130,3 +131,41 @@ def bmi_pairing(rows: DataFrame, notes: DataFrame) -> DataFrame:
     band = bmi_band(F.nullif(F.col("v"), F.lit("")).cast("double"))
     added = need.select("doc_id", F.concat(F.lit("BMI "), "v").alias("disease"), band.alias("icd_code")).where("icd_code is not null")
     return kept.unionByName(added, allowMissingColumns=True)
+
+
+# --- replies to results ---------------------------------------------------------------
+# Confidence of a code that the dictionary has or lacks, weights of evidence and code, cap without evidence.
+KNOWN, UNKNOWN = 0.95, 0.70
+EVIDENCE_WEIGHT, CODE_WEIGHT, BARE_CAP = 0.6, 0.4, 0.42
+SECOND_LOOK = ["assessment", "assessment_and_plan"]
+TEXTS = [f"{e}_evidence" for e in ("monitoring", "evaluation", "assessment", "treatment")]
+
+
+def reply_to_results(rows: DataFrame, codes: DataFrame, lookup=None) -> DataFrame:
+    """Result rows of a reply's diseases (``reply_diseases``), codes checked against the dictionary.
+
+    Rows without a code are looked up by name once more if their first source is the assessment,
+    each distinct name once; what has no code then goes. A code the dictionary has (dots ignored)
+    takes its spelling and description, another one counts less. Adds ``number`` (1, 2, ... in
+    the order of ``ord``), ``meat_tier``, ``meat_score``, ``icd_description``, ``icd_confidence`` and ``confidence``.
+    ``lookup(names)`` gives ``name, icd_code``; by default the combined search. Blank names go.
+    """
+    lookup = lookup or (lambda names: mp.search_combined(names, codes))
+    code = F.trim(F.coalesce("icd_code", F.lit("")))
+    named = rows.where(F.trim(F.coalesce("disease", F.lit(""))) != "").withColumn("icd_code", code)
+    source = F.replace(F.lower(F.coalesce(F.get("sources", F.lit(0)), F.lit(""))), F.lit(" "), F.lit("_"))
+    again = named.where((F.col("icd_code") == "") & source.isin(SECOND_LOOK)).drop("icd_code")
+    found = lookup(again.select(F.col("disease").alias("name")).distinct()).where("coalesce(icd_code, '') <> ''").select(F.col("name").alias("disease"), "icd_code")
+    coded = named.where("icd_code <> ''").unionByName(again.join(found, "disease"))
+    known = codes.groupBy(tx.bare_code(F.col("code")).alias("_bare")).agg(F.min_by(F.struct("code", "description"), "seq").alias("_hit"))
+    j = coded.withColumn("_bare", tx.bare_code(F.col("icd_code"))).join(known, "_bare", "left")
+    hit = F.col("_hit").isNotNull()
+    n = sum((F.when(F.coalesce(c, F.lit("")) != "", 1).otherwise(0) for c in TEXTS), F.lit(0))
+    sure = F.when(hit, KNOWN).otherwise(UNKNOWN)
+    round2 = lambda x: F.rint(x * 100) / 100
+    return j.withColumns({
+        "meat_score": n, "icd_confidence": sure, "icd_code": F.coalesce("_hit.code", "icd_code"), "icd_description": F.coalesce("_hit.description", F.lit("")),
+        "meat_tier": F.when(n >= 3, "strong_evidence").when(n == 2, "moderate_evidence").when(n == 1, "weak_evidence").otherwise("no_meat"),
+        "confidence": round2(F.when(n == 0, F.least(F.lit(BARE_CAP), sure * CODE_WEIGHT)).otherwise(n / 4 * EVIDENCE_WEIGHT + sure * CODE_WEIGHT)),
+        "number": F.row_number().over(Window.partitionBy("doc_id").orderBy("ord")),
+    }).drop("_bare", "_hit")
