@@ -9,6 +9,7 @@ from ..functions import text as tx
 from ..knowledge.blocks import BLOCK_FAMILIES
 from ..operators import blocks as bk
 from ..operators import lines as ln
+from ..operators import markers as mk
 from .projection import notes, table
 from .registry import query
 from .sections import CONTENT, MERGED
@@ -184,3 +185,12 @@ TITLES = ["Chief Complaint", "History of  Present Illness", "Past Medical Histor
 def locate_headers(spark, sf):
     """Usual titles found in the notes, in order; fuzzy scores are checked in ``tests/test_blocks.py``."""
     return bk.locate_headers(notes(spark, sf).withColumn("headers", tx.literal_array(TITLES)))
+
+
+@query("marker_merge")
+def marker_merge(spark, sf):
+    """Section markers of the notes; spacing and insertion are checked in ``tests/test_markers.py``."""
+    from ..functions.arrays import explode_rows
+
+    docs = mk.with_markers(notes(spark, sf)).withColumn("marked_sha256", F.sha2("marked", 256))
+    return explode_rows(docs, F.col("markers"), "doc_id", "marked_sha256")
