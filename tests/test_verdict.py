@@ -83,9 +83,11 @@ def test_latest_version_of_a_late_note(spark):
 def test_status_codes(spark):
     from notecoder.operators import status as st
 
-    rows = [(1, "Personal history of left breast cancer. Continue warfarin. ICD check next week", "warfarin 5 mg daily\naspirin 81 mg"), (2, "accident", None), (3, None, "NPH units")]
+    rows = [(1, "Personal history of left breast cancer. Continue warfarin. ICD check next week", "warfarin 5 mg daily\naspirin 81 mg"), (2, "accident", None), (3, None, "NPH units"),
+            (4, "Atrial fibrillation, rate controlled. Diabetes.", "apixaban and metformin, aspirin 81 mg")]
     docs = spark.createDataFrame(rows, "doc_id long, assessment string, medications string")
     assert [(r.doc_id, r.disease, r.icd_code) for r in st.history_codes(docs).collect()] == [(1, "Personal history of left breast cancer", "Z85.819")]
     assert sorted((r.doc_id, r.icd_code, r.drug, r.included, r.reason) for r in st.long_term_drugs(docs).collect()) == [
-        (1, "Z79.01", "warfarin", True, None), (1, "Z79.02", "aspirin 81 mg", False, "ENCOUNTER_NOT_RELEVANT"), (3, "Z79.4", "NPH", False, "ENCOUNTER_NOT_RELEVANT")]
+        (1, "Z79.01", "warfarin", True, None), (1, "Z79.02", "aspirin 81 mg", False, "ENCOUNTER_NOT_RELEVANT"), (3, "Z79.4", "NPH", False, "ENCOUNTER_NOT_RELEVANT"),
+        (4, "Z79.01", "apixaban", True, None), (4, "Z79.02", "aspirin 81 mg", False, "ENCOUNTER_NOT_RELEVANT")]
     assert [(r.doc_id, r.status, r.trigger) for r in st.device_codes(docs).collect()] == [(1, "ICD_defibrillator", "ICD")]
