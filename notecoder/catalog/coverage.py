@@ -8,6 +8,7 @@ from ..functions import text as tx
 from ..knowledge import coverage as kc
 from ..knowledge.sections import ASSESSMENT_KEYS
 from ..operators import assessment as asm
+from ..operators import context as cx
 from ..operators import coverage as cv
 from ..operators import sections as se
 from .mapping import result_codes
@@ -129,3 +130,15 @@ def assessment_patch(spark, sf):
     rows = results(spark, sf).select("doc_id", "ord", "disease", F.split("sources", ",").alias("sources"))
     out = asm.assessment_patch(rows, se.with_sections(notes(spark, sf)))
     return out.select("doc_id", "ord", "disease", "patched", F.array_join("sources", ",").alias("sources"))
+
+
+@query("fast_sections", rf"""
+    with sn as (select doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: {strip('s')}), lambda s: s <> '') as sents from notes),
+    r as (select doc_id, ord, lower(disease) as low, split_part(sources, ',', 1) as section from results),
+    u as (select r.doc_id, section, ord, low, unnest(sents) as s, unnest(range(len(sents))) as x from r join sn using (doc_id)),
+    f as (select doc_id, section, string_agg(' ' || s, '' order by ord, x) as text from u where contains(lower(s), low) group by doc_id, section)
+    select d.doc_id, d.section, coalesce(text, '') as text from (select distinct doc_id, section from r) d left join f on f.doc_id = d.doc_id and f.section = d.section""")
+def fast_sections(spark, sf):
+    docs = notes(spark, sf).withColumn("sents", F.transform(cx.sentence_array(F.col("text")), lambda s: s["text"]))
+    rows = results(spark, sf).select("doc_id", "ord", "disease", F.split("sources", ",")[0].alias("section"))
+    return cx.fast_sections(rows, docs)

@@ -5,11 +5,11 @@ return text arrays; no sentence or section leaves its row.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.arrays import constant_rows, let
+from ..functions.arrays import constant_rows, explode_rows, let
 from ..knowledge import clinical as kn
 
 
@@ -173,3 +173,23 @@ def summary(c: Column) -> Column:
         block("Medications:\n", lines(c["drugs"]), F.size(c["drugs"]) > 0),
         block("Lab results:\n", lines(c["labs"]), F.size(c["labs"]) > 0),
     )
+
+
+def fast_sections(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """For each section of a document's mentions, the sentences that name one of them: ``doc_id, section, text``.
+
+    ``rows`` has ``doc_id, ord, disease, section`` (null: unknown), ``docs`` has ``doc_id`` and ``sents``. Sentences
+    follow the order of mentions, so one that names two stands twice; each is led by a blank.
+    Mentions come to their document's sentences as one array; sections without a sentence are empty.
+    """
+    own = F.struct("ord", F.coalesce("section", F.lit("unknown")).alias("section"), F.lower("disease").alias("disease"))
+    per = rows.where("disease is not null").groupBy("doc_id").agg(F.array_sort(F.collect_list(own)).alias("_m"))
+    joined = per.join(docs.select("doc_id", "sents"), "doc_id", "left")
+
+    def gather(d: Column) -> Column:
+        naming = lambda m: F.transform(F.filter(d["s"], lambda s: F.contains(s["low"], m["disease"])), lambda s: F.concat(F.lit(" "), s["text"]))
+        body = lambda name: F.array_join(F.flatten(F.transform(F.filter(d["m"], lambda m: m["section"] == name), naming)), "")
+        return F.transform(F.array_distinct(F.transform(d["m"], lambda m: m["section"])), lambda n: F.struct(n.alias("section"), body(n).alias("text")))
+
+    lowered = F.transform(F.coalesce("sents", F.array().cast("array<string>")), lambda s: F.struct(s.alias("text"), F.lower(s).alias("low")))
+    return explode_rows(joined, let(F.struct(F.col("_m").alias("m"), lowered.alias("s")), gather), "doc_id")

@@ -93,3 +93,13 @@ def test_ways_in_which_a_disease_is_found(spark):
     want = {x: (w, None if w else "HALLUCINATED") for x, (_, _, w) in enumerate(cases)}
     assert got == {**want, 50: (None, "HALLUCINATED"), 51: (None, "HALLUCINATED")}
     assert cv.mention_verify(df.where("false"), docs).count() == 0
+
+
+def test_fast_sections(spark):
+    from notecoder.operators import context as cx
+
+    docs = spark.createDataFrame([(1, ["Asthma is mild.", "Gout and ASTHMA flare.", "Seen."]), (2, None)], "doc_id int, sents array<string>")
+    rows = [(1, 2, "asthma", "plan"), (1, 1, "gout", "plan"), (1, 3, "Asthma", None), (1, 4, "measles", "hpi"), (1, 5, None, "hpi"), (2, 1, "gout", "plan"), (3, 1, "gout", "plan")]
+    out = cx.fast_sections(spark.createDataFrame(rows, "doc_id int, ord int, disease string, section string"), docs)
+    assert sorted(map(tuple, out.collect())) == [
+        (1, "hpi", ""), (1, "plan", " Gout and ASTHMA flare. Asthma is mild. Gout and ASTHMA flare."), (1, "unknown", " Asthma is mild. Gout and ASTHMA flare."), (2, "plan", ""), (3, "plan", "")]
