@@ -40,7 +40,7 @@ def test_stages(spark, tmp_path):
     assert ids[2] == sorted(clean + [32]) and ids[3] == clean == ids[4]
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(r.doc_id for r in out.select("doc_id").collect()) == clean
-    assert corpus_pipeline.ORACLE_SQL is None and len(QUERIES) == 10
+    assert corpus_pipeline.ORACLE_SQL is None and len(QUERIES) == 13
 
 
 def line_stage(spark, *lines):
