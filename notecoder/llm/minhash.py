@@ -157,27 +157,33 @@ def _values():
 def _open_pairs(open_: DataFrame, sides: DataFrame, percent: int) -> DataFrame:
     """Pairs of an open class and another class of ``open_`` that may be alike, by an exact prefix join.
 
-    ``open_`` has ``class`` and ``asks``, true for classes whose links are sought. Of the
-    shingles of such a class, rarest first, the one at place j is only looked up among sets so
-    small that the n - j shingles from there on could be enough; a pair that no such shingle
-    finds has too few in common. Copies with many edits of their own so find no partners, while
+    ``open_`` has ``class``, its component ``comp`` and ``asks``, true for classes whose links
+    are sought; pairs of one component are none. All sets are in one order, rarest shingle
+    first. The first shingle that two sets have in common has all their common ones behind it
+    in both, so it is only looked up where what is left of either set can be enough for their
+    two sizes: each side says for which size classes of itself and of the partner that is so,
+    and both are part of the key. Copies with many edits of their own so find no partners, while
     comparing them with their whole group would take the square of its size.
     """
     total = 100 + percent
-    sets = open_.join(sides.select("class", "n", "set"), "class").select("class", "asks", "n", F.explode(_values()("set")).alias("x"))
+    sets = open_.join(sides.select("class", "n", "set"), "class").select("class", "asks", "comp", "n", F.explode(_values()("set")).alias("x"))
     sets = written(sets, "shingles")
     step = float(np.log(1.03))
     kind = lambda n: F.floor(F.log(n.cast("double")) / step).cast("int")
     common = sets.groupBy("x").agg(F.count("*").alias("c")).where("c > 1")
     # a shingle that only one class has leads to no other, but takes a place of the prefix
-    seen = sets.where("asks").join(common, "x", "left").select("class", "n", "x", F.coalesce("c", F.lit(1)).alias("c"))
-    place = F.row_number().over(Window.partitionBy("class").orderBy("c", "x")) - 1
+    seen = sets.join(common, "x", "left").withColumn("c", F.coalesce("c", F.lit(1)))
+    seen = seen.withColumn("j", F.row_number().over(Window.partitionBy("class").orderBy("c", "x")) - 1)
+    # sizes of a partner: at least the share of its own, at most what the rest of this set is enough for
     most = F.floor((F.lit(total) * (F.col("n") - F.col("j")) - F.lit(percent) * F.col("n")) / F.lit(percent))
-    least = F.ceil(F.lit(percent) * F.col("n") / 100)
-    asked = seen.withColumn("j", place).withColumns({"most": most, "least": least}).where("c > 1 and most >= least")
-    asked = asked.select("class", "x", "least", "most", F.explode(F.sequence(kind(F.col("least")), kind(F.col("most")))).alias("kind"))
-    other = sets.select("x", kind(F.col("n")).alias("kind"), F.col("class").alias("class2"), F.col("n").alias("n2"))
-    met = asked.join(other, ["x", "kind"]).where("class <> class2 and n2 between least and most")
+    seen = seen.withColumns({"least": F.ceil(F.lit(percent) * F.col("n") / 100), "most": most}).where("c > 1 and most >= least")
+    seen = seen.select("class", "asks", "comp", "n", "x", "least", "most", kind(F.col("n")).alias("own"),
+                       F.explode(F.sequence(kind(F.col("least")), kind(F.col("most")))).alias("partner"))
+    seen = written(seen, "prefixes")
+    asked = seen.where("asks").select("class", "comp", "n", "x", "least", "most", F.col("own").alias("k1"), F.col("partner").alias("k2"))
+    other = seen.select("x", F.col("partner").alias("k1"), F.col("own").alias("k2"), F.col("class").alias("class2"), F.col("comp").alias("comp2"),
+                        F.col("n").alias("n2"), F.col("least").alias("least2"), F.col("most").alias("most2"))
+    met = asked.join(other, ["x", "k1", "k2"]).where("comp <> comp2 and n2 between least and most and n between least2 and most2")
     return met.select(F.greatest("class", "class2").alias("u"), F.least("class", "class2").alias("v")).distinct()
 
 
@@ -212,12 +218,9 @@ def _links(buckets: DataFrame, sides: DataFrame, percent: int, hashes: int) -> D
         drawn = asking.where("comp <> main").select(*pair("class", "other")).distinct().join(tested, ["u", "v"], "left_anti")
         drawn = written(drawn, "pairs")
         tested, edges = tested.unionByName(drawn), edges.unionByName(written(_verified(drawn, sides, percent, hashes), "links"))
-    open_ = asking.groupBy("class").agg(F.max(F.col("comp") != F.col("main")).alias("asks"))
+    open_ = asking.groupBy("class").agg(F.max(F.col("comp") != F.col("main")).alias("asks"), F.max("comp").alias("comp"))
     pairs = _open_pairs(written(open_, "asking"), sides, percent)
-    # what one component holds already, or was compared, is no question any more
-    comp = lambda end: named.select(F.col("node").alias(end), F.col("component").alias(f"c_{end}"))
-    pairs = pairs.join(tested, ["u", "v"], "left_anti").join(comp("u"), "u", "left").join(comp("v"), "v", "left")
-    pairs = written(pairs.where(F.coalesce("c_u", "u") != F.coalesce("c_v", "v")).select("u", "v"), "pairs")
+    pairs = written(pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
     more = written(_verified(pairs, sides, percent, hashes), "links")
     return components(edges.unionByName(more))
 
