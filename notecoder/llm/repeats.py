@@ -8,8 +8,11 @@ Both substring operators rest on these steps; tokens are bytes for one and words
    form a segment.
 2. Anchors that occur once are dropped by a count and a semi join. Equal segments of a group are
    told apart by a hash; only where a group has different segments are their tokens fetched.
-3. Those are compared exactly in bundles of whole groups, by the method of the operator. Groups
-   beyond ``GROUP`` segments are split by the full text of each window instead, in Spark.
+3. Those are compared exactly in bundles of whole groups, by the method of the operator. A group
+   of more than ``GROUP`` tokens is first cut: its segments are parted into windows with more room
+   before and behind the anchor, which have more tokens in common with their equals than the
+   anchor, ``CUTS`` times over; what they have in common names the new groups, and step 2
+   is taken again. Groups still too large are split by the full text of each window, in Spark.
 4. Spans come back per document, a list no longer than the document.
 
 A document is known by its id and the hash of its text (``_rk``); rows that share both are one.
@@ -29,8 +32,10 @@ from pyspark.sql import functions as F
 from ..session import ship_package
 from .shared import written
 
-#: Tokens compared in one bundle, tokens hashed in one block, segments of a group that are compared in one task.
-BUNDLE, BLOCK, GROUP = 400_000, 250_000, 20_000
+#: Tokens compared in one bundle, tokens hashed in one block, tokens of a group that are compared in one task.
+BUNDLE, BLOCK, GROUP = 400_000, 250_000, 500_000
+#: Times that the segments of a larger group are parted in two.
+CUTS = 3
 PLACE_BITS = np.uint64(28)
 PLACE = np.uint64((1 << 28) - 1)
 
@@ -249,19 +254,60 @@ def _compare(search: Search):
         yield pd.DataFrame(out, columns=["_rk", "a", "b"]).astype("int64")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept, size = [], 0
+        rest = None
         for batch in batches:
-            kept.append(batch)
-            size += int(batch["body"].map(len).sum()) // np.dtype(search.unit.dtype).itemsize
-            if size >= BUNDLE:
-                rows = pd.concat(kept, ignore_index=True)
-                whole = (rows["g"] != rows["g"].iat[-1]).to_numpy()  # rows come sorted by group; the last may go on
-                if whole.any():
-                    done, rest = rows[whole].reset_index(drop=True), rows[~whole]
-                    yield from bundle(done)
-                    kept, size = [rest], int(rest["body"].map(len).sum()) // np.dtype(search.unit.dtype).itemsize
-        if kept and sum(map(len, kept)):
-            yield from bundle(pd.concat(kept, ignore_index=True))
+            rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            g = rows["g"].to_numpy()
+            edges = np.flatnonzero(g[1:] != g[:-1]) + 1  # rows come sorted by group; the last may go on
+            total = np.cumsum(rows["body"].map(len).to_numpy(np.int64)) // np.dtype(search.unit.dtype).itemsize
+            filled, a, base = total[edges - 1], 0, 0
+            while (i := np.searchsorted(filled, base + BUNDLE)) < len(edges):
+                yield from bundle(rows.iloc[a:edges[i]])
+                a, base = edges[i], filled[i]
+            rest = rows.iloc[a:]
+        if rest is not None and len(rest):
+            yield from bundle(rest)
+
+    return run
+
+
+def parted(first: int, last: int, lo: int, hi: int, length: int, times: int) -> list[tuple[int, int, int, int]]:
+    """Windows ``first`` to ``last``, all around [lo, hi), in parts that have more than that in common.
+
+    A part is its first and last window and a longer stretch that lies in all its windows. The
+    stretch depends on a window's place around [lo, hi) only, so equal windows have equal ones.
+    """
+    room = length - (hi - lo)
+    if times == 0 or room == 0 or first > last:
+        return [(first, last, lo, hi)] if first <= last else []
+    half = (room + 1) // 2
+    turn = hi + half - length  # from here on half of the room is behind the stretch
+    return (parted(first, min(last, turn - 1), lo - (room - half + 1), hi, length, times - 1)
+            + parted(max(first, turn), last, lo, hi + half, length, times - 1))
+
+
+def _cut(search: Search):
+    """Segments of large groups in parts, in groups named by what all windows of a part contain."""
+    length = search.length
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for doc, rk, g, p, n, body in zip(batch["_doc"], batch["_rk"], batch["g"], batch["p"], batch["n"], batch["body"]):
+                tokens = np.frombuffer(body, search.unit.dtype)
+                values = search.unit.values(tokens)
+                one, two = (_Hashes(values, b) for b in BASES)
+                at = np.arange(length - search.gram + 1)
+                # the anchor is the leftmost gram of its hash
+                anchor = int(np.argmax(one.of(at, at + search.gram).view(np.int64) == g))
+                parts = np.array(parted(0, n - 1, anchor, anchor + search.gram, length, CUTS))
+                a, b, lo, hi = parts.T
+                size = (b - a + 1).astype(np.uint64)
+                names = (one.of(lo, hi) ^ (lo - hi).view(np.uint64)).view(np.int64)
+                bodies = (two.of(a, b + length) ^ size).view(np.int64)
+                for g2, s2, i, j in zip(names.tolist(), bodies.tolist(), a.tolist(), b.tolist()):
+                    rows.append((doc, rk, g2, s2, p + i, j - i + 1, tokens[i:j + length].tobytes()))
+            yield pd.DataFrame(rows, columns=["_doc", "_rk", "g", "s", "p", "n", "body"])
 
     return run
 
@@ -279,39 +325,54 @@ def _windows(search: Search):
     return run
 
 
-def spans(docs: DataFrame, search: Search, group: int = GROUP) -> DataFrame:
-    """``_rk`` and ``spans``, an array of (a, b) token ranges to remove; documents without any are absent.
+def _told_apart(found: DataFrame, search: Search) -> tuple[DataFrame, DataFrame]:
+    """Spans of segments of equal content, and one segment of each content where a group has several.
 
-    ``docs`` has ``_doc`` (64 bits, not null), ``_rk`` and ``text``.
+    Of the rows of one content the first one speaks for it, as ``loc``; ``m`` is the number of
+    tokens of its group.
     """
-    ship_package(docs.sparkSession)
-    found = docs.mapInPandas(_anchors(search), "_doc bigint, _rk bigint, g bigint, s bigint, p bigint, n int")
-    found = written(found, "segments")
     often = found.groupBy("g").agg(F.count("*").alias("c")).where("c > 1").select("g")
     some = written(found.join(often, "g", "left_semi"), "repeated")
-    kinds = some.groupBy("g", "s").agg(F.count("*").alias("c"), F.min(F.struct("_doc", "p", "_rk", "n")).alias("loc"))
+    body = [c for c in found.columns if c == "body"]
+    kinds = some.groupBy("g", "s").agg(F.count("*").alias("c"), F.min(F.struct("_doc", "p", "_rk", "n", *body)).alias("loc"))
     kinds = written(kinds, "kinds")
-    groups = kinds.groupBy("g").agg(F.count("*").alias("m")).where("m > 1")
-    asked = kinds.join(groups, "g").select(F.col("loc._rk").alias("_rk"), F.struct("g", "loc.p", "loc.n", "m").alias("x"))
+    groups = kinds.groupBy("g").agg(F.count("*").alias("k"), F.sum(F.col("loc.n") + (search.length - 1)).alias("m")).where("k > 1")
+    several = kinds.join(groups.select("g", "m"), "g")
     if not search.first_stays:
         copied = some.join(kinds.where("c > 1").select("g", "s"), ["g", "s"], "left_semi")
     else:
         first = kinds.where("c > 1").select("g", "s", F.col("loc._rk").alias("_rk0"), F.col("loc.p").alias("p0"))
         copied = some.join(first, ["g", "s"]).where((F.col("_rk") != F.col("_rk0")) | (F.col("p") != F.col("p0")))
-    copied = copied.select("_rk", F.col("p").alias("a"), (F.col("p") + F.col("n") - 1 + search.length).alias("b"))
+    return copied.select("_rk", F.col("p").alias("a"), (F.col("p") + F.col("n") - 1 + search.length).alias("b")), several
+
+
+def spans(docs: DataFrame, search: Search, group: int = GROUP) -> DataFrame:
+    """``_rk`` and ``spans``, an array of (a, b) token ranges to remove; documents without any are absent.
+
+    ``docs`` has ``_doc`` (64 bits, not null), ``_rk`` and ``text``.
+    """
+    ship_package(docs.sparkSession)
+    found = docs.mapInPandas(_anchors(search), "_doc bigint, _rk bigint, g bigint, s bigint, p bigint, n int")
+    copied, several = _told_apart(written(found, "segments"), search)
+    asked = several.select(F.col("loc._rk").alias("_rk"), F.struct("g", "loc.p", "loc.n", "m").alias("x"))
     # one document's requests are at most as many as its anchors
     lists = asked.groupBy("_rk").agg(F.collect_list("x").alias("asked"))
     schema = "_doc bigint, _rk bigint, g bigint, p bigint, n int, m bigint, body binary"
     bodies = written(docs.join(lists.hint("merge"), "_rk").select("_doc", "_rk", "text", "asked").mapInPandas(_cut_out(search), schema), "bodies")
-    small = bodies.where(F.col("m") <= group).repartition("g").sortWithinPartitions("g")
+    parts = bodies.where(F.col("m") > group).mapInPandas(_cut(search), "_doc bigint, _rk bigint, g bigint, s bigint, p bigint, n int, body binary")
+    # repeated rows are one document
+    parts = written(parts, "parts").dropDuplicates(["_rk", "g", "p"])
+    recut, still = _told_apart(parts, search)
+    still = written(still.select("loc._doc", "loc._rk", "g", "loc.p", "loc.n", "m", "loc.body"), "bodies")
+    small = bodies.where(F.col("m") <= group).unionByName(still.where(F.col("m") <= group)).repartition("g").sortWithinPartitions("g")
     compared = small.mapInPandas(_compare(search), "_rk bigint, a bigint, b bigint")
-    windows = bodies.where(F.col("m") > group).mapInPandas(_windows(search), "_doc bigint, _rk bigint, a bigint, w1 bigint, w2 bigint")
+    windows = still.where(F.col("m") > group).mapInPandas(_windows(search), "_doc bigint, _rk bigint, a bigint, w1 bigint, w2 bigint")
     same = windows.groupBy("w1", "w2").agg(F.count("*").alias("c"), F.min(F.struct("_doc", "a")).alias("first")).where("c > 1")
     split = windows.join(same, ["w1", "w2"])
     if search.first_stays:
         split = split.where(~F.struct("_doc", "a").eqNullSafe(F.col("first")))
     split = split.select("_rk", "a", (F.col("a") + search.length).alias("b"))
-    every = copied.unionByName(compared).unionByName(split)
+    every = copied.unionByName(recut).unionByName(compared).unionByName(split)
     return every.groupBy("_rk").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans"))
 
 

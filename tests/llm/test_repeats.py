@@ -89,3 +89,28 @@ def test_suffix_array_against_sorting():
         text = bytes(rng.randint(97, 97 + rng.choice([0, 1, 3, 20])) for _ in range(rng.randint(0, 60)))
         want = sorted(range(len(text)), key=lambda i: text[i:])
         assert suffix_array.suffix_array(np.frombuffer(text, np.uint8)).tolist() == want
+
+
+def test_parts_of_equal_windows_have_equal_stretches():
+    for lo in range(0, 15):
+        for length, width, times in [(20, 6, 3), (21, 6, 9), (9, 1, 2)]:
+            for first in range(max(0, lo + width - length), lo + 1):
+                parts = repeats.parted(first, lo, lo, lo + width, length, times)
+                assert [w for a, b, _, _ in parts for w in range(a, b + 1)] == list(range(first, lo + 1))
+                assert all(c <= lo < lo + width <= d and b <= c and d <= a + length for a, b, c, d in parts)
+                # the stretch follows from the window's place alone
+                alone = {w: repeats.parted(w, w, lo, lo + width, length, times)[0][2:] for w in range(first, lo + 1)}
+                assert all(alone[w] == (c, d) for a, b, c, d in parts for w in range(a, b + 1))
+
+
+def test_bundles_end_at_group_edges(monkeypatch):
+    import pandas as pd
+    rng = random.Random(2)
+    sizes = [rng.randint(1, 9) for _ in range(40)]
+    rows = [(k, 10 * g + k, g, 5 * i, 1, 0, bytes(rng.choice(b"ab") for _ in range(200))) for g, n in enumerate(sizes) for i, k in enumerate(range(n))]
+    frame = pd.DataFrame(rows, columns=["_doc", "_rk", "g", "p", "n", "m", "body"])
+    seen = []
+    kinds = lambda text, starts: (seen.append(len(text)), np.full(len(starts), -1))[1]
+    monkeypatch.setattr(repeats, "BUNDLE", 2000)
+    list(repeats._compare(repeats.Search(repeats.Bytes, 200, 32, kinds, False))(iter([frame[:70], frame[70:150], frame[150:]])))
+    assert sum(seen) == 200 * len(rows) and max(seen) < 2000 + 9 * 200
