@@ -232,6 +232,23 @@ def grace_fallback(spark, sf):
     return rs.grace_rows(with_status(graded(spark, sf))).select("doc_id", "ord", "disease")
 
 
+@query("strict_output_filter", f"""
+    with {G}, f as (select *, {STATUS} as st, treatment_evidence <> '' as t, {over(kc.VISIT_ASSESSMENT)} as vis, {over(kc.FOCUS_SECTIONS)} as foc, {over(kc.EVIDENCE_SECTIONS)} as act,
+        {over(kc.STRICT_ASSESSMENT)} as listed, bool_or({over(kc.STRICT_ASSESSMENT)}) over (partition by doc_id) as assessed, {display_sql('disease')} as shown from g),
+    p as (select *, not regexp_matches(disease, {q(kc.CANCER)}) or vis or starts_with(icd_code, 'Z85') as present,
+        st <> 'History Only' and len(list_filter(src, lambda s: not list_contains({lst(kc.RESTRICTED_SECTIONS)}, s))) > 0 and coded and icd_code <> '-'
+        and not regexp_matches(shown, '{FRAGMENT_RE}') and trim(ev) <> '' as ok from f),
+    m as (select *, 'single' as mode, ok and present and (not assessed or vis or foc or ((t or act) and {over(kc.STRICT_PRIMARY)})) as pass from p
+        union all select *, 'multi', ok and present and case when assessed then listed or t else {over(kc.STRICT_CLINICAL)} end from p),
+    a as (select *, bool_or(pass) over (partition by doc_id, mode) as found from m)
+    select doc_id, ord, mode, case when pass then shown else disease end as disease, icd_code, not pass as grace from a
+    where pass or (not found and {over(kc.GRACE_SECTIONS)} and st <> 'History Only')""")
+def strict_output_filter(spark, sf):
+    rows = with_status(graded(spark, sf))
+    of = lambda mode: rs.strict_output_filter(rows, mode == "single").select("doc_id", "ord", F.lit(mode).alias("mode"), "disease", "icd_code", "grace")
+    return of("single").unionByName(of("multi"))
+
+
 BANDS = values(kc.BMI_BANDS, "bands(lo, hi, code)")
 
 

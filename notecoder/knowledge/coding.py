@@ -125,6 +125,15 @@ past_medical_history, pmh, medical_history, medications, current_medications, hp
 """)
 FAMILY_SECTIONS = words("family_history, fh, screening")
 
+# Section sets, words for cancers and code prefix of their history for the strict filter.
+STRICT_ASSESSMENT = ASSESSMENT_SECTIONS + words("active_problem_list, problem_list")
+STRICT_PRIMARY = PRIMARY_SECTIONS + words("active_problem_list, problem_list")
+STRICT_CLINICAL = STRICT_PRIMARY + words("medications, current_medications, review_of_systems, ros")
+RESTRICTED_SECTIONS = words("family_history, fh, screening, social_history")
+CANCER = r"(?i)\b(?:neoplasm|malignant|cancer|carcinoma|melanoma|lymphoma|sarcoma|leukemia|myeloma|oncolog)\b"
+CANCER_HISTORY_CODE = "Z85"
+EXCLUDED_TIERS = words("history_only, invalid")
+
 # BMI bands; one below 20, one per whole unit from 20 to below 40, then five.
 BMI_BANDS = [(0, 20, "Z68.1")] + [(lo, lo + 1, f"Z68.{lo}") for lo in range(20, 40)] + [
     (40, 45, "Z68.41"), (45, 50, "Z68.42"), (50, 60, "Z68.43"), (60, 70, "Z68.44"), (70, 1000, "Z68.45")]

@@ -81,6 +81,36 @@ def grace_rows(rows: DataFrame) -> DataFrame:
     )
 
 
+def strict_output_filter(rows: DataFrame, single_pass: bool = False) -> DataFrame:
+    """Rows of active, coded diseases with evidence text from the right sections; ``grace`` marks those of the fallback.
+
+    Where a document has rows from an assessment or problem list, other rows need a treatment
+    or, in single pass, the visit's focus or active evidence beside a primary section. A
+    cancer outside the visit's assessment is history unless its code says so. A document
+    without a row that passes falls back on its active rows from clinical sections, whose
+    names stay as they are. A null name, tier, status, code or list of sources passes no rule about it.
+    """
+    hits = lambda names: F.coalesce(F.arrays_overlap(normal_sources(), tx.literal_array(names)), F.lit(False))
+    treated = F.coalesce("treatment", F.lit(False)) | (evidence("treatment") != "")
+    visit, focus, active = hits(kc.VISIT_ASSESSMENT), hits(kc.FOCUS_SECTIONS), hits(kc.EVIDENCE_SECTIONS)
+    g = with_group(rows, ["doc_id"], _assessed=F.max(hits(kc.STRICT_ASSESSMENT)))
+    if single_pass:
+        section = ~F.col("_assessed") | visit | focus | ((treated | active) & hits(kc.STRICT_PRIMARY))
+    else:
+        section = F.when(F.col("_assessed"), hits(kc.STRICT_ASSESSMENT) | treated).otherwise(hits(kc.STRICT_CLINICAL))
+    code, name = F.coalesce("icd_code", F.lit("")), tx.clean_display_name(F.col("disease"))
+    past_cancer = F.col("disease").rlike(kc.CANCER) & ~visit & ~code.startswith(kc.CANCER_HISTORY_CODE)
+    sole = (F.size("sources") > 0) & F.forall(normal_sources(), lambda s: s.isin(kc.RESTRICTED_SECTIONS))
+    current = ~F.col("meat_tier").isin(kc.EXCLUDED_TIERS) & (F.col("disease_status") != "History Only")
+    texts = F.trim(F.concat(*[evidence(e) for e in ELEMENTS])) != ""
+    passed = section & ~past_cancer & current & ~sole & ~code.isin("", "—", "-") & ~tx.is_fragment(name) & texts
+    g = g.withColumn("_ok", F.coalesce(passed, F.lit(False))).drop("_assessed")
+    g = with_group(g, ["doc_id"], _any=F.max("_ok"))
+    strict = g.where("_ok").withColumns({"disease": name, "grace": F.lit(False)})
+    fallback = grace_rows(g.where("not _any")).withColumn("grace", F.lit(True))
+    return strict.unionByName(fallback).drop("_ok", "_any")
+
+
 def bmi_band(value: Column) -> Column:
     """Z68 code of a body mass index; null outside the bands."""
     def band(v: Column) -> Column:
