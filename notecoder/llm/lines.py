@@ -1,11 +1,9 @@
 """Line dedup: a fixed-depth template tree generalises lines; recurring templates are dropped.
 
 DataFrame functions only. A line goes down the tree by its number of tokens and its first
-tokens to a leaf. Fields that vary are generalised in two ways: a token with a digit is a
-wildcard, and of the tokens behind the leaf's path one of ``BLOCKS`` equal stretches may
-vary, so lines that differ only there have a template in common. With ``learned``, wildcards
-are also learned in each leaf from how often its lines have a token at a place, with no limit
-on the number or place of varying fields.
+tokens to a leaf. A token with a digit is a wildcard from the start; the other wildcards are
+learned in each leaf from how often its lines have a token at a place, with no limit on the
+number or place of varying fields and for lines of any length.
 """
 from __future__ import annotations
 
@@ -15,10 +13,8 @@ from pyspark.sql import functions as F
 from ..functions.arrays import let
 from .shared import SEPARATOR_CHARS, words, written
 
-#: Tokens of a leaf's path, stretches of which one may vary, documents in which a template recurs.
-DEPTH, BLOCKS, MIN_DOCS = 2, 4, 10
-#: Tokens a line needs for templates with a varying stretch.
-MIN_TOKENS = 8
+#: Tokens of a leaf's path, documents in which a template recurs.
+DEPTH, MIN_DOCS = 2, 10
 WILD = "<*>"
 
 
@@ -30,48 +26,30 @@ def _tokens(line: Column) -> Column:
     return words(F.when(constant, masked).otherwise(line))
 
 
-def line_templates(line: Column, depth: int = DEPTH, blocks: int = BLOCKS, min_tokens: int = MIN_TOKENS) -> Column:
-    """Hashes of the templates a line has, its own first; none for a line without words."""
-    def of(w: Column) -> Column:
-        n = F.size(w)
-        rest = n - depth
-        edge = lambda b: F.floor(rest * b / F.lit(blocks)).cast("int")
-        part = [F.xxhash64(F.slice(w, depth + 1 + edge(b), edge(b + 1) - edge(b))) for b in range(blocks)]
-        path = F.xxhash64(F.slice(w, 1, depth))
-
-        def with_parts(p: Column) -> Column:
-            one = [F.xxhash64(F.lit(b), n, p["path"], *[p[f"b{i}"] for i in range(blocks) if i != b]) for b in range(blocks)]
-            return F.array(F.xxhash64(F.lit(-1), n, p["path"], *[p[f"b{i}"] for i in range(blocks)]), *one)
-
-        whole = F.array(F.xxhash64(F.lit(-2), n, w))
-        split = let(F.struct(path.alias("path"), *[x.alias(f"b{i}") for i, x in enumerate(part)]), with_parts)
-        return F.when(n == 0, F.array().cast("array<bigint>")).when(n < min_tokens, whole).otherwise(split)
-
-    return let(_tokens(line), of)
-
-
 def _placed(tokens: Column, depth: int = DEPTH) -> Column:
-    """Leaf and own hash of a line."""
+    """Leaf, own hash and number of tokens of a line."""
     n = F.size(tokens)
-    return F.struct(F.xxhash64(n, F.slice(tokens, 1, depth)).alias("leaf"), F.xxhash64(n, tokens).alias("variant"))
+    return F.struct(F.xxhash64(n, F.slice(tokens, 1, depth)).alias("leaf"), F.xxhash64(n, tokens).alias("variant"), n.alias("n"))
 
 
-def learned_templates(texts: DataFrame, leaves: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH) -> DataFrame:
-    """``variant, form``: templates learned from the lines of ``texts`` in ``leaves``.
+def learned_templates(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """``variant, form``: templates learned from ``lines`` (``leaf, variant, n, body``).
 
     A token's count is that of the leaf's lines with it at its place. A line has a template
-    for each count in it: tokens with that count or more are constant, all others wildcards,
-    however many and wherever. A field's values are each rarer than the words around it, so
-    lines that differ in fields only meet in one. At least half of a line's tokens must be
-    constant, and tokens with digits never are; that holds for short lines too.
+    for each count of at least ``min_docs`` in it: tokens with that count or more are
+    constant, all others wildcards, however many and wherever. A field's values are each
+    rarer than the words around it, so lines that differ in fields only meet in one. At
+    least half of a line's tokens must be constant, and tokens with digits never are; that
+    holds for short lines too. Tokens with equal counts are constant together, repeated
+    lines count as often as they occur, a null body has no tokens, and no lines give no
+    templates.
     """
-    split = texts.select(F.explode(F.split("text", "\n", -1)).alias("line"))
-    placed = split.select(F.get(F.transform(F.array(_tokens(F.col("line"))), lambda w: F.struct(_placed(w, depth).alias("at"), F.size(w).alias("n"))), F.lit(0)).alias("x"), "line")
-    placed = placed.where(F.col("x.n") > 0).select("x.at.leaf", "x.at.variant", "x.n", "line").join(leaves, "leaf", "left_semi")
+    # a leaf of fewer lines has no token that is frequent enough
+    leaves = written(lines.groupBy("leaf").agg(F.count("*").alias("c")).where(F.col("c") >= min_docs).select("leaf"), "leaves")
     # equal lines are counted once with their number; after this a leaf's common line is one row
-    variants = placed.groupBy("leaf", "variant", "n").agg(F.count("*").alias("c"), F.first("line").alias("line"))
+    variants = lines.join(leaves, "leaf", "left_semi").groupBy("leaf", "variant", "n").agg(F.count("*").alias("c"), F.first("body").alias("body"))
     fixed = lambda w: ~w.rlike("[0-9]") & (w != WILD)
-    places = F.posexplode(F.transform(_tokens(F.col("line")), lambda w: F.when(fixed(w), F.xxhash64(w))))
+    places = F.posexplode(F.transform(_tokens(F.col("body")), lambda w: F.when(fixed(w), F.xxhash64(w))))
     tokens = written(variants.select("leaf", "variant", "n", "c", places.alias("place", "h")).where("h is not null"), "tokens")
     counts = tokens.groupBy("leaf", "place", "h").agg(F.sum("c").alias("count")).where(F.col("count") >= min_docs)
     known = tokens.join(written(counts, "counts"), ["leaf", "place", "h"])
@@ -82,22 +60,21 @@ def learned_templates(texts: DataFrame, leaves: DataFrame, min_docs: int = MIN_D
     return lists.select("variant", F.explode(forms).alias("form"))
 
 
-def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, learned: bool = False, **tree) -> DataFrame:
+def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH) -> DataFrame:
     """``_rk`` and ``gone``, the ascending numbers (from 0) of lines to drop; other documents are absent.
 
-    ``docs`` has ``_doc, _rk, text``. A line goes if one of its templates is in ``min_docs``
-    documents or more and the line is not the first with it, by document id and line number.
+    ``docs`` has ``_doc, _rk, text``. A line's templates are its own tokens and those learned
+    in its leaf. It goes if one of them is in ``min_docs`` documents or more and the line is
+    not the first with it, by document id and line number.
     """
-    of = lambda s: F.struct(line_templates(s, **tree).alias("forms"), *([_placed(_tokens(s)).alias("at")] if learned else []))
+    of = lambda s: F.struct(let(_tokens(s), lambda w: _placed(w, depth)).alias("at"), s.alias("body"))
     numbered = F.posexplode(F.transform(F.split("text", "\n", -1), of))
-    lines = docs.select("_doc", "_rk", numbered.alias("line", "x")).select("_doc", "_rk", "line", "x.*").where(F.size("forms") > 0)
+    lines = docs.select("_doc", "_rk", numbered.alias("line", "x")).select("_doc", "_rk", "line", "x.at.*", "x.body").where("n > 0")
+    # texts of lines are written too, so that templates are learned without a second pass over the documents
     lines = written(lines, "lines")
-    forms = lines.select("_doc", "_rk", "line", F.explode("forms").alias("form"))
-    if learned:
-        leaves = written(lines.groupBy("at.leaf").agg(F.count("*").alias("c")).where(F.col("c") >= min_docs).select("leaf"), "leaves")
-        more = written(learned_templates(docs.select("text"), leaves, min_docs), "learned")
-        more = lines.select("_doc", "_rk", "line", F.col("at.variant").alias("variant")).join(more, "variant").drop("variant")
-        forms = forms.unionByName(written(more, "varied"))
+    learned = written(learned_templates(lines.select("leaf", "variant", "n", "body"), min_docs), "learned")
+    at = lines.select("_doc", "_rk", "line", "variant")
+    forms = at.withColumnRenamed("variant", "form").unionByName(written(at.join(learned, "variant").drop("variant"), "varied"))
     # templates on too few lines are on too few documents; only the others need be looked at by document
     many = written(forms.groupBy("form").agg(F.count("*").alias("c")).where(F.col("c") >= min_docs).select("form"), "frequent")
     some = written(forms.join(many, "form", "left_semi"), "recurring")
@@ -109,20 +86,20 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, learned: bool = F
     return gone.groupBy("_rk").agg(F.sort_array(F.collect_set("line")).alias("gone"))
 
 
-def without_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, learned: bool = False, **tree) -> DataFrame:
+def without_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH) -> DataFrame:
     """``docs`` with the lines dropped from ``text``, and with ``n_lines``, ``n_dropped``, ``emptied``.
 
     A null text has no lines and stays null. Lines without words are neither counted as
     recurring nor dropped. ``emptied`` is true where a text had words and has none left.
     Rows that share id and text are one document. The first holder of a template keeps it,
     so no content is lost altogether; a row without id comes before all others. Columns
-    named like the new ones are replaced. ``learned`` adds the templates learned in each leaf.
+    named like the new ones are replaced. An empty table gives an empty one.
     """
     new = ("n_lines", "n_dropped", "emptied")
     keep = [c for c in docs.columns if c.lower() not in new]
     rows = docs.select(F.struct(*keep).alias("_row"), F.col("text").alias("text"), F.xxhash64("doc_id", "text").alias("_rk"),
                        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_doc"))
-    found = recurring_lines(rows.select("_doc", "_rk", "text"), min_docs, learned, **tree)
+    found = recurring_lines(rows.select("_doc", "_rk", "text"), min_docs, depth)
     # the lists grow with the corpus, so they are never broadcast
     out = rows.select("_row", "_rk", "text").join(written(found, "gone").hint("merge"), "_rk", "left")
     # between two dropped lines lies a slice of kept ones

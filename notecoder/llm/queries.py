@@ -90,9 +90,14 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     m as (select *, case when regexp_matches(s, '[0-9]') and trim(translate(regexp_replace(regexp_replace(s, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '<\*>', '', 'g'), chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     ')) <> ''
         then regexp_replace(s, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g') else s end as t from l),
     w as (select doc_id, line, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from m),
-    f as (select doc_id, line, '-1 ' || array_to_string(w, ' ') as form from w where len(w) > 0
-        union all select doc_id, line, b || ' ' || len(w) || ' ' || array_to_string(list_filter(w, lambda x, i: i <= 2 + (len(w) - 2) * b // 4 or i > 2 + (len(w) - 2) * (b + 1) // 4), ' ')
-        from w, range(4) r(b) where len(w) >= 8),
+    t as (select doc_id, line, len(w) as n, w[1:2] as path, unnest(range(len(w))) as place, unnest(w) as tok from w where len(w) > 0),
+    c as (select n, path, place, tok, count(*) as c from t where not regexp_matches(tok, '[0-9]') and tok <> '<*>' group by all having count(*) >= 10),
+    x as (select doc_id, line, n, path, place, tok, c from t join c using (n, path, place, tok)),
+    v as (select v.doc_id, v.line, n, path, list({'p': place, 't': tok} order by place) as fixed
+        from (select distinct doc_id, line, c as least from x) v join x on x.doc_id = v.doc_id and x.line = v.line and x.c >= least
+        group by v.doc_id, v.line, n, path, least having 2 * count(*) >= n),
+    f as (select doc_id, line, 'own ' || array_to_string(w, ' ') as form from w where len(w) > 0
+        union all select doc_id, line, n || ' ' || array_to_string(path, ' ') || ' ' || cast(fixed as varchar) from v),
     o as (select form, min(struct_pack(d := doc_id, l := line)) as first from f group by form having count(distinct doc_id) >= 10),
     g as (select distinct f.doc_id, line from f join o using (form) where struct_pack(d := doc_id, l := line) <> first),
     k as (select l.doc_id, count(*) as n_lines, count(g.line) as n_dropped, coalesce(string_agg(l.s, chr(10) order by l.line) filter (g.line is null), '') as kept
