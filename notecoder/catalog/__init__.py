@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["texts", "sections", "lines", "coding", "mentions", "evidence", "mapping", "replies", "status", "coverage", "strict", "plans"]
+MODULES = ["texts", "sections", "lines", "coding", "mentions", "evidence", "mapping", "replies", "status", "coverage", "strict", "terms", "plans"]
 
 
 def load():
