@@ -119,8 +119,8 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     h as (select doc_id, item_id, n, g, c, i from dg join bc using (g)),
     s as (select doc_id, item_id, n, g, c, unnest(range(greatest(1, i - n + 1), i + 1)) as start from h),
     a as (select doc_id, item_id, n, start, g, least(count(*), any_value(c)) as k from s group by doc_id, item_id, n, start, g),
-    m as (select doc_id, item_id from a join w using (doc_id) where start + n - 1 <= len(w) - 4
-        group by doc_id, item_id, n, start having 5 * sum(k) >= 4 * (2 * n - sum(k))),
+    m as (select doc_id, item_id from a join w using (doc_id) where start + n - 1 <= len(w) - 4 or (start = 1 and len(w) - 4 < n)
+        group by doc_id, item_id, n, start having 5 * sum(k) >= 4 * (least(n, any_value(len(w)) - 4) + n - sum(k))),
     r as (select doc_id, count(distinct item_id) as n_items, min(item_id) as first_item from m group by 1)
     select d.doc_id, coalesce(n_items, 0) as n_items, first_item, n_items is not null as contaminated from documents d left join r using (doc_id)""")
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -145,6 +145,8 @@ def test_leaked_items_are_found(spark):
             at = rng.randint(0, len(w))
             w[at:at] = [x.upper() + "," for x in passage] if kind == 2 else passage
         docs.append((i, " ".join(w), 1))
+    longest = max((t for _, t in items if t), key=len).split()
+    docs += [(100 + k, " ".join(longest[k:]), 1) for k in range(1, 14)] + [(120, " ".join(["q"] * 3 + longest + ["z"] * 50_000), 1)]
     grams = lambda t: [tuple(x[i:i + 5]) for x in [re.findall(r"[^\W_]+", (t or "").lower())] for i in range(len(x) - 4)]
     for d, t, _ in docs:
         g = grams(t)
@@ -152,9 +154,11 @@ def test_leaked_items_are_found(spark):
             b = grams(body)
             if item is None or not b:
                 continue
-            for s in range(len(g) - len(b) + 1):
-                inter = sum((Counter(g[s:s + len(b)]) & Counter(b)).values())
-                if 5 * inter >= 4 * (2 * len(b) - inter):
+            # a shorter document is one window
+            size = min(len(g), len(b))
+            for s in range(len(g) - size + 1):
+                inter = sum((Counter(g[s:s + size]) & Counter(b)).values())
+                if 5 * inter >= 4 * (size + len(b) - inter):
                     want.setdefault(d, set()).add(item)
     frame = spark.createDataFrame(docs + docs[:1], "doc_id int, text string, n_items int")
     bench = spark.createDataFrame(items, "item_id int, text string")
