@@ -6,8 +6,13 @@ note's row, so no text is shuffled; every step is linear in the number of lines.
 """
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from ..functions.arrays import explode_rows, let, runs
 from ..knowledge.lines import LEAST_SECTION, LINE_PATTERNS, OTHER
@@ -16,23 +21,37 @@ from . import sections as se
 CLUSTERS = "array<struct<section string, start_line int, end_line int, confidence double, lines array<string>>>"
 
 
-def classify(line: Column) -> Column:
-    """A stripped line's struct(section, confidence): the heaviest pattern that fits, the first of equal ones."""
-    order = sorted(range(len(LINE_PATTERNS)), key=lambda x: (-LINE_PATTERNS[x][1], x))
-    best = F.struct(F.lit(OTHER).alias("section"), F.lit(0.0).alias("confidence"))
-    for x in reversed(order):
-        section, weight, pattern = LINE_PATTERNS[x]
-        best = F.when(line.rlike(pattern), F.struct(F.lit(section).alias("section"), F.lit(weight).alias("confidence"))).otherwise(best)
-    return best
+#: Heaviest first, of equal weights the first; \b, \s and letters without case are those of ASCII.
+_ORDER = sorted(range(len(LINE_PATTERNS)), key=lambda x: (-LINE_PATTERNS[x][1], x))
+_SEARCHES = [(x, re.compile(LINE_PATTERNS[x][2], re.ASCII).search) for x in _ORDER]
+SPACE = " \t\n\v\f\r"
 
 
-def line_classes(lines: Column) -> Column:
-    """``line, section, confidence`` of every line that isn't blank, in order."""
-    def judge(line: Column, i: Column) -> Column:
-        body = se.strip(line)
-        return F.when(body != "", let(classify(body), lambda c: F.struct(i.alias("line"), c["section"].alias("section"), c["confidence"].alias("confidence"))))
+def pattern_of(line: str) -> int | None:
+    """The number of the heaviest pattern that fits a line, one behind the last for none; None for a blank line."""
+    body = line.strip(SPACE)
+    return next((x for x, search in _SEARCHES if search(body)), len(LINE_PATTERNS)) if body else None
+
+
+@lru_cache(maxsize=100_000)
+def repeated_pattern_of(line: str) -> int | None:
+    return pattern_of(line)
 
-    return F.filter(F.transform(lines, judge), lambda c: c.isNotNull())
+
+@F.arrow_udf(ArrayType(IntegerType()))
+def patterns_of(lines: pa.Array) -> pa.Array:
+    """``pattern_of`` every line; lines that repeat in a batch, or short ones of earlier batches, are judged once."""
+    found = lines.values.dictionary_encode()
+    numbers = pa.array([repeated_pattern_of(v) if len(v) <= 200 else pattern_of(v) for v in found.dictionary.to_pylist()], pa.int32())
+    return pa.ListArray.from_arrays(lines.offsets, numbers.take(found.indices))
+
+
+def line_classes(numbers: Column) -> Column:
+    """``line, section, confidence`` of every line that isn't blank, in order."""
+    sections = F.array(*[F.lit(section) for section, _, _ in LINE_PATTERNS], F.lit(OTHER))
+    weights = F.array(*[F.lit(weight) for _, weight, _ in LINE_PATTERNS], F.lit(0.0))
+    return F.filter(F.transform(numbers, lambda n, i: F.when(n.isNotNull(), F.struct(
+        i.alias("line"), F.get(sections, n).alias("section"), F.get(weights, n).alias("confidence")))), lambda c: c.isNotNull())
 
 
 def clusters(lines: Column, marks: Column) -> Column:
@@ -111,7 +130,8 @@ def overall(marks: Column) -> Column:
 def with_marks(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add ``lines`` and ``marks``, the classes of the lines that aren't blank; a null text has none."""
     docs = docs.withColumn("lines", F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1))
-    return docs.withColumn("marks", line_classes(F.col("lines")))
+    docs = docs.withColumn("_n", patterns_of("lines"))
+    return docs.withColumn("marks", line_classes(F.col("_n"))).drop("_n")
 
 
 def with_inferred(docs: DataFrame, text: str = "text") -> DataFrame:

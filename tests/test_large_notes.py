@@ -1,7 +1,10 @@
 """Steps that must stay cheap where notes are many: what the plans hold, and shared work done once."""
 import re
 
+import pyarrow as pa
+
 from notecoder import catalog
+from notecoder.operators import lines as ln
 
 SF = "/root/testdata/sf0.001"
 
@@ -11,3 +14,14 @@ def test_texts_meet_rows_without_broadcast(spark):
     for name in ("drop_unsupported", "evidence_in_document", "evidence_verify"):
         plan = queries[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert not re.search(r"BroadcastHashJoin \[doc_id#\d+L\], ", plan), name
+
+
+def test_equal_lines_are_judged_once(spark):
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id as doc_id", "concat('Metformin 500 mg daily\n \nBP 120/80\nBP 120/80\n', repeat('x', 300)) as text")
+    rows = ln.line_classifier(docs).groupBy("line", "section").count().collect()
+    assert {(r.line, r.section): r["count"] for r in rows} == {(0, "medications"): 3000, (2, "vitals"): 3000, (3, "vitals"): 3000, (4, "other"): 3000}
+    batch = pa.array([["BP 120/80", " ", "é BP 120/80"], ["BP 120/80"], []])
+    ln.repeated_pattern_of.cache_clear()
+    assert ln.patterns_of.func(batch.slice(1)).to_pylist() == ln.patterns_of.func(batch).to_pylist()[1:]
+    info = ln.repeated_pattern_of.cache_info()
+    assert info.misses == 3
