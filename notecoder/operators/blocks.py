@@ -1,8 +1,13 @@
 """Blocks of lines of one family, and given headers found again in a text; both inside the note's row."""
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from ..functions import similarity as sim
 from ..functions import text as tx
@@ -13,14 +18,36 @@ from .sections import strip
 BLOCK = "struct<position int, section string, confidence double, line_count int, start_line int, end_line int>"
 
 
-def strongest_block(lines: Column, family: tuple[str, int, int, str]) -> Column:
+#: \b, \s and letters without case are those of ASCII.
+_SEARCHES = [re.compile(pattern, re.ASCII).search for _, _, _, pattern in BLOCK_FAMILIES]
+
+
+def families_of(line: str) -> int:
+    """The families a line fits, one bit each."""
+    return sum(1 << x for x, search in enumerate(_SEARCHES) if search(line))
+
+
+@lru_cache(maxsize=100_000)
+def repeated_families_of(line: str) -> int:
+    return families_of(line)
+
+
+@F.arrow_udf(ArrayType(IntegerType()))
+def line_families(lines: pa.Array) -> pa.Array:
+    """``families_of`` every line; lines that repeat in a batch, or short ones of earlier batches, are judged once."""
+    found = lines.values.dictionary_encode()
+    bits = pa.array([repeated_families_of(v) if len(v) <= 200 else families_of(v) for v in found.dictionary.to_pylist()], pa.int32())
+    return pa.ListArray.from_arrays(lines.offsets, bits.take(found.indices))
+
+
+def strongest_block(lines: Column, fits: Column, number: int) -> Column:
     """The block of a family with most hits, the first of equal ones; null without one.
 
     Hits belong together if no more than the family's lines lie between them, and a block needs
-    the family's least number of hits. Dense and long blocks are surer.
+    the family's least number of hits. Dense and long blocks are surer. ``fits`` has the families of every line.
     """
-    name, gap, least, pattern = family
-    every = F.transform(lines, lambda line, i: F.when(line.rlike(pattern), i))
+    name, gap, least, _ = BLOCK_FAMILIES[number]
+    every = F.transform(fits, lambda bits, i: F.when(bits.bitwiseAND(F.lit(1 << number)) != 0, i))
     hits = F.filter(every, lambda i: i.isNotNull())
 
     def of(h: Column) -> Column:
@@ -44,8 +71,8 @@ def content_blocks(docs: DataFrame, text: str = "text") -> DataFrame:
 
     A null or empty text has no blocks.
     """
-    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
-    found = let(lines, lambda v: F.array(*[strongest_block(v, f) for f in BLOCK_FAMILIES]))
+    docs = docs.withColumn("_l", F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).withColumn("_f", line_families("_l"))
+    found = let(F.struct("_l", "_f"), lambda v: F.array(*[strongest_block(v["_l"], v["_f"], x) for x in range(len(BLOCK_FAMILIES))]))
     return explode_rows(docs, F.array_sort(F.filter(found, lambda b: b.isNotNull())), "doc_id")
 
 
