@@ -2,9 +2,13 @@
 import re
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from notecoder import catalog
+from notecoder.functions.arrays import matches
+from notecoder.operators import blocks as bk
 from notecoder.operators import lines as ln
+from notecoder.operators import sections as se
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,3 +29,30 @@ def test_equal_lines_are_judged_once(spark):
     assert ln.patterns_of.func(batch.slice(1)).to_pylist() == ln.patterns_of.func(batch).to_pylist()[1:]
     info = ln.repeated_pattern_of.cache_info()
     assert info.misses == 3
+
+
+def test_matches_search_a_text_once(spark):
+    texts = ["a1b22", "x1\ue0002y34\ue0015", "", "no digits", None, "é1\n2", "1x2", "1", "  12 3"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(1)
+    for group, needs in ((0, None), (1, None), (1, "2")):
+        got = {r.t: r.m for r in df.select("t", matches(F.col("t"), "([0-9])[0-9]?", group, needs).alias("m")).collect()}
+        for t in texts:
+            want = [(m.start(), m.end(), m[group], m[0]) for m in re.finditer("([0-9])[0-9]?", t)] if t is not None and (needs or "") in t else []
+            assert (t is None and got[t] is None) or [tuple(x) for x in got[t]] == want, (t, group, needs)
+    plan = df.select(matches(F.col("t"), "([0-9])[0-9]?").alias("m"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" in plan
+
+
+def test_headers_without_anything_to_clean(spark):
+    raw = [" Plan ", "HPI ; 05/22/2024 10:30 AM)", "Labs as of 5/5", "Meds (2)", "Notes 1/2/2024", "Summary - Page 3", "Plan:;", "Was As ", "pages", "", "Basic"]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in raw], "x string").repartition(1).select(se.clean_header(F.col("x")).alias("y"), "x").collect()]
+    assert sorted(got) == sorted(["Plan", "HPI", "Labs", "Meds", "Notes", "Summary", "Plan", "Was As", "pages", "", "Basic"])
+
+
+def test_equal_lines_are_held_against_families_once():
+    batch = pa.array([["BP 120/80", "Metformin 500 mg", "é"], ["BP 120/80"], []])
+    bk.repeated_families_of.cache_clear()
+    assert bk.line_families.func(batch.slice(1)).to_pylist() == bk.line_families.func(batch).to_pylist()[1:]
+    assert bk.repeated_families_of.cache_info().misses == 3
+    names = [f[0] for f in bk.BLOCK_FAMILIES]
+    assert bk.line_families.func(batch).to_pylist() == [[1 << names.index("vitals"), 1 << names.index("medications"), 0], [1 << names.index("vitals")], []]
