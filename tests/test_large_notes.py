@@ -1,11 +1,14 @@
 """Steps that must stay cheap where notes are many: what the plans hold, and shared work done once."""
+import random
 import re
 
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from notecoder import catalog
+from notecoder.functions import text as tx
 from notecoder.functions.arrays import matches
+from notecoder.knowledge import sections as ks
 from notecoder.operators import blocks as bk
 from notecoder.operators import lines as ln
 from notecoder.operators import sections as se
@@ -56,3 +59,20 @@ def test_equal_lines_are_held_against_families_once():
     assert bk.repeated_families_of.cache_info().misses == 3
     names = [f[0] for f in bk.BLOCK_FAMILIES]
     assert bk.line_families.func(batch).to_pylist() == [[1 << names.index("vitals"), 1 << names.index("medications"), 0], [1 << names.index("vitals")], []]
+
+
+def test_variants_out_of_reach_are_passed_over(spark):
+    rng = random.Random(3)
+    variants = [v for _, v, _ in ks.VARIANT_ROWS]
+    headers = {"", "x", "zzz plan", *variants}
+    for v in variants * 4:  # misspelled, longer and shorter ones
+        x = rng.randrange(len(v))
+        headers |= {v[:x] + rng.choice("abc e") + v[x + 1:], v[:x] + v[x + 1:], v + " " + rng.choice(variants), v[: x + 1]}
+    df = spark.createDataFrame([(h,) for h in sorted(headers)], "h string").repartition(4)
+    for least in (0.62, 0.78, 0.88):
+        norm = tx.normalize_header(F.col("h"))
+        full, quick = se.match_canonical(norm, F.lit(least)), se.match_canonical(norm, F.lit(least), low_scores=False)
+        rows = df.select("h", full.alias("a"), quick.alias("b")).collect()
+        assert len(rows) == len(headers) and not [r for r in rows if r.a.section != r.b.section]
+        assert not [r for r in rows if r.a.score >= least and r.a.score != r.b.score]
+    assert "arrays_overlap" in df.select(se.validate_header(F.col("h")))._jdf.queryExecution().optimizedPlan().toString()
