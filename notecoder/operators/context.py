@@ -10,11 +10,17 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.arrays import constant_rows, explode_rows, let
+from ..functions.keywords import has, word_groups
 from ..knowledge import clinical as kn
 
+#: What ``(?U)\s`` stands for.
+WHITE = [chr(c) for c in (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
+    """The text without white space at its ends; only one that has some is searched."""
+    edged = F.substring(c, 1, 1).isin(WHITE) | F.substring(c, -1, 1).isin(WHITE)
+    return F.when(edged, F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")).otherwise(c)
 
 
 def sentence_array(text: Column) -> Column:
@@ -49,8 +55,8 @@ def section_lines(text: Column, name: Column) -> Column:
 
     def pick(c: Column) -> Column:
         def hit(line: Column) -> Column:
-            found = F.size(F.filter(c["keys"], lambda w: F.contains(F.lower(line), w)))
-            return F.contains(F.lower(line), c["name"]) | ((F.size(c["keys"]) > 0) & (found >= c["need"]))
+            found = lambda s: F.size(F.filter(c["keys"], lambda w: F.contains(s, w)))
+            return let(F.lower(line), lambda s: F.contains(s, c["name"]) | ((F.size(c["keys"]) > 0) & (found(s) >= c["need"])))
 
         return let(F.struct(c["lines"].alias("lines"), F.transform(c["lines"], hit).alias("hits")), lambda x: F.when(
             ~F.array_contains(x["hits"], True), F.slice(x["lines"], 1, 8)
@@ -61,10 +67,6 @@ def section_lines(text: Column, name: Column) -> Column:
     return let(F.struct(lines.alias("lines"), low.alias("name"), keys.alias("keys"), need.alias("need")), pick)
 
 
-def related(sentences: Column, name: Column, primary: Column) -> Column:
-    return F.filter(sentences, lambda s: mentions_name(s, name) & (s != primary))
-
-
 def _specific(name: Column, table: list) -> Column:
     """Keyword pattern of the first table entry whose disease word is in the name."""
     out = F.lit(None).cast("string")
@@ -73,33 +75,65 @@ def _specific(name: Column, table: list) -> Column:
     return out
 
 
-def keyword_mentions(sentences: Column, name: Column, table: list, general: list) -> Column:
-    """Distinct sentences with a disease-specific or a general keyword, in order."""
-    common = tx.any_of(general)
-    return let(_specific(name, table), lambda special: F.array_distinct(F.filter(sentences, lambda s: let(F.lower(s), lambda low: (
-        low.rlike(common) | F.coalesce(F.call_function("rlike", low, special), F.lit(False)))))))
+def _group(low_name: Column, table: list) -> Column:
+    """Word group of the first table entry whose disease word is in the name; the general group if there is none."""
+    out = F.lit(0)
+    for k, (disease, _) in reversed(list(enumerate(table, 1))):
+        out = F.when(F.contains(low_name, F.lit(disease)), F.lit(k)).otherwise(out)
+    return out
 
 
-def drug_mentions(sentences: Column, name: Column) -> Column:
-    return keyword_mentions(sentences, name, kn.CONTEXT_DRUGS, kn.GENERAL_DRUG_WORDS)
+#: The parts of a mention's context.
+PARTS = ("primary", "around", "section", "related", "drugs", "labs")
 
 
-def lab_mentions(sentences: Column, name: Column) -> Column:
-    return keyword_mentions(sentences, name, kn.CONTEXT_LABS, kn.GENERAL_LAB_WORDS)
+def with_sentences(docs: DataFrame, parts=PARTS, text: str = "text") -> DataFrame:
+    """Add ``sents``, their lower-case forms ``low`` and the word groups (``drugs``, ``labs``) that ``parts`` ask for."""
+    docs = docs.withColumn("sents", F.transform(sentence_array(F.col(text)), lambda s: s["text"]))
+    docs = docs.withColumn("low", F.transform("sents", lambda s: F.lower(s)))
+    return docs.withColumns({p: word_groups(F.col("low"), p) for p in ("drugs", "labs") if p in parts})
 
 
-def build(sentences: Column, section_text: Column, name: Column, n: int = 5) -> Column:
-    """The whole context of one mention as a struct."""
-    def parts(at: Column) -> Column:
-        primary = F.when(at > 0, F.get(sentences, at - 1)).otherwise(F.lit(""))
-        return let(primary, lambda p: F.struct(
-            p.alias("primary"), window(sentences, at, n).alias("around"),
-            F.array_join(section_lines(section_text, name), "\n").alias("section"),
-            related(sentences, name, p).alias("related"),
-            drug_mentions(sentences, name).alias("drugs"), lab_mentions(sentences, name).alias("labs"),
-        ))
+def contexts(docs: DataFrame, parts, of, *keep: str, name: str = "disease") -> DataFrame:
+    """``keep`` and the fields of the struct that ``of`` makes of the asked parts of each row's context.
 
-    return let(primary_index(sentences, name), parts)
+    The struct leaves by an explode: fields taken from a column are computed once for each of them.
+    """
+    docs = with_sentences(docs, parts)
+    return explode_rows(docs, F.array(let(build(docs, name, parts), of)), *keep)
+
+
+def build(docs: DataFrame, name: str = "disease", parts=PARTS, text: str = "text", n: int = 5) -> Column:
+    """The asked parts of the context of one mention as a struct; ``docs`` comes from ``with_sentences``.
+
+    Distinct sentences with a word for the disease or a general one are its drugs and laboratory values.
+    """
+    # every column is bound before the first inner function: inlined there it would be computed again
+    if tuple(parts) == ("section",):
+        return F.struct(F.array_join(section_lines(docs[text], docs[name]), "\n").alias("section"))
+    used = F.struct(*[docs[c].alias(a) for c, a in (("sents", "sents"), ("low", "low"), (text, "text"), (name, "name"))],
+                    *[docs[p].alias(p) for p in ("drugs", "labs") if p in parts], F.lower(docs[name]).alias("low_name"))
+
+    def of(d: Column) -> Column:
+        def worded(p: str, table: list) -> Column:
+            wanted = lambda g: F.filter(d["sents"], lambda _, i: let(F.get(d[p], i), lambda b: has(b, 0) | has(b, g)))
+            return let(_group(d["low_name"], table), lambda g: F.array_distinct(wanted(g)))
+
+        def gather(c: Column) -> Column:
+            at = c["at"]
+            primary = F.when(at > 0, F.get(d["sents"], at - 1)).otherwise(F.lit(""))
+            made = {
+                "primary": lambda p: p, "around": lambda p: window(d["sents"], at, n),
+                "section": lambda p: F.array_join(section_lines(d["text"], d["name"]), "\n"),
+                "related": lambda p: F.filter(d["sents"], lambda s, i: F.get(c["named"], i) & (s != p)),
+                "drugs": lambda p: worded("drugs", kn.CONTEXT_DRUGS), "labs": lambda p: worded("labs", kn.CONTEXT_LABS),
+            }
+            return let(primary, lambda p: F.struct(*[made[x](p).alias(x) for x in parts]))
+
+        named = F.transform(d["low"], lambda s: F.contains(s, d["low_name"]))
+        return let(named, lambda v: let(F.struct(v.alias("named"), F.array_position(v, True).cast("int").alias("at")), gather))
+
+    return let(used, of)
 
 
 def sentence_profiles(sentences: Column, lines) -> Column:
