@@ -15,7 +15,6 @@ TABLES: dict[str, list[list[str]]] = {
     "drugs": [kn.GENERAL_DRUG_WORDS, *[ws for _, ws in kn.CONTEXT_DRUGS]],
     "labs": [kn.GENERAL_LAB_WORDS, *[ws for _, ws in kn.CONTEXT_LABS]],
     "elements": [kn.MONITORING_WORDS, kn.EVALUATION_WORDS, kn.ASSESSMENT_WORDS, kn.TREATMENT_WORDS],
-    "implied": [ws for _, ws in kn.DISEASE_DRUGS],
 }
 #: Longest line that a worker remembers.
 SHORT = 200
