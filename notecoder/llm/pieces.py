@@ -22,7 +22,9 @@ from ..session import ship_package
 
 SPACE = "▁"
 #: Distinct chunks a worker remembers; beyond it the memory starts anew. Results don't depend on it.
-REMEMBERED = 400_000
+REMEMBERED = 50_000
+#: Rows handed back at a time; ids and decoded texts of more don't stand in memory together.
+ROWS = 256
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -72,8 +74,8 @@ class Encoder:
             if not any(t in p for t in self.tied):
                 self.tied.append(p)
         self.packed = {p: np.array([i], "<u4").tobytes() for p, i in self.ids.items()}
-        self.fits = functools.lru_cache(1_000_000)(self._fits)
-        self.options = functools.lru_cache(1_000_000)(self._options)
+        self.fits = functools.lru_cache(REMEMBERED)(self._fits)
+        self.options = functools.lru_cache(REMEMBERED)(self._options)
         self.known: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -183,7 +185,7 @@ def _digests(path: str, full: bool):
     @F.pandas_udf(kinds)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encoder, decode = _encoder(path), _processor(path).decode
-        for texts in batches:
+        for texts in (b.iloc[k:k + ROWS] for b in batches for k in range(0, len(b), ROWS)):
             rows = []
             for t in texts:
                 raw = encoder.encode(t)
