@@ -23,13 +23,12 @@ def section_name_fix(entries: DataFrame, threshold: float = 0.62) -> DataFrame:
     header without a key is left out. Each distinct header is scored once.
     """
     headers = entries.select("header").distinct()
-    matched = headers.select("header", se.match_canonical(tx.normalize_header(F.col("header")), F.lit(threshold)).alias("m"))
-    named = F.trim(F.lower(F.coalesce("named", F.lit(OTHER))))
-    rows = entries.select("doc_id", "ord", "header", se.header_key(F.col("header")).alias("key"), named.alias("named")).where("key <> ''")
+    matched = headers.select("header", se.header_key(F.col("header")).alias("key"), se.match_canonical(tx.normalize_header(F.col("header")), F.lit(threshold)).alias("m"))
+    rows = entries.select("doc_id", "ord", "header", F.trim(F.lower(F.coalesce("named", F.lit(OTHER)))).alias("named"))
     valid = F.col("named").isin([name for name, _ in ks.SECTION_VARIANTS] + [OTHER])
     section = (F.when(~valid, F.coalesce("m.section", F.lit(OTHER)))
                .when(F.col("m.section").isNotNull() & (F.col("m.score") >= SURE), F.col("m.section")).otherwise(F.col("named")))
-    fixed = rows.join(matched, "header").select("doc_id", "ord", "key", section.alias("section"))
+    fixed = rows.join(matched.where("key <> ''"), "header").select("doc_id", "ord", "key", section.alias("section"))
     return fixed.groupBy("doc_id", "key").agg(F.max_by("section", F.struct("ord", "section")).alias("section"))
 
 
