@@ -10,6 +10,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import heapq
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -21,8 +22,10 @@ from pyspark.sql import functions as F
 from ..session import ship_package
 
 SPACE = "▁"
-#: Distinct chunks a worker remembers; beyond it the memory starts anew. Results don't depend on it.
+#: Tests of neighbours a worker remembers. Results don't depend on it.
 REMEMBERED = 50_000
+#: Ids of distinct chunks a worker remembers, some 200 bytes each; beyond it the older half is forgotten.
+CHUNKS = 300_000
 #: Rows handed back at a time; ids and decoded texts of more don't stand in memory together.
 ROWS = 256
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -80,28 +83,22 @@ class Encoder:
 
     def merged(self, text: str) -> list[str]:
         """Merge characters by best score, leftmost first: what the encoding means."""
-        part = list(text)
-        after, before = list(range(1, len(part) + 1)), list(range(-1, len(part) - 1))
-        heap: list[tuple[float, int, int, str]] = []
-
-        def offer(i: int, j: int) -> None:
-            both = part[i] + part[j]
-            if both in self.scores:
-                heapq.heappush(heap, (-self.scores[both], i, j, both))
-
-        for i in range(len(part) - 1):
-            offer(i, i + 1)
+        part, n, score = list(text), len(text), self.scores.get
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(-s, i, i + 1, both) for i in range(n - 1) if (s := score(both := part[i] + part[i + 1])) is not None]
+        heapq.heapify(heap)
         while heap:
             _, i, j, both = heapq.heappop(heap)
-            if not part[i] or not part[j] or part[i] + part[j] != both or after[i] != j:
+            if not part[j] or after[i] != j or part[i] + part[j] != both or not part[i]:
                 continue
             part[i], part[j] = both, ""
-            after[i] = after[j]
-            if after[i] < len(part):
-                before[after[i]] = i
-                offer(i, after[i])
-            if before[i] >= 0:
-                offer(before[i], i)
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (s := score(more := both + part[k])) is not None:
+                    heapq.heappush(heap, (-s, i, k, more))
+            if (h := before[i]) >= 0 and (s := score(more := part[h] + both)) is not None:
+                heapq.heappush(heap, (-s, h, i, more))
         return [p for p in part if p]
 
     def _fits(self, left: str, right: str) -> bool:
@@ -127,15 +124,23 @@ class Encoder:
             if t in text:
                 return self.merged(text)
         out = [piece for _, piece in self.matcher.iter_long(text)]
-        if "".join(out) == text and all(map(self.fits, out, out[1:])):
-            return out  # the longest matches in a row already fit, the most frequent case
-        out, choices = [], []
+        fit = 0
+        if "".join(out) == text:
+            fits = self.fits
+            fit = next((k for k in range(1, len(out)) if not fits(out[k - 1], out[k])), len(out))
+            if fit == len(out):
+                return out  # the longest matches in a row already fit, the most frequent case
+        # the walk's first steps are the longest matches that fit; their other choices are listed on the way back only
+        del out[fit:]
+        choices: list[tuple | None] = [None] * fit
         options, longest = self.options, self.longest
         alive = bytearray(b"\1") * (len(text) + 1)
-        at, last, n = 0, "", len(text)
+        at, last, n = sum(map(len, out)), out[-1] if out else "", len(text)
         while at < n:
             if len(choices) == len(out):
                 choices.append(options(last, longest(text, at)))
+            elif choices[-1] is None:
+                choices[-1] = options(last, longest(text, at))
             for piece, size in choices[-1]:
                 if alive[at + size]:
                     out.append(piece)
@@ -153,9 +158,10 @@ class Encoder:
         """Ids of a chunk as little-endian 32-bit integers."""
         packed = self.packed
         out = b"".join([packed[p] if p in packed else np.array([self.byte_ids[b] for b in p.encode()], "<u4").tobytes() for p in self.split(text)])
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
         if len(text) <= 64:
+            if len(self.known) >= CHUNKS:
+                for old in list(itertools.islice(self.known, CHUNKS // 2)):
+                    del self.known[old]
             self.known[text] = out
         return out
 
