@@ -29,3 +29,14 @@ def test_a_line_is_searched_once_however_often_it_repeats(spark):
     # one pass in the worker, no search by expressions
     plan = se.with_candidates(docs).where(F.size("candidates") > 0)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("candidates_of(") >= 1 and "regexp" not in plan
+
+
+def test_a_header_is_judged_once_and_as_by_expressions(spark):
+    known = ["Plan", "Past Med Hx", "History of Present Ilness", "Asessment and Plan", "Allergies:", "[Labs]", "Diagnosis Date", "Medications list of home", "Mood", "", "x y", "Famly Historry", "PMH (old)"]
+    rows = spark.createDataFrame([(h,) for h in known], "h string").select("h", se.validate_header(F.col("h")).alias("v")).collect()
+    assert {r.h: tuple(r.v) for r in rows} == {h: se._validated(h, False) for h in known}
+    docs = spark.createDataFrame([(1, "Plan:\nrest\n\nAllergies:\nnone\n"), (2, None), (3, "")], "doc_id long, text string")
+    for method in ("levenshtein", "ratio"):
+        got = {r.doc_id: r.headers for r in se.with_headers(docs, method).collect()}
+        assert [(h.position, h.section) for h in got[1]] == [(0, "plan"), (12, "allergies")] and got[2] is None and got[3] == []
+    assert "levenshtein(" not in se.with_headers(docs)._jdf.queryExecution().optimizedPlan().toString().replace("kinds_by_levenshtein(", "")
