@@ -40,3 +40,13 @@ def test_a_header_is_judged_once_and_as_by_expressions(spark):
         got = {r.doc_id: r.headers for r in se.with_headers(docs, method).collect()}
         assert [(h.position, h.section) for h in got[1]] == [(0, "plan"), (12, "allergies")] and got[2] is None and got[3] == []
     assert "levenshtein(" not in se.with_headers(docs)._jdf.queryExecution().optimizedPlan().toString().replace("kinds_by_levenshtein(", "")
+
+
+def test_enriched_sections_merge_slices_once(spark):
+    from notecoder.operators import lines as ln
+
+    docs = spark.createDataFrame([(1, "Plan:\nrest and fluids\n")], "doc_id long, text string")
+    plan = ln.with_enriched(docs)._jdf.queryExecution().optimizedPlan().toString()
+    # the merging fold and the inferred sections are fields of one bound struct, not part of the functions over its sections
+    assert plan.count("struct(merged, aggregate(") == 1 and "aggregate(inferred#" not in plan
+    assert [(s.section, s.text, s.source) for s in ln.with_enriched(docs).first().sections][0] == ("plan", "rest and fluids", "header")
