@@ -61,17 +61,17 @@ def balanced(texts: pd.Series) -> pd.Series:
 def repair(replies: DataFrame, schema: str, raw: str = "raw") -> DataFrame:
     """Add ``parsed`` (null where hopeless) and ``repair``: none, tidied, balanced or failed.
 
-    Only replies that plain and tidied parsing reject go through the Arrow function.
+    Every step looks only at what the step before rejected, and the replies are read once; the Arrow function
+    gets nulls for all others.
     """
-    good = lambda c: F.try_parse_json(c).isNotNull() & F.trim(c).startswith("{")
-    r = replies.withColumn("_t", tidy(F.col(raw)))
-    r = r.withColumn("_state", F.when(good(F.col(raw)), "none").when(good(F.col("_t")), "tidied").otherwise("balanced"))
-    sound = r.where("_state <> 'balanced'").withColumn("_json", F.when(F.col("_state") == "none", F.col(raw)).otherwise(F.col("_t")))
-    broken = r.where("_state = 'balanced'").withColumn("_json", tidy(balanced(F.col("_t"))))
-    broken = broken.withColumn("_state", F.when(good(F.col("_json")), "balanced").otherwise("failed"))
-    out = sound.unionByName(broken)
-    return out.withColumn("parsed", F.when(F.col("_state") != "failed", F.from_json("_json", schema))).withColumnRenamed(
-        "_state", "repair").drop("_t", "_json")
+    good = lambda c: F.coalesce(F.try_parse_json(c).isNotNull() & F.trim(c).startswith("{"), F.lit(False))
+    r = replies.withColumn("_good", good(F.col(raw)))
+    r = r.withColumn("_t", F.when(~F.col("_good"), tidy(F.col(raw))))
+    r = r.withColumn("_state", F.when(F.col("_good"), "none").when(good(F.col("_t")), "tidied").otherwise("balanced"))
+    r = r.withColumn("_closed", balanced(F.when(F.col("_state") == "balanced", F.col("_t"))))
+    r = r.withColumn("_json", F.when(F.col("_state") == "none", F.col(raw)).when(F.col("_state") == "tidied", F.col("_t")).otherwise(tidy(F.col("_closed"))))
+    r = r.withColumn("repair", F.when((F.col("_state") == "balanced") & ~good(F.col("_json")), "failed").otherwise(F.col("_state")))
+    return r.withColumn("parsed", F.when(F.col("repair") != "failed", F.from_json("_json", schema))).drop("_good", "_t", "_state", "_closed", "_json")
 
 
 def reply_diseases(parsed: DataFrame) -> DataFrame:
