@@ -1,6 +1,8 @@
 """Result assembly, filtering, de-duplication, scoring, summaries and reports."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,13 +74,15 @@ def section_priority(rows: DataFrame, single_pass: bool) -> DataFrame:
     return g.withColumn("passes", F.when(F.col("_assessed"), single if single_pass else multi).otherwise(otherwise)).drop("_assessed")
 
 
-def grace_rows(rows: DataFrame) -> DataFrame:
-    """Rows from clinical sections accepted when no row of a document passed."""
+def graceful() -> Column:
     overlap = F.arrays_overlap(normal_sources(), tx.literal_array(kc.GRACE_SECTIONS))
     family_only = F.forall(normal_sources(), lambda s: s.isin(kc.FAMILY_SECTIONS))
-    return rows.where(
-        overlap & ~F.col("meat_tier").isin("history_only", "invalid") & (F.col("disease_status") != "History Only") & ~family_only
-    )
+    return overlap & ~F.col("meat_tier").isin("history_only", "invalid") & (F.col("disease_status") != "History Only") & ~family_only
+
+
+def grace_rows(rows: DataFrame) -> DataFrame:
+    """Rows from clinical sections accepted when no row of a document passed."""
+    return rows.where(graceful())
 
 
 def strict_output_filter(rows: DataFrame, single_pass: bool = False) -> DataFrame:
@@ -90,25 +94,42 @@ def strict_output_filter(rows: DataFrame, single_pass: bool = False) -> DataFram
     without a row that passes falls back on its active rows from clinical sections, whose
     names stay as they are. A null name, tier, status, code or list of sources passes no rule about it.
     """
+    return strict_output_filters(rows, ["single" if single_pass else "multi"]).drop("mode")
+
+
+def strict_output_filters(rows: DataFrame, modes: list[str]) -> DataFrame:
+    """``strict_output_filter`` by one or both modes (``single``, ``multi``), told by ``mode``, in one pass.
+
+    Each row is judged for a document with and one without an assessment, so that one aggregate of flags tells
+    a document's kind and whether any row of it passes; only rows that may stay meet it.
+    """
     hits = lambda names: F.coalesce(F.arrays_overlap(normal_sources(), tx.literal_array(names)), F.lit(False))
     treated = F.coalesce("treatment", F.lit(False)) | (evidence("treatment") != "")
     visit, focus, active = hits(kc.VISIT_ASSESSMENT), hits(kc.FOCUS_SECTIONS), hits(kc.EVIDENCE_SECTIONS)
-    g = with_group(rows, ["doc_id"], _assessed=F.max(hits(kc.STRICT_ASSESSMENT)))
-    if single_pass:
-        section = ~F.col("_assessed") | visit | focus | ((treated | active) & hits(kc.STRICT_PRIMARY))
-    else:
-        section = F.when(F.col("_assessed"), hits(kc.STRICT_ASSESSMENT) | treated).otherwise(hits(kc.STRICT_CLINICAL))
+    listed = hits(kc.STRICT_ASSESSMENT)
+    # the section rule in a document with an assessment, and in one without
+    rules = {
+        "single": (visit | focus | ((treated | active) & hits(kc.STRICT_PRIMARY)), F.lit(True)),
+        "multi": (listed | treated, hits(kc.STRICT_CLINICAL)),
+    }
     code, name = F.coalesce("icd_code", F.lit("")), tx.clean_display_name(F.col("disease"))
     past_cancer = F.col("disease").rlike(kc.CANCER) & ~visit & ~code.startswith(kc.CANCER_HISTORY_CODE)
     sole = (F.size("sources") > 0) & F.forall(normal_sources(), lambda s: s.isin(kc.RESTRICTED_SECTIONS))
     current = ~F.col("meat_tier").isin(kc.EXCLUDED_TIERS) & (F.col("disease_status") != "History Only")
     texts = F.trim(F.concat(*[evidence(e) for e in ELEMENTS])) != ""
-    passed = section & ~past_cancer & current & ~sole & ~code.isin("", "—", "-") & ~tx.is_fragment(name) & texts
-    g = g.withColumn("_ok", F.coalesce(passed, F.lit(False))).drop("_assessed")
-    g = with_group(g, ["doc_id"], _any=F.max("_ok"))
-    strict = g.where("_ok").withColumns({"disease": name, "grace": F.lit(False)})
-    fallback = grace_rows(g.where("not _any")).withColumn("grace", F.lit(True))
-    return strict.unionByName(fallback).drop("_ok", "_any")
+    passed = ~past_cancer & current & ~sole & ~code.isin("", "—", "-") & ~tx.is_fragment(name) & texts
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    g = rows.withColumns({"_listed": listed, "_passed": sure(passed), "_grace": sure(graceful())})
+    flags = {f"_{k}_{m}": F.col("_passed") & rules[m][i] for m in modes for i, k in enumerate(("with", "without"))}
+    g = g.withColumns(flags)
+    doc = g.groupBy("doc_id").agg(F.max("_listed").alias("_assessed"), *[F.max(f).alias(f"_any{f}") for f in flags])
+    may = g.where(reduce(lambda x, y: x | y, [F.col(f) for f in flags], F.col("_grace"))).drop("_listed", "_passed")
+    j = may.join(doc, "doc_id", "left")
+    of = lambda prefix, m: F.when(F.col("_assessed"), F.col(f"{prefix}_with_{m}")).otherwise(F.col(f"{prefix}_without_{m}"))
+    judged = [F.struct(F.lit(m).alias("mode"), of("", m).alias("ok"), of("_any", m).alias("any")) for m in modes]
+    kept = j.withColumn("_m", F.explode(F.array(*judged))).where(F.col("_m.ok") | (~F.col("_m.any") & F.col("_grace")))
+    out = {"disease": F.when(F.col("_m.ok"), name).otherwise(F.col("disease")), "grace": ~F.col("_m.ok"), "mode": F.col("_m.mode")}
+    return kept.withColumns(out).select(*rows.columns, "grace", "mode")
 
 
 def bmi_band(value: Column) -> Column:
