@@ -1,8 +1,13 @@
 """Accuracy of predictions against labelled documents."""
 from __future__ import annotations
 
+from collections import deque
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from ..functions import similarity as sim
 
@@ -35,31 +40,54 @@ def detection(predicted: DataFrame, expected: DataFrame) -> DataFrame:
 def detection_fuzzy(predicted: DataFrame, expected: DataFrame, threshold: int = 80) -> DataFrame:
     """Detection scores with greedy one-to-one matching at a token-set score.
 
-    Every occurrence counts. Distinct names of a document are paired and scored; the greedy
-    pass then folds over its predictions in order, each taking the first expected occurrence
-    that is free.
+    Every occurrence counts. A document's rows meet in one shuffle as two arrays in the order of ``ord``; each
+    prediction takes the first expected occurrence that is free. A worker scores each pair of names once.
     """
-    each = lambda df: df.select("doc_id", F.trim(F.lower("disease")).alias("name"), "ord")
-    p, e = each(predicted), each(expected.where(~F.col("negated")))
-    alike = lambda a, b: a.select("doc_id", F.col("name").alias("pn")).distinct().join(b.select("doc_id", F.col("name").alias("en")).distinct(), "doc_id").where(
-        sim.token_set_ratio(F.col("pn"), F.col("en")) >= threshold)
-    pairs = p.select("doc_id", F.col("name").alias("pn"), F.col("ord").alias("po")).join(
-        alike(p, e), ["doc_id", "pn"]).join(e.select("doc_id", F.col("name").alias("en"), F.col("ord").alias("eo")), ["doc_id", "en"])
-    hits = pairs
-    options = hits.groupBy("doc_id", "po").agg(F.array_sort(F.collect_list("eo")).alias("eos"))
-    taken = options.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("po", "eos"))).alias("o"))
-
-    def take(used: Column, x: Column) -> Column:
-        free = F.array_except(x["eos"], used)
-        return F.when(F.size(free) > 0, F.concat(used, F.slice(free, 1, 1))).otherwise(used)
-
-    tp = taken.select("doc_id", F.size(F.aggregate("o", F.array().cast("array<bigint>"), take)).cast("bigint").alias("tp"))
-    n = lambda df, c: df.groupBy("doc_id").agg(F.count("*").alias(c))
-    g = n(p, "p").join(n(e, "e"), "doc_id", "full").join(tp, "doc_id", "left").na.fill(0)
+    each = lambda df, side: df.select("doc_id", F.lit(side).alias("_side"), F.struct("ord", F.trim(F.lower("disease")).alias("name")).alias("_x"))
+    both = each(predicted, "p").unionByName(each(expected.where(~F.col("negated")), "e"))
+    of = lambda side: F.array_sort(F.collect_list(F.when(F.col("_side") == side, F.col("_x"))))["name"].alias(f"_{side}")
+    g = both.groupBy("doc_id").agg(of("p"), of("e"))
+    tp = _matcher(threshold)(F.col("_p"), F.col("_e"))
+    g = g.select("doc_id", tp.alias("tp"), F.size("_p").cast("bigint").alias("p"), F.size("_e").cast("bigint").alias("e"))
     g = g.select("doc_id", "tp", (F.col("p") - F.col("tp")).alias("fp"), (F.col("e") - F.col("tp")).alias("fn"))
     return g.withColumns(prf(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
+#: Pairs of names a worker remembers the score of.
+PAIRS = 100_000
+
+
+@lru_cache(maxsize=PAIRS)
+def repeated_score(a: str, b: str) -> int:
+    return sim.token_set_score(a, b)
+
+
+def matched(predicted: list, expected: list, threshold: int) -> int:
+    """How many predictions in turn find a free expected name that scores the threshold; a null matches nothing.
+
+    Equal expected names are free in turn, so a prediction looks at each distinct one once.
+    """
+    free: dict[str, deque[int]] = {}
+    for at, name in enumerate(expected):
+        if name is not None:
+            free.setdefault(name, deque()).append(at)
+    alike = lru_cache(maxsize=None)(lambda p: [e for e in free if repeated_score(p, e) >= threshold])
+    found = 0
+    for p in predicted:
+        if p is not None and (first := min((e for e in alike(p) if free[e]), key=lambda e: free[e][0], default=None)) is not None:
+            free[first].popleft()
+            found += 1
+    return found
+
+
+def _matcher(threshold: int):
+    @F.arrow_udf(LongType())
+    def run(predicted: pa.Array, expected: pa.Array) -> pa.Array:
+        return pa.array([matched(p, e, threshold) for p, e in zip(predicted.to_pylist(), expected.to_pylist())], pa.int64())
+
+    return run
+
+
 def by_name(rows: DataFrame, *fields: str) -> DataFrame:
     """The first row of each name of a document."""
     return rows.groupBy("doc_id", F.trim(F.lower("disease")).alias("name")).agg(
