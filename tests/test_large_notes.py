@@ -76,3 +76,8 @@ def test_variants_out_of_reach_are_passed_over(spark):
         assert len(rows) == len(headers) and not [r for r in rows if r.a.section != r.b.section]
         assert not [r for r in rows if r.a.score >= least and r.a.score != r.b.score]
     assert "arrays_overlap" in df.select(se.validate_header(F.col("h")))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_documented_names_meet_texts_without_broadcast(spark):
+    plan = catalog.load().QUERIES["rule_documented_only"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
