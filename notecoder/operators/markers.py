@@ -7,7 +7,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as tx
 from ..functions.arrays import let
 from . import lines as ln
 from . import sections as se
@@ -76,10 +75,11 @@ def with_markers(docs: DataFrame, text: str = "text") -> DataFrame:
     docs = docs.withColumn(text, F.coalesce(F.col(text), F.lit("")))
     docs = ln.with_inferred(se.with_candidates(docs, text), text)
     sure = F.filter("candidates", lambda c: c["confidence"] >= SURE_HEADER)
-    named = F.transform(sure, lambda c: let(se.match_canonical(tx.normalize_header(c["header"]), F.lit(MATCH)), lambda m: F.struct(
+    docs = docs.withColumn("candidates", sure).withColumn("_m", se.names_of(F.transform("candidates", lambda c: c["header"]), MATCH))
+    named = F.transform("candidates", lambda c, i: let(F.get(F.col("_m"), i), lambda m: F.struct(
         c["position"].alias("position"), F.when(m["score"] >= SURE_NAME, m["section"]).alias("section"), F.lit(False).alias("inferred"))))
     known = F.filter(named, lambda m: m["section"].isNotNull()).cast(f"array<{MARKER}>")
     headers = with_content(spaced(known), F.length(text))
     more = F.transform("inferred", lambda s: F.struct(s["start"].alias("position"), s["section"].alias("section"), F.lit(True).alias("inferred"))).cast(f"array<{MARKER}>")
     docs = docs.withColumn("markers", completed(headers, more))
-    return docs.withColumn("marked", inserted(F.col(text), F.col("markers"))).drop("candidates", "inferred", "inferred_confidence")
+    return docs.withColumn("marked", inserted(F.col(text), F.col("markers"))).drop("candidates", "_m", "inferred", "inferred_confidence")

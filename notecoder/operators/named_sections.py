@@ -20,15 +20,13 @@ def section_name_fix(entries: DataFrame, threshold: float = 0.62) -> DataFrame:
 
     A name that is no section's gives way to the section its header matches, or ``other``; a
     valid one only to a match of ``SURE`` or more. Of entries with one key the last counts; a
-    header without a key is left out. Each distinct header is scored once.
+    header without a key is left out. A worker scores a header once; entries meet no other table.
     """
-    headers = entries.select("header").distinct()
-    matched = headers.select("header", se.header_key(F.col("header")).alias("key"), se.match_canonical(tx.normalize_header(F.col("header")), F.lit(threshold)).alias("m"))
-    rows = entries.select("doc_id", "ord", "header", F.trim(F.lower(F.coalesce("named", F.lit(OTHER)))).alias("named"))
+    rows = entries.select("doc_id", "ord", F.trim(F.lower(F.coalesce("named", F.lit(OTHER)))).alias("named"), F.get(se.names_of(F.array("header"), threshold), F.lit(0)).alias("m"))
     valid = F.col("named").isin([name for name, _ in ks.SECTION_VARIANTS] + [OTHER])
     section = (F.when(~valid, F.coalesce("m.section", F.lit(OTHER)))
                .when(F.col("m.section").isNotNull() & (F.col("m.score") >= SURE), F.col("m.section")).otherwise(F.col("named")))
-    fixed = rows.join(matched.where("key <> ''"), "header").select("doc_id", "ord", "key", section.alias("section"))
+    fixed = rows.where("m.key <> ''").select("doc_id", "ord", F.col("m.key").alias("key"), section.alias("section"))
     return fixed.groupBy("doc_id", "key").agg(F.max_by("section", F.struct("ord", "section")).alias("section"))
 
 

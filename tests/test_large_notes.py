@@ -81,3 +81,21 @@ def test_variants_out_of_reach_are_passed_over(spark):
 def test_documented_names_meet_texts_without_broadcast(spark):
     plan = catalog.load().QUERIES["rule_documented_only"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_headers_are_named_in_one_pass_without_broadcast(spark):
+    rng = random.Random(5)
+    variants = [v for _, v, _ in ks.VARIANT_ROWS]
+    headers = ["", " ", "x", "[Plan]:", "PMH:", "The Plan", "zzz plan", None, *variants]
+    for v in variants * 3:
+        x = rng.randrange(len(v))
+        headers += [v[:x] + rng.choice("abc e") + v[x + 1:], v[:x] + v[x + 1:], v + " " + rng.choice(variants), v[: x + 1].title() + ":"]
+    df = spark.createDataFrame([(h,) for h in headers], "h string").repartition(4)
+    for least in (0.62, 0.88):
+        want = se.match_canonical(tx.normalize_header(F.col("h")), F.lit(least))
+        for r in df.select("h", F.get(se.names_of(F.array("h"), least), F.lit(0)).alias("a"), want.alias("b"), se.header_key(F.col("h")).alias("k")).collect():
+            assert (r.a is None) == (r.h is None), r
+            assert r.a is None or (r.a.key == r.k and r.a.section == r.b.section), r
+            assert r.a is None or r.a.section is None or r.a.score == r.b.score, r
+    plan = catalog.load().QUERIES["section_name_fix"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("candidates_of(") == 1
