@@ -9,7 +9,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import explode_rows
+from ..functions.arrays import explode_rows, let
 from ..knowledge import coding as kc
 from ..knowledge import status as ks
 
@@ -31,15 +31,16 @@ def phrase(word: str) -> str:
 
 
 def _first(text: Column, words: list[str]) -> Column:
-    """The first of the words that the lower-case text holds, or null."""
-    return F.coalesce(*[F.when(text.rlike(phrase(w)), F.lit(w)) for w in words])
+    """The first of the words that the lower-case text holds, or null; a text is searched for a pattern only if it holds the letters."""
+    return F.coalesce(*[F.when(F.contains(text, F.lit(w.lower())) & text.rlike(phrase(w)), F.lit(w)) for w in words])
 
 
 def history_codes(docs: DataFrame) -> DataFrame:
     """``doc_id, disease, icd_code, description``: a malignancy in the personal history of the assessment."""
     pattern, code, description = ks.HISTORY
-    hit = F.regexp_extract("assessment", pattern, 0)
-    return docs.select("doc_id", F.trim(hit).alias("disease"), F.lit(code).alias("icd_code"), F.lit(description).alias("description")).where("disease <> ''")
+    hit = F.struct(F.trim(F.regexp_extract("assessment", pattern, 0)).alias("disease"), F.lit(code).alias("icd_code"), F.lit(description).alias("description"))
+    # behind a generator the pattern is looked for once, not again for the test
+    return explode_rows(docs, F.array(hit), "doc_id").where("disease <> ''")
 
 
 def long_term_drugs(docs: DataFrame) -> DataFrame:
@@ -48,15 +49,18 @@ def long_term_drugs(docs: DataFrame) -> DataFrame:
     A class counts only if one of its drugs, or a condition it is taken for, is also in the
     assessment or plan; else the row says that the encounter is not concerned.
     """
-    meds, plan = F.lower("medications"), F.lower(F.coalesce("assessment", F.lit("")))
-    entry = lambda name, code, drugs: F.struct(
-        F.lit(name).alias("class"), F.lit(code).alias("icd_code"), _first(meds, drugs).alias("drug"), _first(plan, drugs + ks.UNDERLYING[name]).isNotNull().alias("included"))
-    rows = F.filter(F.array(*[entry(*x) for x in ks.LONG_TERM_DRUGS]), lambda x: x["drug"].isNotNull())
+    entry = lambda x, name, code, drugs: F.struct(
+        F.lit(name).alias("class"), F.lit(code).alias("icd_code"), _first(x["meds"], drugs).alias("drug"), x["plan"].alias("plan"))
+    told = lambda x: F.filter(F.array(*[entry(x, *c) for c in ks.LONG_TERM_DRUGS]), lambda e: e["drug"].isNotNull())
+    # the assessment is asked for the classes that are taken only
+    speaks = lambda e: F.coalesce(*[F.when(e["class"] == name, _first(e["plan"], drugs + ks.UNDERLYING[name]).isNotNull()) for name, _, drugs in ks.LONG_TERM_DRUGS])
+    texts = F.struct(F.lower("medications").alias("meds"), F.lower(F.coalesce("assessment", F.lit(""))).alias("plan"))
+    rows = F.transform(let(texts, told), lambda e: F.struct(e["class"].alias("class"), e["icd_code"].alias("icd_code"), e["drug"].alias("drug"), speaks(e).alias("included")))
     return explode_rows(docs, rows, "doc_id").withColumn("reason", F.when(~F.col("included"), F.lit(ks.NOT_RELEVANT)))
 
 
 def device_codes(docs: DataFrame) -> DataFrame:
     """``doc_id, status, icd_code, trigger`` for each device or surgical status in the assessment or plan."""
-    text = F.lower("assessment")
-    entry = lambda name, code, words: F.struct(F.lit(name).alias("status"), F.lit(code).alias("icd_code"), _first(text, words).alias("trigger"))
-    return explode_rows(docs, F.filter(F.array(*[entry(*x) for x in ks.DEVICES]), lambda x: x["trigger"].isNotNull()), "doc_id")
+    entry = lambda text, name, code, words: F.struct(F.lit(name).alias("status"), F.lit(code).alias("icd_code"), _first(text, words).alias("trigger"))
+    rows = let(F.lower("assessment"), lambda text: F.filter(F.array(*[entry(text, *x) for x in ks.DEVICES]), lambda x: x["trigger"].isNotNull()))
+    return explode_rows(docs, rows, "doc_id")
