@@ -7,13 +7,12 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
-from ..functions import similarity as sim
-from ..functions import text as tx
 from ..functions.arrays import cuts, explode_rows, let, total_length
 from ..knowledge.blocks import BLOCK_FAMILIES, HEADER_SHORT_FORMS
-from .sections import strip
+from .headers import SPACE
+from .sections import distance, list_of, normalized, stems
 
 BLOCK = "struct<position int, section string, confidence double, line_count int, start_line int, end_line int>"
 
@@ -77,79 +76,98 @@ def content_blocks(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 # --- headers found again -------------------------------------------------------------
-def _quoted(header: Column) -> Column:
-    """The header as a pattern that takes every character literally."""
-    return F.concat(F.lit("\\Q"), F.replace(header, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+_BLANKS = re.compile(r"\s+", re.ASCII)
 
 
-def expanded(norm: Column) -> Column:
-    forms = tx.literal_map(HEADER_SHORT_FORMS.items())
-    return F.array_join(F.transform(F.split(norm, " "), lambda w: F.coalesce(F.try_element_at(forms, w), w)), " ")
-
-
-def _profile(header: Column) -> Column:
+@lru_cache(maxsize=100_000)
+def _profile(header: str) -> tuple:
     """What a comparison of headers needs: normal form, spelled-out form, stems of both."""
-    stems = lambda n: F.array_distinct(F.transform(tx.header_tokens(n), tx.stem))
-    return let(let(tx.normalize_header(header), lambda n: F.struct(n.alias("n"), expanded(n).alias("e"))), lambda p: F.struct(
-        p["n"].alias("n"), p["e"].alias("e"), stems(p["n"]).alias("ns"), stems(p["e"]).alias("es")))
-
-
-def header_likeness(a: Column, b: Column) -> Column:
-    """Similarity of two profiles: direct or spelled out, and .88 at least where one begins with the other."""
-    score = lambda x, y, s, t: sim.header_similarity(sim.levenshtein_similarity(x, y), sim.jaccard(s, t), x, y)
-    direct = score(a["n"], b["n"], a["ns"], b["ns"])
-    spelled = F.when((a["e"] != a["n"]) | (b["e"] != b["n"]), score(a["e"], b["e"], a["es"], b["es"])).otherwise(F.lit(0.0))
-    prefix = F.when(F.startswith(a["n"], b["n"]) | F.startswith(b["n"], a["n"]), F.lit(0.88)).otherwise(F.lit(0.0))
-    return F.greatest(direct, spelled, prefix)
+    norm = normalized(header)
+    spelled = " ".join(HEADER_SHORT_FORMS.get(w, w) for w in norm.split(" "))
+    return norm, spelled, frozenset(stems(norm)), frozenset(stems(spelled))
 
 
-def _like(header: Column, text: Column, start: Column, threshold: float) -> Column:
-    """0-based position of the short line behind ``start`` most like the header; -1 without one."""
-    rest = F.split(F.substring(text, start + 1, F.length(text)), "\n", -1)
-    step = lambda acc, line: F.struct((acc["at"] + F.length(line) + 1).alias("at"), F.concat(acc["v"], F.array(F.struct(acc["at"].alias("at"), strip(line).alias("s")))).alias("v"))
-    none = F.array().cast("array<struct<at int, s string>>")
-    lines = F.aggregate(rest, F.struct(start.cast("int").alias("at"), none.alias("v")), step)["v"]
-    short = F.filter(lines, lambda x: (F.length(x["s"]) < 80) & x["s"].rlike(r"\p{L}") & ~x["s"].rlike(r"\A[\d/\-., :;()]+\z"))
-    profiled = F.filter(F.transform(short, lambda x: F.struct(x["at"].alias("at"), _profile(x["s"]).alias("p"))), lambda x: x["p"]["n"] != "")
+def _score(a: str, b: str, s: frozenset, t: frozenset, least: float) -> float:
+    """``similarity.header_similarity`` of two headers; 0 where their lengths keep it below ``least``."""
+    n, m = len(a), len(b)
+    tokens = len(s & t) / len(s | t) if s and t else 0.0
+    x, y = (0.65, 0.35) if (a.count(" ") + b.count(" ") + 2) / 2 <= 2 else (0.45, 0.55)
+    blend = lambda edit: edit if n <= 3 or m <= 3 else max(edit, x * edit + y * tokens)
+    if blend(1 - abs(n - m) / max(n, m)) < least - 1e-9:
+        return 0.0
+    return blend(1 - distance(a, b) / max(n, m))
 
-    def best(h: Column) -> Column:
-        named = F.get(F.filter(profiled, lambda x: F.array_contains(F.split(x["p"]["n"], " "), h["n"])), F.lit(0))["at"]
-        scored = F.array_max(F.transform(profiled, lambda x: F.struct(header_likeness(h, x["p"]).alias("score"), (-x["at"]).alias("at"))))
-        fuzzy = let(scored, lambda s: F.when(s["score"] >= threshold, -s["at"]))
-        return F.coalesce(F.when(h["n"] == "", F.lit(None).cast("int")).when(F.length(h["n"]) <= 3, named).otherwise(fuzzy), F.lit(-1))
 
-    return let(_profile(header), best)
-
-
-def locate_header(header: Column, text: Column, start: Column, threshold: float = 0.75) -> Column:
-    """Where a header stands at or behind ``start``: struct(position, tier), position -1 without a hit.
+@lru_cache(maxsize=100_000)
+def header_likeness(header: str, line: str, least: float) -> float:
+    """Similarity of two headers: direct or spelled out, and .88 at least where one begins with the other; less than ``least`` may be 0."""
+    (a, c, s, u), (b, d, t, v) = _profile(header), _profile(line)
+    spelled = _score(c, d, u, v, least) if c != a or d != b else 0.0
+    return max(_score(a, b, s, t, least), spelled, 0.88 if a.startswith(b) or b.startswith(a) else 0.0)
+
+
+def _like(header: str, text: str, start: int, threshold: float) -> int:
+    """Position of the short line behind ``start`` most like the header; -1 without one."""
+    target, best, found, at = _profile(header)[0], threshold, -1, start
+    if target == "":
+        return -1
+    for line in text[start:].split("\n"):
+        body = line.strip(SPACE)
+        if body and len(body) < 80 and any(c.isalpha() for c in body) and (norm := _profile(body)[0]):
+            if len(target) <= 3:
+                if target in norm.split(" "):
+                    return at
+            elif (score := header_likeness(header, body, threshold)) > best or (score == best and found < 0):
+                best, found = score, at
+        at += len(line) + 1
+    return found
+
+
+def locate_header(header: str, text: str, low: str, start: int, threshold: float = 0.75) -> tuple[int, str | None]:
+    """Where a header stands at or behind ``start``: (position, tier), position -1 without a hit; ``low`` is the lower-case text.
 
     Tiers: ``exact``, ``case`` (other capitals), ``space`` (other white space), ``marks`` (own
     line start, optional brackets and colon), ``fuzzy`` (the short line most like it; a header of up to
     three characters must be a word of the line). A tier is tried only where those before failed.
     """
-    at = lambda position, tier: F.struct(position.cast("int").alias("position"), F.lit(tier).alias("tier"))
-    rest = F.substring(text, start + 1, F.length(text))
-    spaced = F.concat(F.lit("(?i)"), F.regexp_replace(_quoted(header), r"\s+", r"\\E\\s+\\Q"))
-    # the character before ``start`` shows whether a line begins there
-    led = F.substring(F.concat(F.lit("\n"), text), start + 1, F.length(text) + 1)
-    core = F.regexp_replace(F.regexp_replace(header, r":+\z", ""), r"\A[\[\]]+|[\[\]]+\z", "")
-    marked = F.concat(F.lit(r"(?i)(?<=\n)[ \t]*\[?\s*"), _quoted(F.trim(core)), F.lit(r"\s*\]?\s*:?"))
-    tiers = [
-        (F.position(header, text, start + 1) - 1, "exact"),
-        (F.position(F.lower(header), F.lower(text), start + 1) - 1, "case"),
-        (F.when(header.rlike(r"\s"), F.regexp_instr(rest, spaced) + start - 1).otherwise(F.lit(-1)), "space"),
-        (F.regexp_instr(led, marked) + start - 2, "marks"),
-        (_like(header, text, start, threshold), "fuzzy"),
-    ]
-
-    def first_of(rest_of: list) -> Column:
-        if not rest_of:
-            return at(F.lit(-1), None)
-        (position, tier), later = rest_of[0], first_of(rest_of[1:])
-        return let(position, lambda p: F.when(p >= start, at(p, tier)).otherwise(later))
-
-    return first_of(tiers)
+    if (at := text.find(header, start)) >= 0:
+        return at, "exact"
+    if (at := low.find(header.lower(), start)) >= 0:
+        return at, "case"
+    parts = _BLANKS.split(header)
+    if len(parts) > 1 and (m := re.compile(r"\s+".join(map(re.escape, parts)), re.I | re.ASCII).search(text, start)):
+        return m.start(), "space"
+    core = re.escape(header.rstrip(":").strip("[]").strip(" "))
+    marked = re.compile(rf"[ \t]*\[?\s*{core}\s*\]?\s*:?", re.I | re.ASCII)
+    # the first line may begin at ``start`` itself
+    at = start if start == 0 or text[start - 1:start] == "\n" else text.find("\n", start) + 1 or -1
+    while at >= 0:
+        if marked.match(text, at):
+            return at, "marks"
+        at = text.find("\n", at) + 1 or -1
+    at = _like(header, text, start, threshold)
+    return (at, "fuzzy") if at >= 0 else (-1, None)
+
+
+def located(text: str, headers: list[str | None], threshold: float) -> list[tuple]:
+    """(ord, header, position, tier) of given headers in order, each searched only behind the one found before it."""
+    out, at, low = [], 0, text.lower()
+    for i, raw in enumerate(headers):
+        header = (raw or "").strip(SPACE)
+        if header:
+            position, tier = locate_header(header, text, low, at, threshold)
+            if position >= 0:
+                out.append((i, header, position, tier))
+                at = position + len(header)
+    return out
+
+
+LOCATED = StructType().add("ord", IntegerType()).add("header", StringType()).add("position", IntegerType()).add("tier", StringType())
+
+
+def _located(texts: pa.Array, headers: pa.Array, threshold: float) -> pa.Array:
+    rows = [located(t or "", hs or [], threshold) for t, hs in zip(texts.to_pylist(), headers.to_pylist())]
+    return list_of(rows, [("ord", pa.int32()), ("header", pa.string()), ("position", pa.int32()), ("tier", pa.string())])
 
 
 def locate_headers(docs: DataFrame, headers: str = "headers", text: str = "text", threshold: float = 0.75) -> DataFrame:
@@ -159,18 +177,8 @@ def locate_headers(docs: DataFrame, headers: str = "headers", text: str = "text"
     ``doc_id, ord, header, position, tier``; positions never decrease. One that is not found
     leaves the place of the search as it is; blank and null headers, and null texts, find nothing.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    given = F.filter(F.transform(F.coalesce(F.col(headers), F.array().cast("array<string>")), lambda h, i: F.struct(i.alias("ord"), strip(h).alias("header"))),
-                     lambda h: h["header"] != "")
-    found = "array<struct<ord int, header string, position int, tier string>>"
-
-    def step(acc: Column, h: Column) -> Column:
-        def move(p: Column) -> Column:
-            row = F.struct(h["ord"].alias("ord"), h["header"].alias("header"), p["position"].alias("position"), p["tier"].alias("tier"))
-            return F.when(p["position"] >= 0, F.struct(
-                (p["position"] + F.length(h["header"])).alias("at"), F.concat(acc["rows"], F.array(row).cast(found)).alias("rows"))).otherwise(acc)
-
-        return let(locate_header(h["header"], t, acc["at"], threshold), move)
+    @F.arrow_udf(ArrayType(LOCATED))
+    def run(texts: pa.Array, given: pa.Array) -> pa.Array:
+        return _located(texts, given, threshold)
 
-    rows = F.aggregate(given, F.struct(F.lit(0).alias("at"), F.array().cast(found).alias("rows")), step)["rows"]
-    return explode_rows(docs, rows, "doc_id")
+    return explode_rows(docs.withColumn("_r", run(F.col(text), F.col(headers))), F.col("_r"), "doc_id")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from notecoder.functions import text as tx
 from notecoder.functions.arrays import let
+from notecoder.operators import blocks as bk
 from notecoder.operators import context as cx
 from notecoder.operators import evidence as me
 from notecoder.operators import gather as ga
@@ -65,3 +66,14 @@ def test_status_words_are_looked_for_before_their_patterns(spark):
     assert "Contains(" in plan or "contains(" in plan
     assert sorted((r.doc_id, r["class"], r.drug, r.included) for r in st.long_term_drugs(docs).collect()) == [
         (1, "anticoagulants", "warfarin", True), (1, "insulin", "Lantus", False)]
+
+
+def test_given_headers_are_located_in_one_pass(spark):
+    docs = spark.createDataFrame([(1, "Plan:\nsee plan\nSocial Hx", ["plan", "Social History", None, " "]), (2, None, ["Plan"]), (3, "x Plan", ["Social History", "[plan]:"])],
+                                 "doc_id int, text string, headers array<string>")
+    out = bk.locate_headers(docs)
+    assert "aggregate(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.doc_id, r.ord, r.header, r.position, r.tier) for r in out.collect()) == [
+        (1, 0, "plan", 10, "exact"), (1, 1, "Social History", 15, "fuzzy"), (3, 1, "[plan]:", 0, "fuzzy")]
+    # a search that ended behind the text finds nothing more
+    assert bk.located("PMH", ["Past Medical History", "PMH"], 0.75) == [(0, "Past Medical History", 0, "fuzzy")]
