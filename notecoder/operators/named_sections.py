@@ -4,7 +4,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as tx
 from ..functions.arrays import let
 from ..knowledge import sections as ks
 from . import sections as se
